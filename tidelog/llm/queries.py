@@ -15,8 +15,14 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op3_token_records": op3_token_records}
+    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to a Python worker, so that a batch of long texts stays small.
 BATCH_ROWS = 1000
+#: Its bytes: a batch ends with the row that passes them.
+BATCH_BYTES = 8 << 20
 #: Bytes of text that a numpy kernel looks at in one go.
 KERNEL_BYTES = 2 << 20
 #: A word, as every operator counts words; the same pattern in Java's and in Python's syntax.
@@ -52,6 +54,7 @@ def arrow_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that this session sends to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
