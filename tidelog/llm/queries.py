@@ -21,8 +21,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).drop("key", "removed")
+
+
 def queries() -> dict:
-    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash}
+    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash, "op6_quality_rules": op6_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
