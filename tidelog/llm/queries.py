@@ -27,8 +27,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("key", "removed")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.mixing import Mix
+
+    return Mix(table(spark, sf_dir, "documents")).shares()
+
+
 def queries() -> dict:
-    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash, "op6_quality_rules": op6_quality_rules}
+    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash, "op6_quality_rules": op6_quality_rules, "op4_mixing": op4_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
