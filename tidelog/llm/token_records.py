@@ -5,12 +5,13 @@ A shard file is a run of frames, one for each document in ascending doc_id order
     u64 length | u32 masked CRC of the length's bytes | payload | u32 masked CRC of the payload
 
 (little-endian; the mask rotates a CRC-32 right by 15 bits and adds 0xA282EAD8, so that a CRC stored inside
-checksummed data does not cancel). A payload is one flag byte (1: doc_id is present), the doc_id as i64 and the
-ids as u32. The index file beside it (``.idx``) has the magic ``TRX1``, a u32 format number and the u64 offset of
+checksummed data does not cancel). A payload is a byte that says whether doc_id is present, a byte
+for the width of an id (2 where the vocabulary has no more than 65,536 ids, else 4), the doc_id as i64 and the ids. The index file beside it (``.idx``) has the magic ``TRX1``, a u32 format number and the u64 offset of
 every frame, so a shuffled reader seeks straight to any record.
 
 Encoding is by the tokenizers library. A byte-level pre-tokenizer always cuts before a single space that stands
-between two non-space characters, so a text is cut there and each distinct segment is encoded once per worker.
+between two non-space characters, and around a line break that does, so a text is cut there and each distinct segment
+is encoded once per worker.
 
 Scale: one range exchange of the texts on doc_id, whose partitions Spark sizes; each task streams its own shard
 to the shared folder under an attempt's name and renames it, so a lost executor or a second attempt leaves whole
@@ -26,6 +27,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +42,11 @@ END_ID = 2
 MAGIC = b"TRX1"
 FORMAT = 1
 #: Distinct segments that a worker remembers.
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 700_000
+#: Segments that stay when the memory is full: short ones are the frequent ones.
+SHORT = 7
+#: White space that is more than one space or line break between words; only there must a text be cut with care.
+_LOOSE = re.compile(r"\s\s|^\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -72,40 +78,53 @@ def frames(stream) -> Iterator[tuple[int, bytes]]:
         at += 16 + length
 
 
-def payload_of(doc_id: int | None, ids: bytes) -> bytes:
-    return struct.pack("<Bq", doc_id is not None, doc_id or 0) + ids
+def payload_of(doc_id: int | None, ids: bytes, width: int) -> bytes:
+    return struct.pack("<BBq", doc_id is not None, width, doc_id or 0) + ids
 
 
-def parsed(payload: bytes) -> tuple[int | None, bytes]:
-    there, doc_id = struct.unpack_from("<Bq", payload)
-    return (doc_id if there else None), payload[9:]
+def parsed(payload: bytes) -> tuple[int | None, np.ndarray]:
+    there, width, doc_id = struct.unpack_from("<BBq", payload)
+    return (doc_id if there else None), np.frombuffer(payload, f"<u{width}", offset=10).astype("<u4")
 
 
 class Encoder:
-    """Ids of whole texts as little-endian u32 bytes, with a bounded memory of segments."""
+    """Ids of whole texts as little-endian bytes of ``width`` each, with a bounded memory of segments.
+
+    ``known`` maps a segment without its leading space to the ids it has with that space; a segment that follows a
+    line break carries the break instead of a space.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
 
+    def coded(self, texts: list[str]) -> list[bytes]:
+        kind = "H" if self.width == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def segments(self, text: str) -> list[str]:
-        parts = _CUT.split(text)
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        if _LOOSE.search(text):
+            return _CUT.split(text)
+        return text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.segments(x) if x else [] for x in texts]
-        new = list(dict.fromkeys(s for parts in cut for s in parts if s not in self.known))
+        known = self.known
+        new = {s for parts in cut for s in parts[1:] if s not in known}
         if new:
-            if len(self.known) + len(new) > CACHE_SEGMENTS:
-                self.known.clear()
-                new = list(dict.fromkeys(s for parts in cut for s in parts))
-            for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[s] = np.asarray(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+            if len(known) + len(new) > CACHE_SEGMENTS:
+                for s in [s for s in known if len(s) > SHORT]:
+                    del known[s]
+                new = {s for parts in cut for s in parts[1:] if s not in known}
+            new = list(new)
+            known.update(zip(new, self.coded([s if s[:1] == "\n" else " " + s for s in new]), strict=True))
+        get = known.__getitem__
+        first = iter(self.coded([parts[0] for parts in cut if parts]))
+        return [next(first) + b"".join(map(get, parts[1:])) if parts else b"" for parts in cut]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -117,7 +136,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _groups(batch: pa.RecordBatch, rows: int = 64) -> Iterator[tuple[list, list]]:
+def _groups(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple[list, list]]:
     for i in range(0, batch.num_rows, rows):
         part = batch.slice(i, rows)
         yield part.column(0).to_pylist(), part.column(1).to_pylist()
@@ -135,13 +154,12 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
     """Write the records of (doc_id, text) below ``folder`` and return the shards: shard, n_docs, n_tokens."""
     small_batches(docs.sparkSession)
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    end = struct.pack("<I", end_id)
-
     def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard, attempt = context.partitionId(), str(context.taskAttemptId())
         fs, path = arrow_fs(folder)
         code, offsets, n_tokens, at = encoder(tokenizer), [], 0, 0
+        end = end_id.to_bytes(code.width, "little")
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -157,10 +175,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
             nonlocal n_tokens, at
             for ids, texts in rows():
                 for doc_id, coded in zip(ids, code.encode(texts), strict=True):
-                    data = frame(payload_of(doc_id, coded + end))
+                    data = frame(payload_of(doc_id, coded + end, code.width))
                     offsets.append(at)
                     at += len(data)
-                    n_tokens += len(coded) // 4 + 1
+                    n_tokens += len(coded) // code.width + 1
                     out.write(data)
 
         _put(fs, final, attempt, records)
@@ -196,8 +214,8 @@ def read_records(spark: SparkSession, folder: str, shards: DataFrame) -> DataFra
                         if k >= len(offsets) or at != offsets[k]:
                             raise ValueError(f"the index of shard {row['shard']} does not fit its records")
                         doc_id, ids = parsed(payload)
-                        out.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), row["shard"], at))
-                        start += len(ids) // 4
+                        out.append((doc_id, start, len(ids), zlib.crc32(ids), row["shard"], at))
+                        start += len(ids)
                         if len(out) == 20_000:
                             yield _rows(out)
                             out = []
@@ -223,8 +241,7 @@ def record_at(folder: str, shard: int, k: int) -> tuple[int | None, np.ndarray]:
     with fs.open_input_file(name) as f:
         f.seek(at)
         _, payload = next(frames(f))
-    doc_id, ids = parsed(payload)
-    return doc_id, np.frombuffer(ids, "<u4")
+    return parsed(payload)
 
 
 def token_records(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
