@@ -33,8 +33,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents")).shares()
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.quality_model import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash, "op6_quality_rules": op6_quality_rules, "op4_mixing": op4_mixing}
+    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash, "op6_quality_rules": op6_quality_rules, "op4_mixing": op4_mixing, "op1_quality_model": op1_quality_model}
 
 
 def oracle_sql() -> dict[str, str]:
