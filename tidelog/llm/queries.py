@@ -39,8 +39,14 @@ def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.embedding_groups import embedding_groups
+
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash, "op6_quality_rules": op6_quality_rules, "op4_mixing": op4_mixing, "op1_quality_model": op1_quality_model}
+    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash, "op6_quality_rules": op6_quality_rules, "op4_mixing": op4_mixing, "op1_quality_model": op1_quality_model, "op9_embedding_groups": op9_embedding_groups}
 
 
 def oracle_sql() -> dict[str, str]:
