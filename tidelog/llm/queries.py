@@ -45,8 +45,14 @@ def op9_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash, "op6_quality_rules": op6_quality_rules, "op4_mixing": op4_mixing, "op1_quality_model": op1_quality_model, "op9_embedding_groups": op9_embedding_groups}
+    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash, "op6_quality_rules": op6_quality_rules, "op4_mixing": op4_mixing, "op1_quality_model": op1_quality_model, "op9_embedding_groups": op9_embedding_groups, "op8_toxicity": op8_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -152,8 +152,7 @@ _BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F
 def _powers(base: int, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006  the cache lives as long as the worker
     have = cache.get(base)
     if have is None or len(have) < n:
-        n = max(n, 1 << 16)
-        have = np.full(n, np.uint64(base), np.uint64)
+        have = np.full(max(n, 1 << 16), np.uint64(base), np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
         cache[base] = have
@@ -164,6 +163,14 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit hash of every word: a polynomial over random byte values, taken from prefix sums, then mixed."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
+    if len(buf) > 2 * KERNEL_BYTES and len(starts) > 1 and int((ends - starts).max()) < KERNEL_BYTES:
+        found, at = [], 0
+        while at < len(starts):
+            low = int(starts[at])
+            end = max(at + 1, int(np.searchsorted(ends, low + KERNEL_BYTES, "right")))
+            found.append(word_hashes(buf[low : int(ends[end - 1])], starts[at:end] - low, ends[at:end] - low))
+            at = end
+        return np.concatenate(found)
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * _powers(_BASE, len(buf)), out=sums[1:])
     value = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(buf))[starts]
