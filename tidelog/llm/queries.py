@@ -51,8 +51,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from tidelog.llm.pieces import encoded
+
+    ways = encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return ways.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "n_ways", "last_score", "ids_crc32", "ways_crc32", "same")
+
+
 def queries() -> dict:
-    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash, "op6_quality_rules": op6_quality_rules, "op4_mixing": op4_mixing, "op1_quality_model": op1_quality_model, "op9_embedding_groups": op9_embedding_groups, "op8_toxicity": op8_toxicity}
+    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash, "op6_quality_rules": op6_quality_rules, "op4_mixing": op4_mixing, "op1_quality_model": op1_quality_model, "op9_embedding_groups": op9_embedding_groups, "op8_toxicity": op8_toxicity, "op2_pieces": op2_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
