@@ -61,8 +61,14 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ways.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "n_ways", "last_score", "ids_crc32", "ways_crc32", "same")
 
 
+def op7_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.ngram_trie import language_scores
+
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash, "op6_quality_rules": op6_quality_rules, "op4_mixing": op4_mixing, "op1_quality_model": op1_quality_model, "op9_embedding_groups": op9_embedding_groups, "op8_toxicity": op8_toxicity, "op2_pieces": op2_pieces}
+    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash, "op6_quality_rules": op6_quality_rules, "op4_mixing": op4_mixing, "op1_quality_model": op1_quality_model, "op9_embedding_groups": op9_embedding_groups, "op8_toxicity": op8_toxicity, "op2_pieces": op2_pieces, "op7_ngram_trie": op7_ngram_trie}
 
 
 def oracle_sql() -> dict[str, str]:
