@@ -67,8 +67,14 @@ def op7_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
 
 
+def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.quotes import linked_conversations
+
+    return linked_conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash, "op6_quality_rules": op6_quality_rules, "op4_mixing": op4_mixing, "op1_quality_model": op1_quality_model, "op9_embedding_groups": op9_embedding_groups, "op8_toxicity": op8_toxicity, "op2_pieces": op2_pieces, "op7_ngram_trie": op7_ngram_trie}
+    return {"op3_token_records": op3_token_records, "op10_simhash": op10_simhash, "op6_quality_rules": op6_quality_rules, "op4_mixing": op4_mixing, "op1_quality_model": op1_quality_model, "op9_embedding_groups": op9_embedding_groups, "op8_toxicity": op8_toxicity, "op2_pieces": op2_pieces, "op5_quotes": op5_quotes, "op7_ngram_trie": op7_ngram_trie}
 
 
 def oracle_sql() -> dict[str, str]:
