@@ -1,4 +1,68 @@
-"""The corpus pipeline, stage by stage."""
+"""The corpus pipeline: documents through quality rules, a quality classifier, near-duplicates, a mix and encoding.
 
-STAGES: list = []
+Each stage takes all that its predecessor kept and returns documents; only the last returns encoded texts. A stage's
+function takes (spark, docs, sf_dir); ``run`` writes each stage's rows as Parquet into the cluster's shared folder
+and gives them to the next as read back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.llm.mixing import mixed_documents
+from tidelog.llm.pieces import encoded
+from tidelog.llm.quality_model import quality_scores
+from tidelog.llm.quality_rules import clean_documents
+from tidelog.llm.shared import stored, table, work_dir
+from tidelog.llm.simhash import near_duplicates
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, without the lines that they remove."""
+    return clean_documents(docs)
+
+
+def quality_model_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts as good. Rows of one doc_id stay if any of them is predicted so."""
+    good = quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("doc_id_")).distinct()
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("doc_id_")), "left_semi")
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group; of rows of one doc_id one stays."""
+    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("doc_id_")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("doc_id_")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: for each pass over a document the words that it takes."""
+    return mixed_documents(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of the best segmentation of each text, with its score and whether it decodes to the text."""
+    import public_tokenizers
+
+    ways = encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return ways.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "score", "n_ways", "last_score", "ids_crc32", "same")
+
+
+STAGES = [
+    ("quality_rules", quality_rules_stage),
+    ("quality_model", quality_model_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("mixing", mixing_stage),
+    ("encoding", encoding_stage),
+]
+
+#: The classifier, the fingerprints and the pieces are beyond SQL.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stored(stage(spark, docs, sf_dir), f"{folder}/{k}-{name}")
+    return docs
