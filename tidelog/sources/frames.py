@@ -180,8 +180,10 @@ def decode(frames: DataFrame, strict: bool = False, transactions: bool = True, t
     unknown = F.col("relation").isNull() & (F.col("kind") != "T")
     if strict:
         problem = F.when(F.col("kind") == "!", F.col("error")).when(unknown, F.concat(F.lit("unknown relation "), F.col("rel_id").cast("string")))
-        rows = rows.where(F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(F.lit(True)))
-    rows = rows.where(F.col("relation").isNotNull())
+        # one condition: a filter beside it could drop the row before it fails
+        rows = rows.where(F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(F.col("relation").isNotNull()))
+    else:
+        rows = rows.where(F.col("relation").isNotNull())
     op = F.element_at(F.create_map(*[F.lit(x) for x in ("I", "insert", "U", "update", "D", "delete", "T", "truncate")]), F.col("kind"))
     kinds = F.transform("relation.columns", lambda c: F.struct(c["name"].alias("name"), c["type_oid"].cast("string").alias("type_name")))
     zero = F.lit(0).cast("long")
