@@ -26,6 +26,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.shared import whole_rows
+
 WINDOW = 5
 LINE_DOCS = 10
 LINE_SHARE = 0.002
@@ -139,11 +141,11 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, without their boilerplate lines; the columns of ``docs``, n_chars anew."""
     verdict = quality_rules(docs).where("kept").groupBy("doc_id", "key").agg(F.first("removed").alias("removed_"))
     verdict = verdict.select(F.col("doc_id").alias("doc_id_"), F.col("key").alias("key_"), "removed_")
-    own = docs.withColumn("key__", F.xxhash64("doc_id", F.col("source").cast("string"), "text"))
-    joined = own.join(verdict, (F.col("key__") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_")))
-    left = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("removed_", F.xxhash64(normal_line(x))))
-    text = F.when(F.col("removed_").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    cleaned = joined.withColumn("text", text)
+    own = whole_rows(docs).withColumn("key", F.xxhash64("row.doc_id", F.col("row.source").cast("string"), "row.text"))
+    joined = own.join(verdict, (F.col("key") == F.col("key_")) & F.col("row.doc_id").eqNullSafe(F.col("doc_id_")))
+    left = F.filter(F.split("row.text", "\n", -1), lambda x: ~F.array_contains("removed_", F.xxhash64(normal_line(x))))
+    text = F.when(F.col("removed_").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    cleaned = joined.withColumn("row", F.col("row").withField("text", text))
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
-    return cleaned.select(*docs.columns)
+        cleaned = cleaned.withColumn("row", F.col("row").withField("n_chars", F.length("row.text").cast("long")))
+    return cleaned.select("row.*")

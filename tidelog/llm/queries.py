@@ -78,4 +78,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidelog.llm.oracles import MIXING, QUALITY_RULES
+
+    return {"op4_mixing": MIXING, "op6_quality_rules": QUALITY_RULES}
