@@ -14,7 +14,7 @@ from tidelog.llm.mixing import mixed_documents
 from tidelog.llm.pieces import encoded
 from tidelog.llm.quality_model import quality_scores
 from tidelog.llm.quality_rules import clean_documents
-from tidelog.llm.shared import stored, table, work_dir
+from tidelog.llm.shared import stored, table, with_ids, work_dir
 from tidelog.llm.simhash import near_duplicates
 
 
@@ -25,14 +25,14 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def quality_model_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as good. Rows of one doc_id stay if any of them is predicted so."""
-    good = quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("doc_id_")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("doc_id_")), "left_semi")
+    good = quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
+    return with_ids(docs, good)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group; of rows of one doc_id one stays."""
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("doc_id_")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("doc_id_")), "left_semi").dropDuplicates(["doc_id"])
+    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return with_ids(docs, first).dropDuplicates(["doc_id"])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
