@@ -69,3 +69,37 @@ t AS (SELECT rank, x AS block, count(*) AS times FROM b{m.ROUNDS} GROUP BY rank,
 y AS (SELECT e.rid, sum(times * (least((e.block + 1) * {m.BLOCK_WORDS} - start, size) - greatest(e.block * {m.BLOCK_WORDS} - start, 0))) AS taken FROM e JOIN t ON e.rank = t.rank AND e.block = t.block GROUP BY e.rid)
 SELECT o.doc_id, o.size, s.source_size, s.target, CAST(coalesce(y.taken, 0) AS BIGINT) AS taken FROM o JOIN s ON o.rank = s.rank LEFT JOIN y ON o.rid = y.rid
 """
+
+
+def _normal(x: str) -> str:
+    return f"trim(lower(regexp_replace({x}, '{_WS}', ' ', 'g')))"
+
+
+_MARKS = "^(?:[ \\t]*>)+[ \\t]?"
+
+QUOTES = f"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id AS conv, turn, role, text FROM conversations),
+ls AS (SELECT rid, conv, turn, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS ls FROM m),
+ln AS (SELECT rid, conv, turn, unnest(ls) AS x, unnest(range(0, len(ls))) AS pos FROM ls),
+lv AS (SELECT rid, conv, turn, pos, length(regexp_replace(regexp_extract(x, '{_MARKS}'), '[^>]', '', 'g')) AS level, regexp_replace(x, '{_MARKS}', '') AS body FROM ln),
+own AS (SELECT rid, conv, turn, trim(string_agg(body, chr(10) ORDER BY pos), {_BLANK}) AS t FROM lv WHERE level = 0 GROUP BY rid, conv, turn),
+said AS (SELECT conv, turn, {_normal('t')} AS h FROM own UNION SELECT conv, turn, {_normal('body')} FROM lv WHERE level = 0),
+nb AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY pos) - row_number() OVER (PARTITION BY rid, level ORDER BY pos) AS island FROM lv WHERE trim(body, chr(32) || chr(9) || chr(13)) <> ''),
+pas AS (SELECT conv, turn, level, string_agg(body, ' ' ORDER BY pos) AS t FROM nb WHERE level > 0 GROUP BY rid, conv, turn, level, island),
+q AS (SELECT conv, turn, level, {_normal('t')} AS h FROM pas UNION SELECT conv, turn, level, {_normal('body')} FROM nb WHERE level > 0),
+f AS (SELECT q.conv, q.turn, q.level, q.h, max(s.turn) AS origin FROM q JOIN said s ON q.conv IS NOT DISTINCT FROM s.conv AND q.h = s.h AND s.turn < q.turn WHERE q.h <> '' GROUP BY q.conv, q.turn, q.level, q.h),
+v AS (SELECT conv, turn, level, origin, sum(len(string_split(h, ' '))) AS words FROM f GROUP BY conv, turn, level, origin),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv, turn ORDER BY level, words DESC, origin DESC) AS n FROM v),
+b AS (SELECT conv, turn, origin, words FROM r WHERE n = 1),
+chain AS (SELECT conv, turn, origin AS pos FROM b UNION ALL SELECT chain.conv, chain.turn, b.origin FROM chain JOIN b ON chain.conv IS NOT DISTINCT FROM b.conv AND chain.pos = b.turn),
+th AS (SELECT conv, turn, min(pos) AS thread FROM chain GROUP BY conv, turn),
+d AS (SELECT DISTINCT conv, turn FROM m WHERE turn IS NOT NULL),
+pr AS (SELECT conv, turn, lag(turn) OVER (PARTITION BY conv ORDER BY turn) AS before FROM d),
+c AS (SELECT rid, max(level) AS deep, count(*) FILTER (WHERE level > 0) AS n_quoted FROM lv GROUP BY rid)
+SELECT m.conv AS conv_id, m.turn, m.role, CAST(c.deep AS BIGINT) AS quote_levels, CAST(c.n_quoted AS BIGINT) AS quoted_lines, coalesce(b.origin, pr.before) AS reply_to,
+  CAST(coalesce(b.words, 0) AS BIGINT) AS linked_words, coalesce(th.thread, m.turn) AS thread, coalesce(own.t, '') AS text,
+  '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || coalesce(own.t, '') || chr(10) AS formatted
+FROM m JOIN c ON m.rid = c.rid LEFT JOIN own ON m.rid = own.rid
+  LEFT JOIN b ON m.conv IS NOT DISTINCT FROM b.conv AND m.turn = b.turn LEFT JOIN th ON m.conv IS NOT DISTINCT FROM th.conv AND m.turn = th.turn
+  LEFT JOIN pr ON m.conv IS NOT DISTINCT FROM pr.conv AND m.turn = pr.turn
+"""

@@ -78,6 +78,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidelog.llm.oracles import MIXING, QUALITY_RULES
+    from tidelog.llm.oracles import MIXING, QUALITY_RULES, QUOTES
 
-    return {"op4_mixing": MIXING, "op6_quality_rules": QUALITY_RULES}
+    return {"op4_mixing": MIXING, "op5_quotes": QUOTES, "op6_quality_rules": QUALITY_RULES}
