@@ -47,3 +47,11 @@ def prometheus(values: dict[str, float], labelled: dict[str, list[tuple[dict, fl
             inner = ",".join('{}="{}"'.format(k, str(v).replace("\\", "\\\\").replace('"', '\\"')) for k, v in sorted(labels.items()))
             lines.append(f"{prefix}{name}{{{inner}}} {value:g}")
     return "\n".join(lines) + "\n"
+
+
+def gauges(progress: dict, offsets: dict[str, int] | None = None, head: int = 0, budget: int = 0, used: int = 0) -> dict[str, float]:
+    """Gauges of a driver: from a StreamingQueryProgress as a dict, consumers' offsets and the memory in use."""
+    found = {"input_rows_per_second": progress.get("inputRowsPerSecond") or 0.0, "processed_rows_per_second": progress.get("processedRowsPerSecond") or 0.0, "batch": progress.get("batchId", -1)}
+    if offsets is not None:
+        found |= {"active_consumers": len(offsets), "lag": max(0, head - min(offsets.values(), default=head))}
+    return found | {"memory_used": used, "memory_budget": budget}
