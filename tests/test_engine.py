@@ -101,3 +101,31 @@ def test_watermark_empty(spark):
     assert offsets.watermark(none).first()[0] == 0
     most = spark.createDataFrame([("a", 9_223_372_036_854_775_807)], "consumer string, committed long")
     assert offsets.watermark(most).first()[0] == 0
+
+
+def test_schema_gate_and_windows(spark):
+    at = "timestamp '2024-01-01 00:00:0{}'"
+    events = spark.sql(f"select * from values (1, 'aa', {at.format(1)}), (2, 'bb', {at.format(1)}), (3, 'cc', {at.format(1)}) as e(lsn, schema_fingerprint, at)")
+    schemas = spark.sql(f"select * from values ('aa', {at.format(0)}), ('bb', {at.format(5)}), ('cc', {at.format(9)}) as s(fingerprint, at)")
+    got = {r.lsn: r.schema_known for r in log_stream.gated_by_schema(events, schemas).collect()}
+    assert got == {1: True, 2: True, 3: False}
+    rows = spark.sql("select * from values ('insert', timestamp '2024-01-01 00:10:00'), ('insert', timestamp '2024-01-01 00:50:00'), ('delete', timestamp '2024-01-01 01:10:00') as e(op, at)")
+    got = {(r.start.hour, r.op): r.n for r in log_stream.windowed_counts(rows).collect()}
+    assert got == {(0, "insert"): 2, (1, "delete"): 1}
+    assert log_stream.windowed_counts(rows, "1 hour", "30 minutes").count() == 5
+
+
+def test_idempotent_stream(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    spark.sql("select id % 5 as lsn, timestamp '2024-01-01 00:00:00' as at from range(20)").write.parquet(f"{base}/in")
+    stream = log_stream.idempotent(spark.readStream.schema("lsn long, at timestamp").parquet(f"{base}/in"), ["lsn"], "1 hour")
+    query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert sorted(r.lsn for r in spark.read.parquet(f"{base}/out").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_gauges():
+    from tidelog.operators.metrics import gauges
+
+    got = gauges({"batchId": 3, "inputRowsPerSecond": 2.0}, {"a": 5, "b": 9}, head=10, budget=100, used=7)
+    assert got["lag"] == 5 and got["active_consumers"] == 2 and got["batch"] == 3 and got["memory_used"] == 7
