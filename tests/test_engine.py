@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidelog.operators import batching, control, delivery, log, offsets
+from tidelog.plans.rules import ReadFilter
 from tidelog.schema import CHANGE_SCHEMA, event_size, typed_by_oid
 from tidelog.sources import snapshot
 from tidelog.streaming import log_stream
@@ -82,6 +83,8 @@ def test_append_prune_collect(spark, tmp_path):
     assert sorted(r.lsn for r in found.collect()) == [r[0] for r in rows if 250 <= r[0] <= 449]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(tenant" in plan and "GreaterThanOrEqual(lsn,250)" in plan
+    own = ReadFilter(("public.t", "public.u")).apply(log.read(spark, path, "a"))
+    assert own.count() == len(rows) and "EqualTo(table.table,t)" in own._jdf.queryExecution().executedPlan().toString()
     assert log.collect_garbage(spark, path, "a", 350, span=100) == 3
     assert min(r.lsn for r in log.read(spark, path, "a").collect()) >= 300 and log.read(spark, path, "b").count() == len(rows)
 

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.schema import OPS, qualified, text
+from tidelog.schema import OPS, is_table, text
 
 #: Operators that the text language knows, in the order in which they are looked for.
 SYMBOLS = (("!=", "neq"), (">=", "gte"), ("<=", "lte"), ("==", "eq"), (">", "gt"), ("<", "lt"))
@@ -132,7 +132,7 @@ class RuleSet:
     def column(self) -> Column:
         found = F.lit(True)
         for table, rule in self.rules.items():
-            found = F.when(qualified() == table, column(rule)).otherwise(found)
+            found = F.when(is_table(table), column(rule)).otherwise(found)
         return found
 
     def apply(self, log: DataFrame) -> DataFrame:
@@ -153,5 +153,5 @@ class ReadFilter:
         if self.high is not None:
             log = log.where(F.col("lsn") <= self.high)
         if self.tables is not None:
-            log = log.where(qualified().isin(*self.tables) if self.tables else F.lit(False))
+            log = log.where(is_table(*self.tables))
         return log

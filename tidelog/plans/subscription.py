@@ -12,7 +12,7 @@ from tidelog.errors import FilterConflict
 from tidelog.operators import crypto
 from tidelog.operators.log import read_from
 from tidelog.plans.rules import ReadFilter
-from tidelog.schema import qualified
+from tidelog.schema import is_table
 
 
 def project(data: Column, names: list[str]) -> Column:
@@ -25,7 +25,7 @@ def projected(events: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
     for image in ("after", "before"):
         cut = F.col(image)
         for table, names in columns.items():
-            cut = F.when(qualified() == table, project(F.col(image), names)).otherwise(cut)
+            cut = F.when(is_table(table), project(F.col(image), names)).otherwise(cut)
         events = events.withColumn(image, cut)
     return events
 
@@ -34,7 +34,7 @@ def missing_columns(events: DataFrame, columns: dict[str, list[str]]) -> DataFra
     """(table, column, events): listed columns that events of the table lack."""
     found = None
     for table, names in columns.items():
-        rows = events.where((qualified() == table) & F.col("after").isNotNull()).select(F.lit(table).alias("table"), F.explode(F.array_except(F.array(*map(F.lit, names)), F.transform("after", lambda c: c["name"]))).alias("column"))
+        rows = events.where(is_table(table) & F.col("after").isNotNull()).select(F.lit(table).alias("table"), F.explode(F.array_except(F.array(*map(F.lit, names)), F.transform("after", lambda c: c["name"]))).alias("column"))
         found = rows if found is None else found.unionByName(rows)
     return found.groupBy("table", "column").agg(F.count(F.lit(1)).alias("events"))
 

@@ -51,6 +51,19 @@ def qualified(table: Column | str = "table") -> Column:
     return F.concat_ws(".", table["schema"], table["table"])
 
 
+def is_table(*names: str, table: Column | str = "table") -> Column:
+    """Whether an event's table has one of the qualified names, by its fields: a scan can use that, unlike the joined name."""
+    table = F.col(table) if isinstance(table, str) else table
+    found = F.lit(False)
+    for name in names:
+        parts = name.split(".")
+        for k in range(1, len(parts)):  # a dot may be part of either
+            found = found | ((table["schema"] == ".".join(parts[:k])) & (table["table"] == ".".join(parts[k:])))
+        if len(parts) == 1:
+            found = found | (qualified(table) == name)
+    return found
+
+
 def split_qualified(name: Column) -> Column:
     """(schema, table) of a name, cut at its first dot; null without one."""
     at = F.instr(name, ".")
