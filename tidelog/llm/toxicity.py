@@ -39,7 +39,8 @@ HIDDEN = 8
 EMBED = 4
 ODDS_BITS, EMBED_BITS = 17, 13
 GRAMS = (4, 5)
-EPOCHS = (4, 4)
+#: Steps of each turn of training, over as many rounds of the chosen windows as that takes.
+STEPS = (130, 130)
 BATCH = 256
 RATE = 0.01
 #: Windows that are scored at once.
@@ -256,7 +257,7 @@ def evidence_of(buf: np.ndarray, at: np.ndarray, y: np.ndarray) -> tuple[np.ndar
     total = np.array([(y == 0).sum(), (y > 0).sum()])
     value = np.log((seen[:, 1] + 0.5) / (total[1] + 1)) - np.log((seen[:, 0] + 0.5) / (total[0] + 1))
     n = seen.sum(axis=1)
-    return tuple(np.clip(value * n / (n + 5), -3, 5).astype(np.float32))
+    return tuple(np.clip(value * n / (n + 3), -3, 5).astype(np.float32))
 
 
 def train(buf: np.ndarray, at: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
@@ -272,7 +273,7 @@ def train(buf: np.ndarray, at: np.ndarray, y: np.ndarray, seed: int = 7) -> Netw
     start, end, row = windows_of(words.first)
     moments: dict[str, tuple] = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     tick = 0
-    for turn, epochs in enumerate(EPOCHS):
+    for turn, steps in enumerate(STEPS):
         x, _ = net.inputs(words)
         if turn == 0:
             evidence = np.concatenate(([0.0], np.cumsum(np.maximum(x[words.index + 1, :2].max(axis=1), 0) ** 2)))
@@ -285,7 +286,7 @@ def train(buf: np.ndarray, at: np.ndarray, y: np.ndarray, seed: int = 7) -> Netw
         chosen = np.concatenate((best, rng.choice(clean, min(len(clean), len(best)), replace=False)))
         target = y[row[chosen]].astype(np.float32)
         gain = np.where(target > 0, (target == 0).sum() / max(1, target.sum()), 1.0) ** 0.5
-        for _ in range(epochs):
+        for _ in range(-(-steps * BATCH // max(BATCH, len(chosen)))):
             shuffled = rng.permutation(len(chosen))
             for i in range(0, len(chosen), BATCH):
                 pick = shuffled[i : i + BATCH]
