@@ -1 +1 @@
-"""Part of the change-log engine; see the package README section."""
+"""Scalar functions as columns."""

@@ -1 +1 @@
-"""Part of the change-log engine; see the package README section."""
+"""Operators on events, the log and what is delivered from it."""

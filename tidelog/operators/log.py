@@ -57,7 +57,7 @@ def replay(log: DataFrame, committed: int, head: int) -> DataFrame:
 
 
 def newest(events: DataFrame, key: tuple[str, ...] | list = KEY, order: tuple[str, ...] = ("lsn", "xid", "seq")) -> DataFrame:
-    """The newest row of each key, by pre-aggregated maximum where the key holds all but one row."""
+    """The newest row of each key."""
     by = [F.col(c).desc() for c in order if c in events.columns]
     keys = [c for c in key if not isinstance(c, str) or c in events.columns]
     return events.withColumn("rank_", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where("rank_ = 1").drop("rank_")

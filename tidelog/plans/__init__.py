@@ -1 +1 @@
-"""Part of the change-log engine; see the package README section."""
+"""Rules, predicates, publications and subscriptions that become plans."""

@@ -1 +1 @@
-"""Part of the change-log engine; see the package README section."""
+"""Where events come from: snapshots, replication frames, DDL messages, configuration."""
