@@ -37,7 +37,7 @@ PAIR_ROUNDS = 20
 PAIRS = 10
 RATE = 0.25
 LEAVES_DEPTH = 2
-#: Most rows whose features leave a leaf: smaller leaves are not cut.
+#: Fewest rows of a leaf.
 LEAF_ROWS = 8
 
 FEATURES = (
