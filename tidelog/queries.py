@@ -411,7 +411,13 @@ def batch_stats(spark, sf_dir):
     return batching.batch_stats(batching.count_batches(e, 25, ["target"]), ["target", "batch"])
 
 
-@query("byte_batches")
+_FOLD = L.replace("WITH log", "WITH RECURSIVE log")
+
+
+@query("byte_batches", _FOLD + """, r AS (SELECT user_id, lsn, strlen(props) AS b, row_number() OVER (PARTITION BY user_id ORDER BY lsn) AS n FROM log),
+f AS (SELECT user_id, lsn, n, b, 0 AS batch, CASE WHEN b >= 100 THEN 0 ELSE b END AS total, CASE WHEN b >= 100 THEN 1 ELSE 0 END AS next FROM r WHERE n = 1
+UNION ALL SELECT r.user_id, r.lsn, r.n, r.b, f.next, CASE WHEN total + r.b >= 100 THEN 0 ELSE total + r.b END, CASE WHEN total + r.b >= 100 THEN f.next + 1 ELSE f.next END FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
+SELECT user_id AS target, batch, count(*) AS events, min(lsn) AS min_lsn, max(lsn) AS max_lsn, CAST(sum(b) AS BIGINT) AS total_bytes FROM f GROUP BY user_id, batch""")
 def byte_batches(spark, sf_dir):
     e = change_log(spark, sf_dir).select("lsn", F.col("xid").alias("target"), F.octet_length("data.props").alias("bytes"))
     return batching.batch_stats(batching.byte_batches(e, 100, ["target"]), ["target", "batch"])
@@ -595,7 +601,14 @@ def retry_schedule(spark, sf_dir):
     return spark.range(12).select(F.col("id").alias("attempt"), delivery.backoff_ms(F.col("id"), 100).alias("backoff_ms"), delivery.may_retry(F.col("id"), 10).alias("again"))
 
 
-@query("circuit_breaker")
+@query("circuit_breaker", _FOLD + """, r AS (SELECT user_id AS target, lsn AS seq, us AS at_us, tbl <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY lsn) AS n FROM log),
+f AS (SELECT target, seq, at_us, ok, n, true AS allowed, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS fails, CAST(0 AS BIGINT) AS opened, 0 AS trips FROM r WHERE n = 1
+UNION ALL SELECT r.target, r.seq, r.at_us, r.ok, r.n, state = 'closed' OR r.at_us - opened >= 3600000000,
+CASE WHEN state = 'open' AND r.at_us - opened < 3600000000 THEN 'open' WHEN r.ok THEN 'closed' WHEN state = 'open' OR fails + 1 >= 3 THEN 'open' ELSE 'closed' END,
+CASE WHEN state = 'open' AND r.at_us - opened < 3600000000 THEN fails WHEN r.ok THEN 0 ELSE fails + 1 END,
+CASE WHEN state = 'open' AND r.at_us - opened < 3600000000 THEN opened WHEN NOT r.ok AND (state = 'open' OR fails + 1 >= 3) THEN r.at_us ELSE opened END,
+CASE WHEN state = 'open' AND r.at_us - opened < 3600000000 THEN trips WHEN NOT r.ok AND (state = 'open' OR fails + 1 >= 3) THEN trips + 1 ELSE trips END
+FROM f JOIN r ON r.target = f.target AND r.n = f.n + 1) SELECT target, seq, at_us, ok, allowed, state, trips FROM f""")
 def circuit_breaker(spark, sf_dir):
     e = change_log(spark, sf_dir)
     calls = e.select(F.col("xid").alias("target"), F.col("lsn").alias("seq"), F.col("commit_timestamp_us").alias("at_us"), (F.col("table.table") != "error").alias("ok"))
