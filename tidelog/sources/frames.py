@@ -155,7 +155,9 @@ def with_relations(rows: DataFrame, truncate_first_only: bool = False) -> DataFr
     """
     many = F.slice("rel_ids", F.lit(1), F.lit(1)) if truncate_first_only else F.col("rel_ids")
     each = rows.withColumn("rel_id", F.explode_outer(F.when(F.col("kind") == "T", many).otherwise(F.array("rel_id"))))
-    relation = F.when(F.col("kind") == "R", F.struct("rel_schema", "rel_table", "identity", "columns"))
+    kinds = F.transform("columns", lambda c: F.struct(c["name"].alias("name"), c["type_oid"].cast("string").alias("type_name")))
+    print_ = fingerprint_column(F.col("rel_schema"), F.col("rel_table"), kinds).alias("fingerprint")  # once for each relation
+    relation = F.when(F.col("kind") == "R", F.struct("rel_schema", "rel_table", "identity", "columns", print_))
     by_relation = Window.partitionBy("segment", "rel_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     by_segment = Window.partitionBy("segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     begin = F.when(F.col("kind") == "B", F.struct("xid", "ts_us", "final_lsn"))
@@ -185,12 +187,11 @@ def decode(frames: DataFrame, strict: bool = False, transactions: bool = True, t
     else:
         rows = rows.where(F.col("relation").isNotNull())
     op = F.element_at(F.create_map(*[F.lit(x) for x in ("I", "insert", "U", "update", "D", "delete", "T", "truncate")]), F.col("kind"))
-    kinds = F.transform("relation.columns", lambda c: F.struct(c["name"].alias("name"), c["type_oid"].cast("string").alias("type_name")))
     zero = F.lit(0).cast("long")
     return rows.select(
         "seq", "lsn", (F.coalesce("begin.xid", zero) if transactions else zero).alias("xid"), op.alias("op"),
         F.struct(F.col("relation.rel_schema").alias("schema"), F.col("relation.rel_table").alias("table")).alias("table"),
-        fingerprint_column(F.col("relation.rel_schema"), F.col("relation.rel_table"), kinds).alias("schema_fingerprint"),
+        F.col("relation.fingerprint").alias("schema_fingerprint"),
         _row("new").cast(ROW_TYPE).alias("after"), _row("old").cast(ROW_TYPE).alias("before"),
         (F.coalesce("begin.ts_us", zero) if transactions else zero).alias("commit_timestamp_us"),
         F.transform(F.filter(F.transform("new", lambda v, i: F.struct(v["unchanged"].alias("u"), F.get("relation.columns", i)["name"].alias("n"))), lambda x: x["u"]), lambda x: x["n"]).alias("toast_unchanged"),
