@@ -24,15 +24,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import WORD, stored, work_dir
+from tidelog.llm.shared import WORD, stored, whole_rows, work_dir
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
-#: Documents of all sources in a chunk, on average; slots in a range that one row enumerates.
-CHUNK_DOCS = 5_000
-RANGE_SLOTS = 16_384
+#: Slots in a range that one row enumerates, and in a task.
+RANGE_SLOTS = 4_096
+TASK_SLOTS = 65_536
 #: Rounds of the permutation, and the prime and multiplier of its integer hash.
 ROUNDS = 16
 PRIME = 2_147_483_647
@@ -91,7 +91,7 @@ def source_targets(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
 
 def packed(sizes: DataFrame, sources: DataFrame, n_docs: int) -> DataFrame:
     """The documents with their place: rank, chunk, seq, start (words of the source before it), and the source's row."""
-    chunks = max(1, math.ceil(n_docs / CHUNK_DOCS))
+    chunks = max(1, math.isqrt(n_docs))  # as many as documents in each
     known = sources.withColumnRenamed("source", "source_")
     placed = sizes.join(known, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     chunk = F.pmod(F.pmod((F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(PRIME)) + 1) * FACTOR, F.lit(PRIME)), F.lit(chunks))
@@ -106,13 +106,12 @@ def packed(sizes: DataFrame, sources: DataFrame, n_docs: int) -> DataFrame:
     return joined.withColumn("start", F.col("base") + F.col("inner")).drop("rank_", "chunk_", "base", "inner")
 
 
-def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def slots(sources: DataFrame, n_slots: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """(rank, slot, turn, block, shard): the block that each slot takes and the output shard that it draws."""
-    total = F.sum("n_slots").over(Window.partitionBy())
-    shards = F.greatest(F.lit(1), F.ceil(total / shard_slots)).cast("long")
+    shards = F.lit(max(1, math.ceil(n_slots / shard_slots))).cast("long")
     some = sources.select("rank", "n_blocks", "n_slots", shards.alias("shards")).where("n_slots > 0")
     ranges = some.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / RANGE_SLOTS))))
-    ranges = ranges.repartition("rank", "part")
+    ranges = ranges.repartition(max(1, math.ceil(n_slots / TASK_SLOTS)), "rank", "part")
     last = F.least((F.col("part") + 1) * RANGE_SLOTS, F.col("n_slots")) - 1
     each = ranges.withColumn("slot", F.explode(F.sequence(F.col("part") * RANGE_SLOTS, last)))
     turn = F.floor(F.col("slot") / F.col("n_blocks"))
@@ -139,7 +138,9 @@ class Mix:
         self.sources = stored(source_targets(sizes, block_words), f"{folder}/sources")
         self.placed = packed(sizes, self.sources, sizes.count())
         parts = pieces(self.placed, block_words)
-        taken = slots(self.sources, shard_slots).withColumnsRenamed({"rank": "rank_", "block": "block_"})
+        n_slots = self.sources.agg(F.sum("n_slots")).first()[0] or 0
+        # ranges are few and their slots many: without the hint Spark would take the slots for small and broadcast them
+        taken = slots(self.sources, n_slots, shard_slots).hint("merge").withColumnsRenamed({"rank": "rank_", "block": "block_"})
         #: A row for each slot and document in its block: shard, rank, slot, turn, block, doc_id, first, last, ...
         self.spans = taken.join(parts, (F.col("rank") == F.col("rank_")) & (F.col("block") == F.col("block_"))).drop("rank_", "block_")
 
@@ -159,12 +160,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     The columns of ``docs``; text is cut to the spans (with the white space before each word), n_chars is counted anew.
     """
     spans = Mix(docs).spans.groupBy("rank", "chunk", "seq", "turn").agg(F.first("row_key").alias("row_key"), F.sort_array(F.collect_list(F.struct("first", "last"))).alias("parts"))
-    source = F.col("source").cast("string")
-    own = docs.withColumn("row_key_", F.xxhash64("doc_id", source, "text")).dropDuplicates(["row_key_"])
-    joined = own.join(spans, F.col("row_key") == F.col("row_key_"))
-    words = F.regexp_extract_all("text", F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
+    own = whole_rows(docs).withColumn("key", F.xxhash64("row.doc_id", F.col("row.source").cast("string"), "row.text"))
+    joined = own.dropDuplicates(["key"]).join(spans, F.col("row_key") == F.col("key"))
+    words = F.regexp_extract_all("row.text", F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
     text = F.transform(F.array(words), lambda w: F.array_join(F.transform("parts", lambda p: F.array_join(F.slice(w, (p["first"] + 1).cast("int"), (p["last"] - p["first"]).cast("int")), "")), ""))
-    mixed = joined.withColumn("text", F.ltrim(F.element_at(text, 1)))
+    mixed = joined.withColumn("row", F.col("row").withField("text", F.ltrim(F.element_at(text, 1))))
     if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.length("text").cast("long"))
-    return mixed.select(*docs.columns)
+        mixed = mixed.withColumn("row", F.col("row").withField("n_chars", F.length("row.text").cast("long")))
+    return mixed.select("row.*")
