@@ -55,3 +55,13 @@ def test_damage():
     with pytest.raises(ValueError):
         list(r.frames(io.BytesIO(data[:-1])))
     assert r.parsed(r.payload_of(None, b"\1\0", 2))[0] is None
+
+
+def test_segments_like_whole_texts():
+    import random
+
+    rng, encoder = random.Random(1), r.Encoder(PATH)
+    signs = [" "] * 6 + ["\n"] * 3 + ["\t", "\r", "\x0b", " ", "　", "\x1c", "\x85", "<|endoftext|>", "'s", "n't", *"abcXYZ19.,!'é日<|>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(5000)]
+    for ids, whole in zip(encoder.encode(texts), encoder.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == whole.ids
