@@ -42,7 +42,7 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 #: Variants that one task packs, and that one bucket holds, on average.
-CHUNK = 6_000_000
+CHUNK = 3_000_000
 BUCKET = 3_000_000
 #: Bits of a variant's hash beyond those that tell all variants apart on average: strangers meet once in 2**13.
 SPARE_BITS = 13
@@ -122,13 +122,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all variants, the index of each one's fingerprint, and whether it is at most one bit away."""
+    """Hashes of all variants of up to 32,768 fingerprints, the index of each one's, and whether it is at most one bit away."""
     odd = (np.bitwise_count(fps) & 1).astype(bool)
     e, o = np.flatnonzero(~odd), np.flatnonzero(odd)
     near = np.concatenate(([np.uint64(0)], ONE_BIT))
     parts = [(e, ONE_BIT, True), (o, near, True), (o, TWO_BITS, False)]
     key = np.concatenate([_mix((fps[i][:, None] ^ m[None, :]).ravel()) for i, m, _ in parts])
-    owner = np.concatenate([np.repeat(i, len(m)) for i, m, _ in parts])
+    owner = np.concatenate([np.repeat(i.astype(np.uint16), len(m)) for i, m, _ in parts])
     close = np.concatenate([np.full(len(i) * len(m), c) for i, m, c in parts])
     return key, owner, close
 
@@ -262,7 +262,7 @@ def links(fps: DataFrame, n: int) -> DataFrame:
             yield found()
 
     blocks = fps.select("fp").repartition(tasks).mapInArrow(pack, "bucket long, block binary")
-    dealt = blocks.repartition(max(1, 1 << bucket_bits), "bucket").sortWithinPartitions("bucket")
+    dealt = blocks.repartitionById(1 << bucket_bits, F.col("bucket").cast("int"))  # a bucket each
     return dealt.mapInArrow(meet, "a long, b long")
 
 
