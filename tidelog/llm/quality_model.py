@@ -149,7 +149,7 @@ def with_features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [features(buf, at) for _, _, buf, at in slices(batch.column(1))]
+            parts = [features(buf, at) for _, _, buf, at in slices(batch.column(1), 1 << 20)]
             x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)), np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(x)], ["doc_id", "x"])
 
