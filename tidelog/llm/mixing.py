@@ -116,6 +116,7 @@ def slots(sources: DataFrame, n_slots: int, shard_slots: int = SHARD_SLOTS) -> D
     each = ranges.withColumn("slot", F.explode(F.sequence(F.col("part") * RANGE_SLOTS, last)))
     turn = F.floor(F.col("slot") / F.col("n_blocks"))
     block = permuted(F.pmod(F.col("slot"), F.col("n_blocks")), F.col("n_blocks"), F.col("rank"), turn)
+    block = F.coalesce(block, F.lit(0))  # never null, and so known to be: else the join would compute it twice to see
     shard = F.pmod(F.xxhash64("rank", "slot", F.lit(29)), F.col("shards"))
     return each.select("rank", "slot", turn.alias("turn"), block.alias("block"), shard.alias("shard"))
 
