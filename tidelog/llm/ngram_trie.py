@@ -289,7 +289,7 @@ def count_level(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.
 
     names = [c.split()[0] for c in columns.split(", ")]
     blocks = docs.select("text").mapInArrow(count, "segment long, block binary")
-    dealt = blocks.repartition(n_ranges, "segment").sortWithinPartitions("segment")
+    dealt = blocks.repartitionById(n_ranges, F.col("segment").cast("int"))  # a segment each
     return sorted(dealt.mapInArrow(add, f"segment long, {columns}").collect(), key=lambda r: r["segment"])  # a row for each segment
 
 
