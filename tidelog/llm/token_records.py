@@ -45,8 +45,7 @@ FORMAT = 1
 CACHE_SEGMENTS = 700_000
 #: Segments that stay when the memory is full: short ones are the frequent ones.
 SHORT = 7
-#: White space that is more than one space or line break between words; only there must a text be cut with care.
-_LOOSE = re.compile(r"\s\s|^\s|\s\Z")
+_SIGNS = (".", ",")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -107,24 +106,39 @@ class Encoder:
         return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def segments(self, text: str) -> list[str]:
-        if _LOOSE.search(text):
-            return _CUT.split(text)
-        return text.replace("\n", " \n").split(" ")
+        parts = text.replace("\n", " \n").split(" ")
+        # a space or a break beside another, or at an end: cut between words only
+        return _CUT.split(text) if "" in parts or "\n" in parts else parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.segments(x) if x else [] for x in texts]
         known = self.known
-        new = {s for parts in cut for s in parts[1:] if s not in known}
+        found = [list(map(known.get, parts[1:])) for parts in cut]
+        new = {s for parts, ids in zip(cut, found, strict=True) if None in ids for s, x in zip(parts[1:], ids, strict=True) if x is None}
         if new:
             if len(known) + len(new) > CACHE_SEGMENTS:
                 for s in [s for s in known if len(s) > SHORT]:
                     del known[s]
                 new = {s for parts in cut for s in parts[1:] if s not in known}
-            new = list(new)
-            known.update(zip(new, self.coded([s if s[:1] == "\n" else " " + s for s in new]), strict=True))
-        get = known.__getitem__
+                found = [[None] * (len(parts) - 1) for parts in cut]
+            self.learn(new)
         first = iter(self.coded([parts[0] for parts in cut if parts]))
-        return [next(first) + b"".join(map(get, parts[1:])) if parts else b"" for parts in cut]
+        get, out = known.__getitem__, []
+        for parts, ids in zip(cut, found, strict=True):
+            if None in ids:
+                ids = map(get, parts[1:])
+            out.append(next(first) + b"".join(ids) if parts else b"")
+        return out
+
+    def learn(self, new: set[str]) -> None:
+        """Encode segments; one that ends in a letter and a stop or comma is its stem's ids and the sign's."""
+        known = self.known
+        ended = [s for s in new if s[-1:] in _SIGNS and s[-2:-1].isalpha()]
+        whole = list((new | {s[:-1] for s in ended if s[:-1] not in known}).difference(ended))
+        known.update(zip(whole, self.coded([s if s[:1] == "\n" else " " + s for s in whole]), strict=True))
+        if ended:
+            signs = dict(zip(_SIGNS, self.coded(list(_SIGNS)), strict=True))
+            known.update((s, known[s[:-1]] + signs[s[-1]]) for s in ended)
 
 
 _encoders: dict[str, Encoder] = {}
