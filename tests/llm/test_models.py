@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 from tests.llm.fixtures import doc, lower, odd_table, words
 from tidelog.llm import embedding_groups, ngram_trie, pieces, quality_model, toxicity
@@ -202,6 +203,26 @@ def test_embeddings(spark):
     assert embedding_groups.embedding_groups(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["decaying", "low_rank", "unlinked"])
+def test_embeddings_of_uneven_spectrum(spark, monkeypatch, kind):
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(embedding_groups, "CELL_ROWS", 150)
+    monkeypatch.setattr(embedding_groups, "PROBES", 400, raising=False)
+    if kind == "low_rank":
+        base = rng.standard_normal((3000, 8)) @ rng.standard_normal((8, 64))
+        near = base[:1500] + 0.35 * rng.standard_normal((1500, 8)) @ rng.standard_normal((8, 64))
+    else:
+        base = rng.standard_normal((3000, 64)) / np.arange(1, 65) ** (kind == "decaying")
+        near = base[:1500] + 0.35 * rng.standard_normal((1500, 64)) / np.arange(1, 65) ** (kind == "decaying")
+    x = np.concatenate([base, near if kind != "unlinked" else near[:40]])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    close = embedding_groups.unit(x) @ embedding_groups.unit(x).T >= 0.9
+    np.fill_diagonal(close, False)
+    links = np.array([r.n_links for r in embedding_groups.embedding_groups(df).orderBy("vec_id").collect()])
+    true = close.sum(axis=1)
+    assert true.sum() and (links <= true).all() and links.sum() >= (0.99 if kind != "unlinked" else 1) * true.sum()
+
+
 def test_blocks_of_a_cell_count_once(spark, monkeypatch):
     rng = np.random.default_rng(3)
     v = np.array([1.0] * 8) + 0.01 * rng.standard_normal((90, 8))
