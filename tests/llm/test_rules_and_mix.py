@@ -38,6 +38,16 @@ def test_line_frequency(spark):
     assert 50 not in clean and clean[60].text == f"{body(7)}\n{body(8)}\n{body(9)}"
 
 
+def test_boilerplate_of_several_lines(spark):
+    banner = [" ".join(f"{x}{y}" for y in "abcdefghijkl") for x in ("one", "two", "three")]
+    body = lambda k: " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x{chr(97 + j)}" for j in range(30))
+    rows = [doc(k, "\n".join([*banner, body(k)]), "host") for k in range(15)]
+    rows += [doc(100 + k, "\n".join([*banner, body(99)]), "host") for k in range(40)]  # copies do not hide the others' lines
+    rows += [doc(200, "\n".join(banner), "host")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(odd_table(spark, rows)).collect()}
+    assert {r.removed_words for r in got.values()} == {36} and not got[200].kept and got[0].kept and got[100].kept
+
+
 def targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-32-be")) + [None] * (None in sizes)
     left = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}

@@ -2,20 +2,19 @@
 
 Base rules look at one text: its words, symbols, repeated lines and words inside 5-word windows that occur twice.
 The cross-document rule hashes normalised lines (lower case, digits as 0, runs of white space as one space), counts
-for each host the distinct documents of a line, and removes lines above the limit ``max(LINE_DOCS, LINE_SHARE x the
-host's documents)``. A document whose removed lines hold more than ``DEPLETED`` of its words is rejected.
+for each host the distinct texts with a line, and removes lines above the limit ``max(LINE_DOCS, LINE_SHARE x the
+host's distinct texts)``. A document whose removed lines hold more than ``DEPLETED`` of its words is rejected.
 
-Copies of a document are not boilerplate: a line that stands between the same neighbours wherever it occurs belongs to
-copies, which the duplicate operators judge. So a frequent line is removed only if its previous or its next lines are
-distinct in at least ``CONTEXT_SHARE`` of its documents.
+Copies of a document are not boilerplate, but the duplicate operators' business: documents of a host with equal texts
+count as one, both for a line and for the host. Every line above the limit is removed, whatever its neighbours.
 
-Scale: texts never leave their scan. Hashes of lines are counted with map-side combination, the few frequent ones are
+Scale: texts never leave their scan. The line hashes of equal texts are merged and counted with map-side combination, the few frequent ones are
 joined back to the lines (Spark broadcasts them only if their measured size allows and splits a skewed join), and the
 sums of a document are joined to its statistics. A hot host is a hot key of a pre-aggregated count only, as the line
 hash is part of every key.
 
 Edge cases: null and empty texts have no words and fail the base rules; a null host is a host; repeated rows and
-repeated doc_ids each get their own result row (equal rows count as documents of their own); an empty table gives
+repeated doc_ids each get their own result row; an empty table gives
 an empty result; further columns are ignored.
 """
 
@@ -31,7 +30,6 @@ from tidelog.llm.shared import whole_rows
 WINDOW = 5
 LINE_DOCS = 10
 LINE_SHARE = 0.002
-CONTEXT_SHARE = 0.5
 DEPLETED = 0.7
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _STRIP = " \t\n\x0b\x0c\r"
@@ -95,23 +93,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: doc_id, key, host, at, h, before, after, n (words)."""
+    """A row for each line with a word: doc_id, key, host, at, h, n (words)."""
     bare = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), normal_line), lambda x: x != "")
-    hashed = F.transform(bare, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
-    near = let(hashed, lambda a: F.transform(a, lambda x, i: F.struct(i.alias("at"), x["h"].alias("h"), x["n"].alias("n"), F.coalesce(F.get(a, i - 1)["h"], F.lit(0)).alias("before"), F.coalesce(F.get(a, i + 1)["h"], F.lit(0)).alias("after"))))
-    return docs.select("doc_id", "key", "host", F.explode(near).alias("l")).select("doc_id", "key", "host", "l.*")
+    hashed = F.transform(bare, lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
+    return docs.select("doc_id", "key", "host", F.explode(hashed).alias("l")).select("doc_id", "key", "host", "l.*")
 
 
 def boilerplate(docs: DataFrame) -> DataFrame:
     """(host, h): the lines that are removed, given the keyed documents."""
-    lines = _line_rows(docs)
     once = F.array_distinct(F.transform(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), normal_line), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    counts = docs.select("host", F.explode(once).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > LINE_DOCS)
-    hosts = docs.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")).withColumnRenamed("host", "host_")
-    frequent = counts.join(hosts, F.col("host").eqNullSafe(F.col("host_"))).where(F.col("n_docs") > LINE_SHARE * F.col("host_docs")).select(F.col("host").alias("host_"), F.col("h").alias("h_"), "n_docs")
-    seen = lines.join(frequent, (F.col("h") == F.col("h_")) & F.col("host").eqNullSafe(F.col("host_")))
-    contexts = seen.groupBy("host", "h").agg(F.first("n_docs").alias("n_docs"), F.countDistinct("before").alias("befores"), F.countDistinct("after").alias("afters"))
-    return contexts.where(F.greatest("befores", "afters") >= CONTEXT_SHARE * F.col("n_docs")).select("host", "h")
+    texts = docs.select("host", F.xxhash64("text").alias("t"), once.alias("once")).groupBy("host", "t").agg(F.first("once").alias("once"))
+    counts = texts.select("host", F.explode("once").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > LINE_DOCS)
+    hosts = docs.select("host", F.xxhash64("text").alias("t")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")).withColumnRenamed("host", "host_")
+    return counts.join(hosts, F.col("host").eqNullSafe(F.col("host_"))).where(F.col("n_docs") > LINE_SHARE * F.col("host_docs")).select("host", "h")
 
 
 def _removed(docs: DataFrame) -> DataFrame:
