@@ -48,6 +48,16 @@ def test_boilerplate_of_several_lines(spark):
     assert {r.removed_words for r in got.values()} == {36} and not got[200].kept and got[0].kept and got[100].kept
 
 
+def test_line_limit_has_a_ceiling(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "LINE_SHARE", 0.1)
+    monkeypatch.setattr(quality_rules, "MOST_LINE_DOCS", 20, raising=False)
+    body = lambda k: " ".join(f"w{k}x{j}" for j in "abcdefghijklmnopqrst")
+    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    rows = [doc(k, body(letters(k)) + "\na notice" * (k < 30) + "\nanother notice" * (k < 18), "host") for k in range(600)]
+    got = {r.doc_id: r.removed_words for r in quality_rules.quality_rules(odd_table(spark, rows)).collect()}
+    assert all(got[k] == 2 * (k < 30) for k in range(600))
+
+
 def targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-32-be")) + [None] * (None in sizes)
     left = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}

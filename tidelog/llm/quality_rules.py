@@ -3,7 +3,7 @@
 Base rules look at one text: its words, symbols, repeated lines and words inside 5-word windows that occur twice.
 The cross-document rule hashes normalised lines (lower case, digits as 0, runs of white space as one space), counts
 for each host the distinct texts with a line, and removes lines above the limit ``max(LINE_DOCS, LINE_SHARE x the
-host's distinct texts)``. A document whose removed lines hold more than ``DEPLETED`` of its words is rejected.
+host's distinct texts)``, which is ``MOST_LINE_DOCS`` at most however large the host is. A document whose removed lines hold more than ``DEPLETED`` of its words is rejected.
 
 Copies of a document are not boilerplate, but the duplicate operators' business: documents of a host with equal texts
 count as one, both for a line and for the host. Every line above the limit is removed, whatever its neighbours.
@@ -30,6 +30,8 @@ from tidelog.llm.shared import whole_rows
 WINDOW = 5
 LINE_DOCS = 10
 LINE_SHARE = 0.002
+#: The limit of a line never rises above this many distinct texts.
+MOST_LINE_DOCS = 100
 DEPLETED = 0.7
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _STRIP = " \t\n\x0b\x0c\r"
@@ -105,7 +107,7 @@ def boilerplate(docs: DataFrame) -> DataFrame:
     texts = docs.select("host", F.xxhash64("text").alias("t"), once.alias("once")).groupBy("host", "t").agg(F.first("once").alias("once"))
     counts = texts.select("host", F.explode("once").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > LINE_DOCS)
     hosts = docs.select("host", F.xxhash64("text").alias("t")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")).withColumnRenamed("host", "host_")
-    return counts.join(hosts, F.col("host").eqNullSafe(F.col("host_"))).where(F.col("n_docs") > LINE_SHARE * F.col("host_docs")).select("host", "h")
+    return counts.join(hosts, F.col("host").eqNullSafe(F.col("host_"))).where(F.col("n_docs") > F.least(F.lit(MOST_LINE_DOCS), LINE_SHARE * F.col("host_docs"))).select("host", "h")
 
 
 def _removed(docs: DataFrame) -> DataFrame:
