@@ -15,7 +15,7 @@ from tidelog.llm.pieces import encoded
 from tidelog.llm.quality_model import quality_scores
 from tidelog.llm.quality_rules import clean_documents
 from tidelog.llm.shared import stored, table, with_ids, work_dir
-from tidelog.llm.simhash import near_duplicates
+from tidelog.llm.simhash import first_documents
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,8 @@ def quality_model_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group; of rows of one doc_id one stays."""
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return with_ids(docs, first).dropDuplicates(["doc_id"])
+    """One document of each group, that of the smallest doc_id; rows that only share an id are no duplicates."""
+    return first_documents(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

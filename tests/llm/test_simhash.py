@@ -83,3 +83,12 @@ def test_components_chain(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {k: 0 for k in range(51)} | {200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pipeline_keeps_a_row_of_each_component(spark):
+    import corpus_pipeline
+
+    text = lambda x: " ".join(f"{x}{k}" for k in range(60))
+    rows = [doc(None, text("one")), doc(None, text("two")), doc(None, text("two")), doc(7, text("three")), doc(7, text("four")), doc(3, text("four")), doc(9, text("three"))]
+    kept = corpus_pipeline.near_duplicates_stage(spark, odd_table(spark, rows), "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", text("one")), ("None", text("two")), ("7", text("three")), ("3", text("four"))])

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.shared import LOWER, slices, small_batches, stored, word_bounds, work_dir
+from tidelog.llm.shared import LOWER, slices, small_batches, stored, whole_rows, word_bounds, work_dir
 
 RADIUS = 3
 SHINGLE = 3
@@ -87,16 +87,16 @@ def fingerprints(buf: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) -> np.
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long of the same bits."""
+    """(doc_id, text_hash, fp): the fingerprint as a signed long of the same bits."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [fingerprints(buf, at) for _, _, buf, at in slices(batch.column(1))]
+            parts = [fingerprints(buf, at) for _, _, buf, at in slices(batch.column(2))]
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 # ---- ball hashing --------------------------------------------------------------------------------------------
@@ -266,8 +266,8 @@ def links(fps: DataFrame, n: int) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fp, root (one for each component), component_id (its smallest doc_id)."""
     spark = docs.sparkSession
     folder = work_dir(spark, "simhash")
     marked = stored(with_fingerprints(docs), f"{folder}/fingerprints")
@@ -275,5 +275,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = stored(components(links(nodes, nodes.count())), f"{folder}/components")
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = rooted.join(named, "root").select("fp", "root", "component_id")
+    return marked.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_documents(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest doc_id (null last), fingerprint and text hash."""
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_hash")
+    first = grouped(docs).groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    rows = whole_rows(docs).withColumns({"id": F.col("row.doc_id").cast("long"), "text_hash": F.xxhash64("row.text")})
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")), "left_semi")
+    return kept.dropDuplicates(["id", "text_hash"]).select("row.*")
