@@ -203,6 +203,14 @@ def test_embeddings(spark):
     assert embedding_groups.embedding_groups(df.where("false")).count() == 0
 
 
+def test_long_texts_take_no_place_in_the_sample(spark, monkeypatch):
+    docs = odd_table(spark, [doc(k, "word " * (100 if k % 4 else 5) + str(k)) for k in range(200)])
+    labels = spark.createDataFrame([(k, k // 4 % 2) for k in range(200)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 10)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 60)
+    assert Counter(toxicity.training_texts(docs, labels)["y"].to_pylist()) == {0: 10, 1: 10}
+
+
 @pytest.mark.parametrize("kind", ["decaying", "low_rank", "unlinked"])
 def test_embeddings_of_uneven_spectrum(spark, monkeypatch, kind):
     rng = np.random.default_rng(11)

@@ -11,7 +11,7 @@ those that score highest (for clean documents these are the hardest negatives).
 through time; steps follow Adam with a fixed seed.
 
 Scale: the network trains on the driver on at most ``SAMPLE_DOCS`` documents of each label of up to ``SAMPLE_BYTES``
-bytes, those of the lowest id hash; their ids (a bounded list) are broadcast to find their texts. Every whole text is
+bytes, those of the lowest id hash among documents of that length; their ids (a bounded list) are broadcast to find their texts. Every whole text is
 scored in one pass without a shuffle, distinct words of a slice once, windows in blocks of bounded memory.
 
 Edge cases: null and empty texts are one empty window; labels that are null are left out, repeated ones count once
@@ -321,9 +321,10 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> pa.Table:
     """(text, y) of the training sample."""
     y = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id_")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     y = y.where(crc_mod(F.col("doc_id_"), FOLDS) != HELD_OUT)
-    few = [y.where(F.col("y") == k).orderBy(F.xxhash64("doc_id_"), "doc_id_").limit(SAMPLE_DOCS) for k in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.where(F.octet_length("text") <= SAMPLE_BYTES)
+    y = y.join(texts.select("doc_id"), F.col("doc_id") == F.col("doc_id_"), "left_semi")
+    few = [y.where(F.col("y") == k).orderBy(F.xxhash64("doc_id_"), "doc_id_").limit(SAMPLE_DOCS) for k in (0, 1)]
     joined = texts.join(F.broadcast(few[0].union(few[1])), F.col("doc_id") == F.col("doc_id_"))
     once = joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     return once.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").toArrow()
