@@ -19,10 +19,10 @@ r AS (SELECT rid, sum(span) AS n_repeat FROM g GROUP BY rid),
 raw AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: trim(x, {_BLANK}) <> '') AS ls FROM d),
 nl AS (SELECT rid, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(lower(regexp_replace(regexp_replace(x, '{_WS}', ' ', 'g'), '[0-9]', '0', 'g')))), lambda x: x <> '') AS ls FROM d),
 li AS (SELECT rid, ls, unnest(range(1, len(ls) + 1)) AS i FROM nl WHERE len(ls) > 0),
-l AS (SELECT li.rid, d.host, ls[i] AS x, coalesce(ls[i + 1], '') AS nxt, CASE WHEN i > 1 THEN ls[i - 1] ELSE '' END AS prv, len(string_split(ls[i], ' ')) AS n FROM li JOIN d ON li.rid = d.rid),
-h AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),
-c AS (SELECT host, x, count(DISTINCT rid) AS n_docs, count(DISTINCT prv) AS prvs, count(DISTINCT nxt) AS nxts FROM l GROUP BY host, x),
-bad AS (SELECT c.host, c.x FROM c JOIN h ON c.host IS NOT DISTINCT FROM h.host WHERE n_docs > {q.LINE_DOCS} AND n_docs > {q.LINE_SHARE} * host_docs AND greatest(prvs, nxts) >= {q.CONTEXT_SHARE} * n_docs),
+l AS (SELECT li.rid, d.host, d.t, ls[i] AS x, len(string_split(ls[i], ' ')) AS n FROM li JOIN d ON li.rid = d.rid),
+h AS (SELECT source AS host, count(DISTINCT text) + max(CAST(text IS NULL AS INT)) AS host_docs FROM documents GROUP BY source),
+c AS (SELECT host, x, count(DISTINCT t) AS n_docs FROM l GROUP BY host, x),
+bad AS (SELECT c.host, c.x FROM c JOIN h ON c.host IS NOT DISTINCT FROM h.host WHERE n_docs > {q.LINE_DOCS} AND n_docs > least({q.MOST_LINE_DOCS}, {q.LINE_SHARE} * host_docs)),
 gone AS (SELECT l.rid, sum(l.n) AS lost FROM l JOIN bad ON l.x = bad.x AND l.host IS NOT DISTINCT FROM bad.host GROUP BY l.rid),
 f AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{_WS}', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
