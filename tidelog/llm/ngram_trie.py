@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import LOWER, arrow_fs, crc_mod, slices, small_batches, word_bounds, word_hashes, work_dir
+from tidelog.llm.shared import LOWER, arrow_fs, crc_mod, replace, slices, small_batches, word_bounds, word_hashes, work_dir
 
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
@@ -162,7 +162,7 @@ def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
         out.write(len(head).to_bytes(8, "little") + head)
         for v in arrays.values():
             out.write(np.ascontiguousarray(v).tobytes() + bytes(-v.nbytes % 64))
-    fs.move(own, f"{path}/{name}")
+    replace(fs, own, f"{path}/{name}")
 
 
 def load(folder: str, name: str) -> dict[str, np.ndarray]:

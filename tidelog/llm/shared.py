@@ -51,6 +51,17 @@ def arrow_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def replace(fs: pafs.FileSystem, own: str, final: str) -> None:
+    """Give a file its final name, also where an earlier attempt has left one and the store's move does not replace."""
+    try:
+        fs.move(own, final)
+    except OSError:
+        if fs.get_file_info(final).type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(final)
+        fs.move(own, final)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that this session sends to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

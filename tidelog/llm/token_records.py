@@ -11,13 +11,14 @@ every frame, so a shuffled reader seeks straight to any record.
 
 Encoding is by the tokenizers library. A byte-level pre-tokenizer always cuts before a single space that stands
 between two non-space characters, and around a line break that does, so a text is cut there and each distinct segment
-is encoded once per worker.
+is looked up once in a group of texts and encoded once per worker.
 
-Scale: one range exchange of the texts on doc_id, whose partitions Spark sizes; each task streams its own shard
+Scale: one range exchange of the texts on doc_id and a hash of the text, whose partitions Spark sizes (an id that
+many rows share, or a row that is repeated, is split); each task streams its own shard
 to the shared folder under an attempt's name and renames it, so a lost executor or a second attempt leaves whole
 files only. The driver holds a row for each shard, of which there are no more than shuffle partitions.
 
-Edge cases: a null text is the empty text (the end id alone); equal doc_ids are ordered by their text; a null
+Edge cases: a null text is the empty text (the end id alone); equal doc_ids are ordered by the hash of their text; a null
 doc_id comes first; an empty table gives no shard and no row; further columns are ignored.
 """
 
@@ -27,26 +28,34 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import arrow_fs, small_batches, work_dir
+from tidelog.llm.shared import arrow_fs, replace, slices, small_batches, work_dir
 
 END_ID = 2
 MAGIC = b"TRX1"
 FORMAT = 1
 #: Distinct segments that a worker remembers.
-CACHE_SEGMENTS = 700_000
+CACHE_SEGMENTS = 1_200_000
+#: Bytes of texts that are encoded together.
+GROUP_BYTES = 12 << 20
 #: Segments that stay when the memory is full: short ones are the frequent ones.
 SHORT = 7
-_SIGNS = (".", ",")
+#: Segments that are encoded as one text: each begins with a space of its own, so their ids can be told apart.
+JOINED = 100
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Letters and then signs: the pre-tokenizer cuts between the two (an apostrophe may go either way).
+_SIGNED = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;<=>?@\[\]^_`{|}~]+)")
+#: White space other than the space and the line break.
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 
 
 def masked_crc(data: bytes) -> int:
@@ -87,10 +96,10 @@ def parsed(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes of ``width`` each, with a bounded memory of segments.
+    """Ids of whole texts, with a bounded memory of segments.
 
-    ``known`` maps a segment without its leading space to the ids it has with that space; a segment that follows a
-    line break carries the break instead of a space.
+    ``known`` numbers a segment, kept without its leading space; ``flat`` has from ``at[number]`` on the ids that it has
+    with that space. A segment that follows a line break carries the break instead of a space.
     """
 
     def __init__(self, path: str):
@@ -99,46 +108,107 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-
-    def coded(self, texts: list[str]) -> list[bytes]:
-        kind = "H" if self.width == 2 else "I"
-        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def segments(self, text: str) -> list[str]:
-        parts = text.replace("\n", " \n").split(" ")
-        # a space or a break beside another, or at an end: cut between words only
-        return _CUT.split(text) if "" in parts or "\n" in parts else parts
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.segments(x) if x else [] for x in texts]
-        known = self.known
-        found = [list(map(known.get, parts[1:])) for parts in cut]
-        new = {s for parts, ids in zip(cut, found, strict=True) if None in ids for s, x in zip(parts[1:], ids, strict=True) if x is None}
-        if new:
-            if len(known) + len(new) > CACHE_SEGMENTS:
-                for s in [s for s in known if len(s) > SHORT]:
-                    del known[s]
-                new = {s for parts in cut for s in parts[1:] if s not in known}
-                found = [[None] * (len(parts) - 1) for parts in cut]
+        self.kind = np.dtype(f"<u{self.width}")
+        words = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.leads = np.zeros(max(words.values()) + 1, bool)  # ids that begin with a space
+        self.leads[[i for w, i in words.items() if w.startswith("\u0120")]] = True
+        self.known: dict[str, int] = {}
+        self.flat, self.at = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), self.kind), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    @staticmethod
+    def segments(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Segments, and where each text's begin and how many it has."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        parts, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        begin, size = at[:-1] - at[0], np.diff(at)
+        # white space beside other, or at an end: such a text is cut between words only
+        bare = pc.not_equal(pc.binary_length(parts), pc.binary_length(pc.utf8_trim(parts, _BLANKS)))
+        odd_part = pc.or_(bare, pc.or_(pc.equal(parts, ""), pc.equal(parts, "\n"))).to_numpy(zero_copy_only=False)
+        odd = np.unique(np.searchsorted(begin, np.flatnonzero(odd_part), "right") - 1)
+        if len(odd):
+            cut = [_CUT.split(x) if x else [] for x in texts.take(pa.array(odd)).to_pylist()]
+            size[odd] = [len(x) for x in cut]
+            begin[odd] = len(parts) + np.cumsum(size[odd]) - size[odd]
+            parts = pa.concat_arrays([parts, pa.array(list(chain.from_iterable(cut)), parts.type)])
+        return parts, begin, size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each begins (n + 1 values)."""
+        parts, begin, size = self.segments(texts.fill_null(""))
+        some = np.flatnonzero(size)
+        first, first_size = self.coded(parts.take(pa.array(begin[some])).to_pylist())
+        more = size[some] - 1
+        place = _spans(begin[some] + 1, more)
+        distinct = parts.take(pa.array(place)).dictionary_encode()
+        numbers = self.numbers(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())[distinct.indices.to_numpy()]
+        # the first segments take the numbers after those that are known
+        flat = np.concatenate((self.flat, first))
+        at = np.concatenate((self.at, self.at[-1] + np.cumsum(first_size)))
+        order = np.insert(numbers, np.cumsum(more) - more, len(self.at) - 1 + np.arange(len(some)))
+        n_ids = at[order + 1] - at[order]
+        ends = np.concatenate(([0], np.cumsum(n_ids)))
+        return flat[_spans(at[order], n_ids)], ends[np.concatenate(([0], np.cumsum(size)))]
+
+    def numbers(self, segments: list[str]) -> np.ndarray:
+        """The numbers of segments, each there once; new ones are learnt."""
+        found = list(map(self.known.get, segments))
+        if None in found:
+            new = [s for s, n in zip(segments, found, strict=True) if n is None]
+            if len(self.known) + len(new) > CACHE_SEGMENTS:
+                self.forget()
+                new = [s for s in segments if s not in self.known]
             self.learn(new)
-        first = iter(self.coded([parts[0] for parts in cut if parts]))
-        get, out = known.__getitem__, []
-        for parts, ids in zip(cut, found, strict=True):
-            if None in ids:
-                ids = map(get, parts[1:])
-            out.append(next(first) + b"".join(ids) if parts else b"")
-        return out
-
-    def learn(self, new: set[str]) -> None:
-        """Encode segments; one that ends in a letter and a stop or comma is its stem's ids and the sign's."""
-        known = self.known
-        ended = [s for s in new if s[-1:] in _SIGNS and s[-2:-1].isalpha()]
-        whole = list((new | {s[:-1] for s in ended if s[:-1] not in known}).difference(ended))
-        known.update(zip(whole, self.coded([s if s[:1] == "\n" else " " + s for s in whole]), strict=True))
-        if ended:
-            signs = dict(zip(_SIGNS, self.coded(list(_SIGNS)), strict=True))
-            known.update((s, known[s[:-1]] + signs[s[-1]]) for s in ended)
+            found = list(map(self.known.__getitem__, segments))
+        return np.array(found, np.int64)
+
+    def forget(self) -> None:
+        """Keep the short segments, which are the frequent ones."""
+        short = [s for s in self.known if len(s) <= SHORT]
+        if len(short) > CACHE_SEGMENTS // 2:
+            short = []
+        kept = np.fromiter(map(self.known.__getitem__, short), np.int64, len(short))
+        size = self.at[kept + 1] - self.at[kept]
+        self.flat = self.flat[_spans(self.at[kept], size)]
+        self.at = np.concatenate(([0], np.cumsum(size)))
+        self.known = dict(zip(short, range(len(short)), strict=True))
+
+    def learn(self, new: list[str]) -> None:
+        """Number segments and encode them; one of letters and then signs has the ids of the letters and of the signs."""
+        signed = {s: m.groups() for s in new if (m := _SIGNED.fullmatch(s))}
+        stems = {word for word, _ in signed.values()}.difference(self.known)
+        whole = list({s for s in new if s not in signed} | stems)
+        alone = {s for s in whole if s[:1] == "\n" or " " in s}
+        self._add(list(alone), *self.coded([s if s[:1] == "\n" else " " + s for s in alone]))
+        spaced = [s for s in whole if s not in alone]
+        ids, _ = self.coded([" " + " ".join(spaced[i : i + JOINED]) for i in range(0, len(spaced), JOINED)])
+        begin = np.flatnonzero(self.leads[ids])
+        if len(begin) != len(spaced):
+            raise ValueError("the tokenizer joins segments")
+        self._add(spaced, ids, np.diff(np.append(begin, len(ids))))
+        signs = sorted({sign for _, sign in signed.values()})
+        ids, size = self.coded(signs)
+        number = dict(zip(signs, range(len(signs)), strict=True))
+        # the signs take the numbers after those that are known
+        flat = np.concatenate((self.flat, ids))
+        at = np.concatenate((self.at, self.at[-1] + np.cumsum(size)))
+        both = np.array([x for word, sign in signed.values() for x in (self.known[word], len(self.at) - 1 + number[sign])], np.int64)
+        size = at[both + 1] - at[both]
+        self._add(list(signed), flat[_spans(at[both], size)], size[::2] + size[1::2])
+
+    def _add(self, segments: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.known.update(zip(segments, range(len(self.at) - 1, len(self.at) - 1 + len(segments)), strict=True))
+        self.flat = np.concatenate((self.flat, ids))
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(size)))
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of spans, one span after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -150,10 +220,30 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _groups(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple[list, list]]:
-    for i in range(0, batch.num_rows, rows):
-        part = batch.slice(i, rows)
-        yield part.column(0).to_pylist(), part.column(1).to_pylist()
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts of rows that are encoded together: about GROUP_BYTES of text, or one text that has more."""
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in _parts(batch):
+            waiting.append(part)
+            size += part.nbytes
+            if size >= GROUP_BYTES:
+                yield _joined(waiting)
+                waiting, size = [], 0
+    if waiting:
+        yield _joined(waiting)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of GROUP_BYTES at most, but for single rows."""
+    for begin, end, _, _ in slices(batch.column(1), GROUP_BYTES):
+        yield batch.slice(begin, end - begin)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> tuple[list, pa.Array]:
+    whole = pa.Table.from_batches(parts).combine_chunks()
+    return whole.column(0).to_pylist(), whole.column(1).combine_chunks()
 
 
 def _put(fs, final: str, attempt: str, write) -> None:
@@ -161,13 +251,15 @@ def _put(fs, final: str, attempt: str, write) -> None:
     own = f"{final}.{attempt}"
     with fs.open_output_stream(own) as out:
         write(out)
-    fs.move(own, final)
+    replace(fs, own, final)
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Write the records of (doc_id, text) below ``folder`` and return the shards: shard, n_docs, n_tokens."""
     small_batches(docs.sparkSession)
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    dealt = keyed.repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
+
     def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard, attempt = context.partitionId(), str(context.taskAttemptId())
@@ -180,19 +272,15 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
         fs.create_dir(path, recursive=True)
         final = f"{path}/shard-{shard:06d}.rec"
 
-        def rows():
-            yield from _groups(first)
-            for batch in batches:
-                yield from _groups(batch)
-
         def records(out):
             nonlocal n_tokens, at
-            for ids, texts in rows():
-                for doc_id, coded in zip(ids, code.encode(texts), strict=True):
-                    data = frame(payload_of(doc_id, coded + end, code.width))
+            for doc_ids, texts in _groups(chain([first], batches)):
+                ids, ends = code.encode(texts)
+                n_tokens += len(ids) + len(doc_ids)
+                for doc_id, begin, stop in zip(doc_ids, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    data = frame(payload_of(doc_id, ids[begin:stop].tobytes() + end, code.width))
                     offsets.append(at)
                     at += len(data)
-                    n_tokens += len(coded) // code.width + 1
                     out.write(data)
 
         _put(fs, final, attempt, records)
