@@ -251,3 +251,50 @@ def test_words_and_hashes():
     assert got == [words(t) for t in texts]
     h = word_hashes(buf, starts, ends)
     assert h[0] == h[-1] and len(set(h.tolist())) == len(h) - 1
+
+
+def n_best_scores(lattice, text, n):
+    """The n best scores over the whole lattice of a text, by dynamic programming."""
+    s, best = pieces.SPACE + text.replace(" ", pieces.SPACE), [[0.0]]
+    for e in range(1, len(s) + 1):
+        found, whole = [], False
+        for i in range(max(0, e - lattice.longest), e):
+            p = lattice.id_of.get(s[i:e])
+            if p is not None:
+                whole |= i == e - 1
+                found += [x + lattice.score_of[p] for x in best[i]]
+        if not whole:
+            found += [x + lattice.unknown for x in best[e - 1]]
+        best.append(sorted(found, reverse=True)[:n])
+    return best[-1]
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    rng = random.Random(6)
+    signs = [" "] * 5 + ["\n", "\n", "\t", "  ", "\r\n", "don't", "...", "$$$", "ий", "日本語", "é", "ing", "the", "tion", *"abcdeinorst,.;!1920-_"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(20, 300))) for _ in range(120)] + ["\n", " \n ", "a\n", "x" * 100, "ab1" * 60]
+    for units, parts in ((700_000, 700_000), (40, 60)):  # the second forgets again and again
+        monkeypatch.setattr(pieces, "CACHE_UNITS", units)
+        monkeypatch.setattr(pieces, "CACHE_PARTS", parts)
+        known = pieces.Lattice(MODEL)
+        for at in range(0, len(texts), 25):
+            for t, ways in zip(texts[at : at + 25], known.encode(texts[at : at + 25]), strict=True):
+                want = n_best_scores(known, t, 4)
+                assert np.allclose([w for w, _ in ways], want, rtol=0, atol=1e-8), t
+                assert len({tuple(i) for _, i in ways}) == len(ways) and all(known.decode(i) == t for _, i in ways)
+    marked = ["a▁b", "▁", " ▁ ▁▁x", "", None]
+    assert [known.decode(w[0][1]) for w in known.encode(marked)] == [x or "" for x in marked]
+
+
+def test_pieces_of_a_very_long_unit():
+    import resource
+    import time
+
+    known, rng = pieces.Lattice(MODEL), random.Random(8)
+    known.encode(["warm up"])
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(64_000))
+    ways = known.encode([text])[0]
+    assert len(ways) == 4 and all(known.decode(i) == text for _, i in ways)
+    assert sorted((w for w, _ in ways), reverse=True) == [w for w, _ in ways]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000 and time.process_time() - began < 30

@@ -3,7 +3,8 @@
 A text becomes U+2581 plus itself with each space as U+2581. The piece lattice has an edge for every vocabulary piece
 at every place, with the piece's score in the model; a character that no piece holds is an edge with the lowest score
 less 10 and becomes its UTF-8 bytes. No piece but runs of U+2581 holds one inside, so every path passes the places
-before a run of U+2581 and the lattice falls into units, each solved once per worker.
+before a run of U+2581 and the lattice falls into units. A unit falls into parts wherever no piece holds the two
+characters that meet there; each part is solved once per worker, and a unit is its parts in a row.
 
 Forward Viterbi scores of a unit are exact heuristics for the search from its end: A-star takes the partial path whose
 score plus the best score of what is left is highest, so complete paths come out in order. A text's N best differ from
@@ -14,8 +15,10 @@ best path lacks.
 
 Order: higher score first; the best path of a unit takes the longest last piece among equals.
 
-Scale: no shuffle; whole texts, one at a time; new units of a batch are solved together by numpy over padded arrays of
-bounded size, very long units one by one in linear time. A worker forgets its units when it knows ``CACHE_UNITS``.
+Scale: no shuffle; whole texts, in groups of about ``GROUP_BYTES`` (or one text that has more); new parts of a group are
+solved together by numpy over padded arrays of bounded size, very long parts one by one in linear time and memory, as
+the search keeps no more than N partial paths, which share their ends. A worker forgets its units when it knows
+``CACHE_UNITS``, and its parts when it knows ``CACHE_PARTS``.
 
 Edge cases: null and empty texts have no pieces, score 0 and one segmentation; a U+2581 in the text itself is written
 as its bytes, so decoding gives every text back; repeated rows each get their own row; an empty table gives an empty
@@ -27,25 +30,28 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import small_batches
+from tidelog.llm.shared import small_batches, spans, text_buffer, text_groups
 
 N_BEST = 4
 SPACE = "▁"
 PENALTY = 10.0
-CACHE_UNITS = 400_000
+CACHE_UNITS = 700_000
+CACHE_PARTS = 700_000
 CACHE_LISTS = 20_000
-#: Units longer than this are solved alone; cells of the padded arrays (units x places x piece lengths).
+#: Parts longer than this are solved alone; cells of the padded arrays (parts x places x piece lengths).
 LONG_UNIT = 40
 CELLS = 1_500_000
-#: Texts that are encoded together.
-GROUP = 256
+#: Bytes of texts that are encoded together.
+GROUP_BYTES = 8 << 20
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -68,15 +74,42 @@ class Lattice:
             self.bytes_of[i] = text.replace(SPACE, " ").encode()
         for b, i in enumerate(self.byte_id):
             self.bytes_of[i] = bytes([b])
+        self.bytes_flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.bytes_at = np.concatenate(([0], np.cumsum([len(b) for b in self.bytes_of])))
         self._hash_pieces()
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.units: list[str] = []
-        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.score, self.gap = np.zeros(0), np.zeros(0)
-        self.listed: dict[tuple[int, int], list] = {}
+        self._mark_inner()
+        self.parts = Solved()
+        self.units = Solved()
+        self.listed: dict[tuple[str, int], list] = {}
+
+    # where a unit may be cut
+
+    INNER_BITS = 20
+
+    def _mark_inner(self) -> None:
+        """The pairs of characters that stand together inside a piece, by hash; a collision only leaves out a cut."""
+        self.inner = np.zeros(1 << self.INNER_BITS, bool)
+        flat = np.frombuffer("".join(self.id_of).encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.cumsum([len(t) for t in self.id_of])
+        inside = np.ones(len(flat), bool)
+        inside[ends - 1] = False
+        at = np.flatnonzero(inside)
+        self.inner[self._pairs(flat[at], flat[at + 1])] = True
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        both = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+        return (self._finish(both * self.BASE) >> np.uint64(64 - self.INNER_BITS)).astype(np.int64)
+
+    def cut(self, units: list[str]) -> tuple[list[str], np.ndarray]:
+        """The parts of units that are not empty, and how many each has."""
+        whole = "".join(units)
+        flat = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        first = np.cumsum([0, *map(len, units)])
+        begins = np.ones(len(flat), bool)
+        begins[1:] = ~self.inner[self._pairs(flat[:-1], flat[1:])]
+        begins[first[:-1]] = True
+        at = np.append(np.flatnonzero(begins), len(flat))
+        return [whole[a:b] for a, b in pairwise(at.tolist())], np.diff(np.searchsorted(at, first))
 
     # piece lookup by hashed substrings
 
@@ -194,129 +227,175 @@ class Lattice:
 
     # one unit
 
-    def edges_to(self, unit: str) -> list[list[tuple[int, int, float]]]:
-        """For each place, the edges that end there: (start, piece or -1, score)."""
-        found: list[list] = [[] for _ in range(len(unit) + 1)]
-        for i in range(len(unit)):
-            whole = False
-            for k in range(1, min(self.longest, len(unit) - i) + 1):
-                p = self.id_of.get(unit[i : i + k])
-                if p is not None:
-                    found[i + k].append((i, p, self.score_of[p]))
-                    whole |= k == 1
-            if not whole:
-                found[i + 1].append((i, -1, self.unknown))
+    def edges_to(self, unit: str, e: int) -> list[tuple[int, int, float]]:
+        """The edges that end at a place: (start, piece or -1, score), the longest first."""
+        found = []
+        for i in range(max(0, e - self.longest), e):
+            p = self.id_of.get(unit[i:e])
+            if p is not None:
+                found.append((i, p, self.score_of[p]))
+        if not found or found[-1][0] < e - 1:
+            found.append((e - 1, -1, self.unknown))
         return found
 
-    def best_of(self, unit: str, n: int) -> list[tuple[float, np.ndarray]]:
-        """The n best segmentations of a unit: backward A-star, exact by its forward Viterbi scores."""
-        edges = self.edges_to(unit)
-        ahead, back = [0.0], [None]
+    def _ahead(self, unit: str) -> tuple[np.ndarray, np.ndarray]:
+        """Forward Viterbi: the best score of every place, and where the last piece of that begins (the longest among equals)."""
+        ahead, back = np.zeros(len(unit) + 1), np.zeros(len(unit) + 1, np.int64)
         for e in range(1, len(unit) + 1):
-            i, p, s = max(edges[e], key=lambda x: (ahead[x[0]] + x[2], -x[0]))
-            # the longest among equals is the one with the smallest start
-            ahead.append(ahead[i] + s)
-            back.append((i, p))
-        if n == 1:
-            path, e = [], len(unit)
-            while e:
-                i, p = back[e]
-                path.append((i, p))
-                e = i
-            return [(ahead[-1], self._path(unit, path[::-1]))]
+            best, pick = -np.inf, 0
+            for i, _, s in self.edges_to(unit, e):
+                if ahead[i] + s > best:
+                    best, pick = ahead[i] + s, i
+            ahead[e], back[e] = best, pick
+        return ahead, back
+
+    def alone(self, unit: str) -> tuple[np.ndarray, float, float]:
+        """Ids, score and loss of the second best path of a very long part, in linear time and memory."""
+        ahead, back = self._ahead(unit)
+        rest = np.full(len(unit) + 1, -np.inf)
+        rest[len(unit)] = 0
+        used, other, path = len(unit), -np.inf, None
+        for e in range(len(unit), 0, -1):
+            for i, p, s in self.edges_to(unit, e):
+                rest[i] = max(rest[i], s + rest[e])
+                if e == used and i == back[e]:
+                    path = (i, p, path)
+                else:
+                    other = max(other, ahead[i] + s + rest[e])
+            if e == used:
+                used = back[e]
+        return self._path(unit, path), float(ahead[-1]), float(ahead[-1] - other)
+
+    def best_of(self, unit: str, n: int) -> list[tuple[float, np.ndarray]]:
+        """The n best segmentations of a unit: backward A-star, exact by its forward Viterbi scores.
+
+        An entry's value is the score of the best path that ends as it does, and no two entries share a path, so an
+        entry behind n better ones leads to none of the n best and is let go. Paths share their ends.
+        """
+        ahead, _ = self._ahead(unit)
         order, out = 0, []
-        heap: list[tuple] = [(-ahead[-1], 0, len(unit), 0.0, ())]
-        while heap and len(out) < n:
-            _, _, place, done, path = heapq.heappop(heap)
+        front: list[tuple] = [(-ahead[-1], 0, len(unit), 0.0, None)]
+        while front and len(out) < n:
+            _, _, place, done, path = front.pop(0)
             if place == 0:
                 out.append((done, self._path(unit, path)))
                 continue
-            for i, p, s in sorted(edges[place]):
+            for i, p, s in self.edges_to(unit, place):
                 order += 1
-                heapq.heappush(heap, (-(ahead[i] + done + s), order, i, done + s, ((i, p), *path)))
+                front.append((-(ahead[i] + done + s), order, i, done + s, (i, p, path)))
+            front = sorted(front, key=lambda x: x[:2])[: n - len(out)]
         return out
 
-    def _path(self, unit: str, path) -> np.ndarray:
-        return self._spelled(unit, np.array([p for _, p in path], np.int32), np.array([i for i, _ in path], np.int64))
+    def _path(self, unit: str, path: tuple | None) -> np.ndarray:
+        pieces, places = [], []
+        while path is not None:
+            at, piece, path = path
+            places.append(at)
+            pieces.append(piece)
+        return self._spelled(unit, np.array(pieces, np.int32), np.array(places, np.int64))
 
     # texts
 
     def units_of(self, text: str) -> list[str]:
         """Units of a text; the empty unit stands for a U+2581 of its own."""
-        if SPACE not in text:
-            words = text.split(" ")
-            if "" not in words:
-                return [SPACE + w for w in words]
-            return _UNITS.findall(SPACE + text.replace(" ", SPACE))
         out: list[str] = []
         for k, part in enumerate(text.split(SPACE)):
             out += ([""] if k else []) + _UNITS.findall((SPACE if k == 0 else "") + part.replace(" ", SPACE))
         return out
 
-    def learn(self, units: list[str]) -> None:
-        """Solve units that are new, in classes of like length."""
-        if len(self.number) + len(units) > CACHE_UNITS:
-            self.forget()
-        units = sorted(units, key=len)
-        ids, number, score, gap, done = [], [], [], [], 0
-        while done < len(units):
-            width = len(units[done])
-            if width == 0 or width > LONG_UNIT:
-                u = units[done]
-                found = self.best_of(u, 1) if u else [(3 * self.unknown, np.array([self.byte_id[b] for b in SPACE.encode()], np.int32))]
-                ids.append(found[0][1])
-                number.append([len(found[0][1])])
-                score.append([found[0][0]])
-                gap.append([self._second(u) if u else np.inf])
-                done += 1
-                continue
-            most = max(1, CELLS // (min(width + 2, LONG_UNIT) * min(self.longest, width + 2)))
-            end = done + 1
-            while end < len(units) and end - done < most and len(units[end]) <= min(width + 2, LONG_UNIT):
-                end += 1
-            for whole, part in zip((ids, number, score, gap), self._solve(units[done:end]), strict=True):
-                whole.append(part)
+    @staticmethod
+    def unit_of(key: str) -> str:
+        """The unit of a key: a word follows a U+2581, a line break goes without, a space marks a unit as it is."""
+        return key[1:] if key[:1] == " " else key if key[:1] == "\n" else SPACE + key
+
+    def keys_of(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The keys of the units of all texts, and where each text's begin (n + 1 values)."""
+        texts = texts.fill_null("")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        keys, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        begin, size = at[:-1] - at[0], np.diff(at)
+        odd_key = np.flatnonzero(pc.equal(keys, "").to_numpy(zero_copy_only=False))
+        odd = np.union1d(np.searchsorted(begin, odd_key, "right") - 1, np.flatnonzero(pc.match_substring(texts, SPACE).to_numpy(zero_copy_only=False)))
+        if len(odd):  # spaces that stand together or at an end, or a U+2581
+            cut = [[" " + u for u in self.units_of(x)] if x else [] for x in texts.take(pa.array(odd)).to_pylist()]
+            size[odd] = [len(x) for x in cut]
+            begin[odd] = len(keys) + np.cumsum(size[odd]) - size[odd]
+            keys = pa.concat_arrays([keys, pa.array(list(chain.from_iterable(cut)), keys.type)])
+            keys = keys.take(pa.array(spans(begin, size)))
+        return keys, np.concatenate(([0], np.cumsum(size)))
+
+    def numbered(self, keys: list[str]) -> np.ndarray:
+        """The numbers of units by their keys, each there once; new ones are solved."""
+        number = self.units.number
+        found = list(map(number.get, keys))
+        if None in found:
+            new = [k for k, n in zip(keys, found, strict=True) if n is None]
+            if len(number) + len(new) > CACHE_UNITS:
+                self.units = Solved()
+                number, new = self.units.number, keys
+            self.learn(new)
+            found = list(map(number.__getitem__, keys))
+        return np.array(found, np.int64)
+
+    def learn(self, keys: list[str]) -> None:
+        """Units that are new, from their parts."""
+        literal = np.array([self.byte_id[b] for b in SPACE.encode()], np.int32)
+        if " " in keys:  # the empty unit stands for a U+2581 of the text's own
+            self.units.add([" "], literal, np.array([3]), np.array([3 * self.unknown]), np.array([np.inf]))
+            keys = [k for k in keys if k != " "]
+        if not keys:
+            return
+        parts, size = self.cut(list(map(self.unit_of, keys)))
+        number = self.parts.number
+        new = set(parts).difference(number)
+        if len(number) + len(new) > CACHE_PARTS:
+            self.parts = Solved()
+            number, new = self.parts.number, set(parts)
+        if new:
+            self.solve_parts(sorted(new, key=len))
+        own = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+        first = np.cumsum(size) - size
+        n_ids = self.parts.size(own)
+        self.units.add(keys, self.parts.ids(own), np.add.reduceat(n_ids, first), np.add.reduceat(self.parts.score[own], first), np.minimum.reduceat(self.parts.gap[own], first))
+
+    def solve_parts(self, parts: list[str]) -> None:
+        """Solve parts, the shortest first, in classes of like length."""
+        found: list[list] = [[], [], [], []]
+        done = 0
+        while done < len(parts):
+            width = len(parts[done])
+            if width > LONG_UNIT:
+                ids, score, gap = self.alone(parts[done])
+                solved, end = (ids, [len(ids)], [score], [gap]), done + 1
+            else:
+                most = max(1, CELLS // (min(width + 2, LONG_UNIT) * min(self.longest, width + 2)))
+                end = done + 1
+                while end < len(parts) and end - done < most and len(parts[end]) <= min(width + 2, LONG_UNIT):
+                    end += 1
+                solved = self._solve(parts[done:end])
+            for whole, own in zip(found, solved, strict=True):
+                whole.append(own)
             done = end
-        begin = len(self.units)
-        self.number.update((u, begin + k) for k, u in enumerate(units))
-        self.units += units
-        self.flat = np.concatenate((self.flat, *ids)).astype(np.int32)
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(np.concatenate(number))))
-        self.score, self.gap = np.concatenate((self.score, *score)), np.concatenate((self.gap, *gap))
-
-    def _second(self, unit: str) -> float:
-        """The loss of the second best path of a very long unit, from forward and backward scores in linear time."""
-        edges = self.edges_to(unit)
-        ahead, back = [0.0], [None]
-        for e in range(1, len(unit) + 1):
-            i, p, s = max(edges[e], key=lambda x: (ahead[x[0]] + x[2], -x[0]))
-            ahead.append(ahead[i] + s)
-            back.append((i, p))
-        rest = [-np.inf] * len(unit) + [0.0]
-        for e in range(len(unit), 0, -1):
-            for i, _, s in edges[e]:
-                rest[i] = max(rest[i], s + rest[e])
-        used, e = set(), len(unit)
-        while e:
-            used.add((e, back[e]))
-            e = back[e][0]
-        other = [ahead[i] + s + rest[e] for e in range(1, len(unit) + 1) for i, p, s in edges[e] if (e, (i, p)) not in used]
-        return ahead[-1] - max(other, default=-np.inf)
-
-    def segmentations(self, numbers: np.ndarray, n: int) -> list[tuple[float, dict[int, np.ndarray]]]:
+        self.parts.add(parts, *map(np.concatenate, found))
+
+    def segmentations(self, numbers: np.ndarray, key_at: Callable[[int], str], n: int) -> list[tuple[float, dict[int, np.ndarray]]]:
         """The n best of a text: score, and the ids of the places whose unit is not at its best."""
-        total = float(self.score[numbers].sum())
-        loss = self.gap[numbers]
+        total = float(self.units.score[numbers].sum())
+        if n == 1:
+            return [(total, {})]
+        loss = self.units.gap[numbers]
         few = np.argsort(loss, kind="stable")[: n - 1] if len(loss) < 64 else self._least(loss, n - 1)
         few = sorted(int(k) for k in few if np.isfinite(loss[k]))
         options = []
         for k in few:
-            u = int(numbers[k])
-            if (u, n) not in self.listed:
-                if len(self.listed) >= CACHE_LISTS:
-                    self.listed.clear()
-                self.listed[u, n] = self.best_of(self.units[u], n)
-            options.append(self.listed[u, n])
+            unit = self.unit_of(key_at(k))
+            if (ways := self.listed.get((unit, n))) is None:
+                ways = self.best_of(unit, n)
+                if len(unit) <= LONG_UNIT:
+                    if len(self.listed) >= CACHE_LISTS:
+                        self.listed.clear()
+                    self.listed[unit, n] = ways
+            options.append(ways)
         # backward A-star over the chain of chosen units: the score of what is left at its best is exact
         out: list[tuple[float, dict]] = []
         heap: list[tuple] = [(-total, 0, len(few), ())]
@@ -338,41 +417,73 @@ class Lattice:
         sure = np.flatnonzero(loss < worst)
         return np.concatenate((sure, np.flatnonzero(loss == worst)[: n - len(sure)]))
 
-    def gathered(self, numbers: np.ndarray) -> np.ndarray:
-        begin, size = self.at[numbers], self.at[numbers + 1] - self.at[numbers]
-        return self.flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-
-    def encode(self, texts: list[str | None], n: int = N_BEST) -> list[list[tuple[float, np.ndarray]]]:
-        """For each text its n best segmentations as (score, ids), the best first."""
-        cut = [self.units_of(x) if x else [] for x in texts]
-        new = {u for units in cut for u in units if u not in self.number}
-        if new:
-            if len(self.number) + len(new) > CACHE_UNITS:
-                self.forget()
-                new = {u for units in cut for u in units}
-            self.learn(list(new))
+    def encode_columns(self, texts: pa.Array, n: int = N_BEST) -> tuple[np.ndarray, np.ndarray, list[list[tuple[float, np.ndarray]]]]:
+        """The ids of all texts' best in a row, where each text's begin (n + 1 values), and each text's n best."""
+        keys, rows = self.keys_of(texts)
+        coded = keys.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which = coded.indices.to_numpy()
+        numbers = self.numbered(distinct)[which]
+        ids = self.units.ids(numbers)
+        ends = np.concatenate(([0], np.cumsum(self.units.size(numbers))))
         out = []
-        for units in cut:
-            numbers = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
-            best = self.gathered(numbers)
+        for a, b in pairwise(rows.tolist()):
+            best, edge = ids[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
             ways = []
-            for value, other in self.segmentations(numbers, n) if n > 1 else [(float(self.score[numbers].sum()), {})]:
-                if not other:
-                    ways.append((value, best))
-                    continue
-                edge = np.concatenate(([0], np.cumsum(self.at[numbers + 1] - self.at[numbers])))
+            for value, other in self.segmentations(numbers[a:b], lambda k: distinct[which[a + k]], n):  # noqa: B023  used at once
                 parts, at = [], 0
                 for k in sorted(other):
                     parts += [best[at : edge[k]], other[k]]
                     at = edge[k + 1]
-                ways.append((value, np.concatenate([*parts, best[at:]])))
+                ways.append((value, np.concatenate([*parts, best[at:]]) if other else best))
             out.append(ways)
+        return ids, ends[rows], out
+
+    def encode(self, texts: list[str | None], n: int = N_BEST) -> list[list[tuple[float, np.ndarray]]]:
+        """For each text its n best segmentations as (score, ids), the best first."""
+        return self.encode_columns(pa.array(texts, pa.string()), n)[2]
+
+    def spelled_bytes(self, ids: np.ndarray) -> np.ndarray:
+        """The UTF-8 bytes of ids: pieces joined, bytes as they are, a U+2581 as a space."""
+        return self.bytes_flat[spans(self.bytes_at[ids], self.bytes_at[ids + 1] - self.bytes_at[ids])]
+
+    def same(self, ids: np.ndarray, rows: np.ndarray, texts: pa.Array) -> np.ndarray:
+        """Whether the ids of each text, from ``rows`` on, decode to it."""
+        size = np.concatenate(([0], np.cumsum(self.bytes_at[ids + 1] - self.bytes_at[ids])))[rows]
+        found = self.spelled_bytes(ids)
+        buf, at = text_buffer(texts)
+        out = np.zeros(len(rows) - 1, bool)
+        for k, ((a, b), (c, d)) in enumerate(zip(pairwise(size.tolist()), pairwise(at.tolist()), strict=True)):
+            begin = a + (b > a and found[a] == 32)  # the first space is not the text's
+            out[k] = b - begin == d - c and np.array_equal(found[begin:b], buf[c:d])
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: pieces joined, bytes as they are, without the first space."""
-        joined = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-        return joined[1:].decode("utf-8", "replace") if joined[:1] == b" " else joined.decode("utf-8", "replace")
+        """The text of ids, without the first space."""
+        joined = self.spelled_bytes(np.asarray(ids, np.int64)).tobytes()
+        return joined[joined[:1] == b" " :].decode("utf-8", "replace")
+
+
+class Solved:
+    """The best segmentations of numbered texts: ids in a row, scores, and losses of the second best."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.score, self.gap = np.zeros(0), np.zeros(0)
+
+    def add(self, texts: list[str], ids: np.ndarray, size: np.ndarray, score: np.ndarray, gap: np.ndarray) -> None:
+        begin = len(self.score)
+        self.number.update(zip(texts, range(begin, begin + len(texts)), strict=True))
+        self.flat = np.concatenate((self.flat, ids)).astype(np.int32)
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(size)))
+        self.score, self.gap = np.concatenate((self.score, score)), np.concatenate((self.gap, gap))
+
+    def size(self, numbers: np.ndarray) -> np.ndarray:
+        return self.at[numbers + 1] - self.at[numbers]
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        return self.flat[spans(self.at[numbers], self.size(numbers))]
 
 
 _lattices: dict[str, Lattice] = {}
@@ -390,24 +501,28 @@ def encoded(docs: DataFrame, model: str, n_best: int = N_BEST) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lattice(model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, GROUP):
-                part = batch.slice(at, GROUP)
-                texts = part.column(1).to_pylist()
-                ways = known.encode(texts, n_best)
-                crc = lambda ids: zlib.crc32(ids.astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([w[0][1] for w in ways], pa.list_(pa.int32())),
-                        pa.array([w[0][0] for w in ways], pa.float64()),
-                        pa.array([len(w) for w in ways], pa.int64()),
-                        pa.array([w[-1][0] for w in ways], pa.float64()),
-                        pa.array([crc(w[0][1]) for w in ways], pa.int64()),
-                        pa.array([crc(np.concatenate([x for _, x in w])) for w in ways], pa.int64()),
-                        pa.array([known.decode(w[0][1]) == (x or "") for w, x in zip(ways, texts, strict=True)]),
-                    ],
-                    ["doc_id", "ids", "score", "n_ways", "last_score", "ids_crc32", "ways_crc32", "same"],
-                )
+        for doc_ids, texts in text_groups(batches, GROUP_BYTES):
+            ids, rows, ways = known.encode_columns(texts, n_best)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    doc_ids,
+                    pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids, pa.int32())),
+                    pa.array([w[0][0] for w in ways], pa.float64()),
+                    pa.array([len(w) for w in ways], pa.int64()),
+                    pa.array([w[-1][0] for w in ways], pa.float64()),
+                    pa.array([crc32_of(w[:1]) for w in ways], pa.int64()),
+                    pa.array([crc32_of(w) for w in ways], pa.int64()),
+                    pa.array(known.same(ids, rows, texts)),
+                ],
+                ["doc_id", "ids", "score", "n_ways", "last_score", "ids_crc32", "ways_crc32", "same"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, score double, n_ways long, last_score double, ids_crc32 long, ways_crc32 long, same boolean")
+
+
+def crc32_of(ways: list[tuple[float, np.ndarray]]) -> int:
+    """The CRC-32 of the ids of all ways as little-endian unsigned 32-bit integers."""
+    crc = 0
+    for _, ids in ways:
+        crc = zlib.crc32(np.ascontiguousarray(ids, "<u4"), crc)
+    return crc

@@ -131,6 +131,30 @@ def slices(texts: pa.Array, most: int = KERNEL_BYTES) -> Iterator[tuple[int, int
         row = end
 
 
+def text_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of rows that are worked on together: about ``most`` bytes of text, or one text that has more."""
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for begin, end, buf, _ in slices(batch.column(1), most):
+            waiting.append(batch.slice(begin, end - begin))
+            size += len(buf)
+            if size >= most:
+                yield _joined(waiting)
+                waiting, size = [], 0
+    if waiting:
+        yield _joined(waiting)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
+    return tuple(pa.concat_arrays([p.column(k) for p in parts]) for k in (0, 1))
+
+
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of spans, one span after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes with A-Z folded to a-z.
