@@ -38,15 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import arrow_fs, replace, slices, small_batches, work_dir
+from tidelog.llm.shared import arrow_fs, replace, small_batches, spans, text_groups, work_dir
 
 END_ID = 2
 MAGIC = b"TRX1"
 FORMAT = 1
 #: Distinct segments that a worker remembers.
-CACHE_SEGMENTS = 1_200_000
+CACHE_SEGMENTS = 1_000_000
 #: Bytes of texts that are encoded together.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
 #: Segments that stay when the memory is full: short ones are the frequent ones.
 SHORT = 7
 #: Segments that are encoded as one text: each begins with a space of its own, so their ids can be told apart.
@@ -143,7 +143,7 @@ class Encoder:
         some = np.flatnonzero(size)
         first, first_size = self.coded(parts.take(pa.array(begin[some])).to_pylist())
         more = size[some] - 1
-        place = _spans(begin[some] + 1, more)
+        place = spans(begin[some] + 1, more)
         distinct = parts.take(pa.array(place)).dictionary_encode()
         numbers = self.numbers(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())[distinct.indices.to_numpy()]
         # the first segments take the numbers after those that are known
@@ -152,7 +152,7 @@ class Encoder:
         order = np.insert(numbers, np.cumsum(more) - more, len(self.at) - 1 + np.arange(len(some)))
         n_ids = at[order + 1] - at[order]
         ends = np.concatenate(([0], np.cumsum(n_ids)))
-        return flat[_spans(at[order], n_ids)], ends[np.concatenate(([0], np.cumsum(size)))]
+        return flat[spans(at[order], n_ids)], ends[np.concatenate(([0], np.cumsum(size)))]
 
     def numbers(self, segments: list[str]) -> np.ndarray:
         """The numbers of segments, each there once; new ones are learnt."""
@@ -173,7 +173,7 @@ class Encoder:
             short = []
         kept = np.fromiter(map(self.known.__getitem__, short), np.int64, len(short))
         size = self.at[kept + 1] - self.at[kept]
-        self.flat = self.flat[_spans(self.at[kept], size)]
+        self.flat = self.flat[spans(self.at[kept], size)]
         self.at = np.concatenate(([0], np.cumsum(size)))
         self.known = dict(zip(short, range(len(short)), strict=True))
 
@@ -198,7 +198,7 @@ class Encoder:
         at = np.concatenate((self.at, self.at[-1] + np.cumsum(size)))
         both = np.array([x for word, sign in signed.values() for x in (self.known[word], len(self.at) - 1 + number[sign])], np.int64)
         size = at[both + 1] - at[both]
-        self._add(list(signed), flat[_spans(at[both], size)], size[::2] + size[1::2])
+        self._add(list(signed), flat[spans(at[both], size)], size[::2] + size[1::2])
 
     def _add(self, segments: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         self.known.update(zip(segments, range(len(self.at) - 1, len(self.at) - 1 + len(segments)), strict=True))
@@ -206,11 +206,6 @@ class Encoder:
         self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(size)))
 
 
-def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """All places of spans, one span after another."""
-    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-
-
 _encoders: dict[str, Encoder] = {}
 
 
@@ -220,32 +215,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
-    """Ids and texts of rows that are encoded together: about GROUP_BYTES of text, or one text that has more."""
-    waiting: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        for part in _parts(batch):
-            waiting.append(part)
-            size += part.nbytes
-            if size >= GROUP_BYTES:
-                yield _joined(waiting)
-                waiting, size = [], 0
-    if waiting:
-        yield _joined(waiting)
-
-
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of GROUP_BYTES at most, but for single rows."""
-    for begin, end, _, _ in slices(batch.column(1), GROUP_BYTES):
-        yield batch.slice(begin, end - begin)
-
-
-def _joined(parts: list[pa.RecordBatch]) -> tuple[list, pa.Array]:
-    whole = pa.Table.from_batches(parts).combine_chunks()
-    return whole.column(0).to_pylist(), whole.column(1).combine_chunks()
-
-
 def _put(fs, final: str, attempt: str, write) -> None:
     """Write under the attempt's own name, then give the file its final name."""
     own = f"{final}.{attempt}"
@@ -274,7 +243,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
 
         def records(out):
             nonlocal n_tokens, at
-            for doc_ids, texts in _groups(chain([first], batches)):
+            for rows, texts in text_groups(chain([first], batches), GROUP_BYTES):
+                doc_ids = rows.to_pylist()
                 ids, ends = code.encode(texts)
                 n_tokens += len(ids) + len(doc_ids)
                 for doc_id, begin, stop in zip(doc_ids, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
