@@ -44,8 +44,8 @@ from tidelog.llm.shared import small_batches, spans, text_buffer, text_groups
 N_BEST = 4
 SPACE = "▁"
 PENALTY = 10.0
-CACHE_UNITS = 700_000
-CACHE_PARTS = 700_000
+CACHE_UNITS = 500_000
+CACHE_PARTS = 500_000
 CACHE_LISTS = 20_000
 #: Parts longer than this are solved alone; cells of the padded arrays (parts x places x piece lengths).
 LONG_UNIT = 40
