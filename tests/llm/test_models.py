@@ -33,6 +33,50 @@ def test_quality(spark):
     assert quality_model.quality_scores(odd_table(spark, []), labels).count() == 0
 
 
+def plain_features(text):
+    b, ws = (text or "").encode(), [w.encode() for w in words(text)]
+    n, size = max(1, len(ws)), max(1, len(b))
+    of = lambda members: sum(x in members for x in b) / size
+    symbols = set(b"#*$%&<>|@^~_=+\\{}[]")
+    letter = lambda x: x >= 128 or chr(x).isalpha()
+    upper = set(range(65, 91))
+    windows = Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+    repeated = sum(c for c in windows.values() if c > 1)
+    lines = [x for x in b.split(b"\n") if words(x.decode())]
+    n_lines, dup = max(1, len(lines)), sum(c for c in Counter(lines).values() if c > 1)
+    return [
+        math.log1p(len(b)), math.log1p(len(ws)), sum(map(len, ws)) / n, of(upper), of(set(range(48, 58))), of(symbols), of({33}), of({124}),
+        of(set(b".,;:?'\"()-/")), sum(x >= 128 for x in b) / size, sum(x < 32 and x != 10 for x in b) / size, sum(len(w) <= 3 for w in ws) / n,
+        sum(len(w) > 14 for w in ws) / n, sum(not any(map(letter, w)) for w in ws) / n, len(set(ws)) / n, max(Counter(ws).values(), default=0) / n,
+        repeated / n, math.log1p(repeated), math.log1p(len(ws) / n_lines), dup / n_lines, sum(w[-1] in symbols or w[-1] == 33 for w in ws) / n,
+        sum(sum(map(letter, w)) == sum(x in upper for x in w) > 1 for w in ws) / n,
+    ]
+
+
+def test_features_and_scores_by_hand(spark):
+    import pyarrow as pa
+
+    texts = [r.text for r in odd_table(spark).collect()] + ["SHOUT NOW!! at #tags #tags a|b", "a b c d e\n\na b c d e\n x", "é É ÉA AB 日本", "w " * 40]
+    buf, at = text_buffer(pa.array(texts))
+    got = quality_model.features(buf, at)
+    want = np.array([plain_features(t) for t in texts])
+    assert np.allclose(got, want, rtol=1e-5, atol=1e-6)
+    for k in range(7):  # alone in their batch, and between long texts
+        few = " ".join(["now", "three", "words", "of", "seven", "or"][:k])
+        buf, at = text_buffer(pa.array([few]))
+        assert np.allclose(quality_model.features(buf, at), [plain_features(few)], rtol=1e-5, atol=1e-6)
+        between = [doc(1, "long " * 250_000), doc(2, few), doc(3, "long " * 250_000)]
+        rows = {r.doc_id: r.x for r in quality_model.with_features(odd_table(spark, between).coalesce(1)).collect()} if k in (0, 2, 3) else {2: plain_features(few)}
+        assert np.allclose(rows[2], plain_features(few), rtol=1e-5, atol=1e-6)
+    rng = np.random.default_rng(1)
+    x = rng.random((400, len(quality_model.FEATURES))).astype(np.float32)
+    model = quality_model.fit(x, (x[:, 0] + x[:, 3] > 1).astype(float))
+    for row, score in zip(got, model.score(got), strict=True):
+        raw = model.base + sum(t[sum(c <= v for c in cuts)] for v, cuts, t in zip(row, model.cuts, model.tables, strict=True))
+        raw += sum(t[sum(c <= row[i] for c in ci)][sum(c <= row[j] for c in cj)] for i, j, ci, cj, t in model.pairs)
+        assert abs(score - 1 / (1 + math.exp(-max(-30, min(30, raw))))) < 1e-9
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(2)
     x = rng.random((3000, 4)).astype(np.float32)

@@ -104,7 +104,7 @@ def features(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     chained = np.zeros(len(hashes), np.uint64)
     for k in range(window):
         chained = chained * np.uint64(0xC2B2AE3D27D4EB4F)
-        chained[: len(hashes) - k] += hashes[k:]
+        chained[: max(0, len(hashes) - k)] += hashes[k:]
     _, repeated, _ = _repeats(chained[fits], row_of[fits], n_rows)
     # lines, cut at line breaks and at the ends of rows
     breaks = np.unique(np.concatenate((np.flatnonzero(buf == 10) + 1, at)))
