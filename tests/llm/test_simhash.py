@@ -58,24 +58,44 @@ def test_links_find_every_pair(spark, monkeypatch):
     for f, k in zip(fps, root, strict=True):
         want.setdefault(k, set()).add(f)
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-    for bucket, spare in ((3_000_000, 13), (20_000, 0)):  # many buckets; hashes so short that strangers collide
+    for bucket, partitions, once in ((3_000_000, 20_000, 3_000_000), (400, 5, 700)):  # the second: many buckets, groups in turns
         monkeypatch.setattr(s, "BUCKET", bucket)
-        monkeypatch.setattr(s, "SPARE_BITS", spare)
+        monkeypatch.setattr(s, "MOST_PARTITIONS", partitions)
+        monkeypatch.setattr(s, "SPELLED", once)
         got = {}
         for r in components(s.links(df, len(fps))).collect():
             got.setdefault(r.root, set()).add(int(np.int64(r.node).view(np.uint64)))
         assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def met(fps):
+    owner, kind = s.records(fps)
+    begin, size = s.spelled(fps[owner], kind)
+    key = np.repeat(s.keys_of(fps[owner], kind), size)
+    z = fps[np.repeat(owner, size)] ^ s.MASKS[s.spans(begin, size)]
+    half = np.where(key >> np.uint64(32) == 1, z >> np.uint64(32), z & np.uint64(0xFFFFFFFF))
+    assert (half == key & np.uint64(0xFFFFFFFF)).all()  # a record's variants share the half it is shuffled by
+    return key, z, np.repeat(owner, size)
+
+
 def test_variants_meet_at_every_distance():
     rng = random.Random(6)
     for d in range(5):
-        for _ in range(40):
+        for _ in range(150):
             x = rng.getrandbits(64)
             y = x ^ sum(1 << b for b in rng.sample(range(64), d))
-            key, owner, _ = s.variants(np.array([x, y], np.uint64))
-            meet = bool(set(key[owner == 0]) & set(key[owner == 1]))
-            assert meet or d == 4 or d == 0
+            key, z, owner = met(np.array([x, y], np.uint64))
+            of = lambda k: set(zip(key[owner == k].tolist(), z[owner == k].tolist(), strict=True))  # noqa: E731, B023
+            assert bool(of(0) & of(1)) or d == 4 or d == 0
+    odd = sum(1 << b for b in (3, 40, 50))  # all variants within half the radius: one bit, two bits of a half, none
+    assert len({v for v in met(np.array([odd], np.uint64))[1].tolist()}) == 1 + 32 + 496 + 32 + 496
+    assert len({v for v in met(np.array([0], np.uint64))[1].tolist()}) == 64
+
+
+def test_bytes_of_a_fingerprint_do_not_grow_with_buckets():
+    fps = np.random.default_rng(3).integers(0, 1 << 63, 5_000).astype(np.uint64)
+    size = [sum(len(b) for _, b in s.packed(fps, bits)) / len(fps) for bits in (0, 6, 9, 12)]
+    assert max(size) == min(size) < 9 * 67
 
 
 def test_components_chain(spark):

@@ -10,14 +10,21 @@ compared. Two facts leave out variants that can find no further link:
 * of any three differing bits two lie in the same half of the 64, so the odd fingerprint needs only the 992 two-bit
   variants within a half (by Mantel's theorem no smaller set of bit pairs meets every triple).
 
+Variants are shuffled by one of their halves, in two tables. Most variants of a fingerprint flip bits of one half only,
+so they share the other: they travel as one record and are spelled out where they meet, if another record has that
+half too. In the table by right halves stand a fingerprint's variants at left bits (an odd one's at none, one and two)
+and those at one right bit; the table by left halves has an odd fingerprint's variants at two right bits and an even
+one's at one bit. A pair at two bits meets by its right halves; so does one at three of which two are left; one of
+which two or more are right meets by its left halves. That is 34 records for an odd fingerprint and 66 for an even one.
+
 All fingerprints at one variant that are one bit away from it link to all others there, so a star through one of them
-keeps the components without all the pairs of a group; where a truncated hash brought strangers together, those that
-fail the exact test against the star's centre try the next centre.
+keeps the components without all the pairs of a group; each link is verified on the fingerprints.
 
-Scale: copies are counted once (one node for each distinct fingerprint). A task packs its variants by bucket into
-compressed blocks of about four bytes a variant, sorts each bucket in numpy and emits a spanning forest of its
-verified links: at most a row for each fingerprint and bucket. Buckets grow in number with the fingerprints, never
-in size. Components run on tables in the shared folder.
+Scale: copies are counted once (one node for each distinct fingerprint). A task packs its records by bucket into blocks
+of nine bytes a record, whatever the number of buckets: 450 bytes for a fingerprint. A bucket is sorted in numpy, its
+variants are spelled out ``SPELLED`` at a time (a half that very many share in several turns) and it emits a spanning
+forest of its verified links. Buckets grow in number with the fingerprints, never in size. Components run on tables
+in the shared folder.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; a text under three words is one
 shingle; equal rows and repeated doc_ids each get their own result row; a null doc_id takes part but never names a
@@ -31,21 +38,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.shared import LOWER, slices, small_batches, stored, whole_rows, word_bounds, work_dir
+from tidelog.llm.shared import LOWER, slices, small_batches, spans, stored, whole_rows, word_bounds, work_dir
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: Variants that one task packs, and that one bucket holds, on average.
-CHUNK = 3_000_000
+#: Fingerprints that one task packs, records that one bucket holds on average, variants that are spelled out at once.
+TASK_FPS = 60_000
 BUCKET = 3_000_000
-#: Bits of a variant's hash beyond those that tell all variants apart on average: strangers meet once in 2**13.
-SPARE_BITS = 13
+SPELLED = 3_000_000
+#: Partitions of buckets; beyond that many buckets a partition has several, one after another.
+MOST_PARTITIONS = 20_000
 
 
 # ---- fingerprints --------------------------------------------------------------------------------------------
@@ -102,17 +109,35 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
 # ---- ball hashing --------------------------------------------------------------------------------------------
 
 
-def _masks() -> tuple[np.ndarray, np.ndarray]:
-    """The bits to flip at one bit, and at two bits of the same half."""
-    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    two = [one[i] | one[j] for half in (range(32), range(32, 64)) for i in half for j in half if i < j]
-    return one, np.array(two, np.uint64)
+_LOW = np.uint64((1 << 32) - 1)
+_ONE = np.uint64(1) << np.arange(32, dtype=np.uint64)
+_TWO = np.array([_ONE[i] | _ONE[j] for i in range(32) for j in range(i)], np.uint64)
+#: What a variant flips: nothing, one left bit, two left bits, one right bit, two right bits; and whether it is close.
+MASKS = np.concatenate(([np.uint64(0)], _ONE << np.uint64(32), _TWO << np.uint64(32), _ONE, _TWO))
+CLOSE = np.bitwise_count(MASKS) < 2
+_LEFT_TWO, _RIGHT, _RIGHT_TWO = 1 + 32, 1 + 32 + len(_TWO), 1 + 32 + len(_TWO) + 32
+#: Records by kind: by the right half with left flips, by the right half with one right bit flipped, and so by the left half.
+OWN_RIGHT, FLIP_RIGHT, OWN_LEFT, FLIP_LEFT = 0, 1, 33, 34
+RECORDS = (34 + 66) // 2
+
+
+def records(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the fingerprint, kind) of all records."""
+    odd = (np.bitwise_count(fps) & 1).astype(bool)
+    every, even = np.arange(len(fps), dtype=np.uint32), np.flatnonzero(~odd).astype(np.uint32)
+    flips = np.arange(32, dtype=np.uint8)
+    owner = np.concatenate((every, np.repeat(every, 32), every, np.repeat(even, 32)))
+    kind = np.concatenate((np.full(len(fps), OWN_RIGHT, np.uint8), np.tile(FLIP_RIGHT + flips, len(fps)), np.full(len(fps), OWN_LEFT, np.uint8), np.tile(FLIP_LEFT + flips, len(even))))
+    return owner, kind
 
 
-ONE_BIT, TWO_BITS = _masks()
-EVEN_VARIANTS = len(ONE_BIT)
-ODD_VARIANTS = 1 + len(ONE_BIT) + len(TWO_BITS)
-VARIANTS = (EVEN_VARIANTS + ODD_VARIANTS) // 2
+def keys_of(fps: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The half by which a record is shuffled, and its table as the bit above."""
+    by_left = kind >= OWN_LEFT
+    half = np.where(by_left, fps >> np.uint64(32), fps & _LOW)
+    flip = kind.astype(np.int64) - np.where(by_left, FLIP_LEFT, FLIP_RIGHT)
+    half = np.where(flip >= 0, half ^ _ONE[np.maximum(flip, 0)], half)
+    return half | (by_left.astype(np.uint64) << np.uint64(32))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -121,56 +146,69 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all variants of up to 32,768 fingerprints, the index of each one's, and whether it is at most one bit away."""
+def spelled(fps: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First mask and number of masks of each record's variants."""
     odd = (np.bitwise_count(fps) & 1).astype(bool)
-    e, o = np.flatnonzero(~odd), np.flatnonzero(odd)
-    near = np.concatenate(([np.uint64(0)], ONE_BIT))
-    parts = [(e, ONE_BIT, True), (o, near, True), (o, TWO_BITS, False)]
-    key = np.concatenate([_mix((fps[i][:, None] ^ m[None, :]).ravel()) for i, m, _ in parts])
-    owner = np.concatenate([np.repeat(i.astype(np.uint16), len(m)) for i, m, _ in parts])
-    close = np.concatenate([np.full(len(i) * len(m), c) for i, m, c in parts])
-    return key, owner, close
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of fixed-width integers, the first of all, then the second of all: what is alike stands together."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
-
-def _unplanes(data: bytes, dtype, n: int) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(dtype).ravel()
-
-
-def packed(fps: np.ndarray, bucket_bits: int, key_bits: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, block) of the variants of up to 32,768 fingerprints."""
-    squeeze = zstandard.ZstdCompressor(level=1)
-    key, owner, close = variants(fps)
-    key >>= np.uint64(64 - key_bits)
-    order = np.argsort(key, kind="stable")
-    key, tag = key[order], (owner[order] * 2 + close[order]).astype("<u2")
-    cuts = np.searchsorted(key, np.arange(1, (1 << bucket_bits) + 1, dtype=np.uint64) << np.uint64(key_bits - bucket_bits))
-    head, begin = fps.astype("<u8").tobytes(), 0
-    for bucket, end in enumerate(cuts.tolist()):
-        if end > begin:
-            part = key[begin:end]
-            gap = np.diff(part, prepend=np.uint64(bucket) << np.uint64(key_bits - bucket_bits))
-            width = "<u4" if int(gap.max()) < 1 << 32 else "<u8"
-            sizes = np.array([len(fps), end - begin, np.dtype(width).itemsize], "<u4").tobytes()
-            yield bucket, squeeze.compress(sizes + head + _planes(gap.astype(width)) + _planes(tag[begin:end]))
-        begin = end
-
-
-def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints, keys relative to the bucket, owners and closeness of one block."""
-    data = zstandard.ZstdDecompressor().decompress(block)
-    n_fps, n, width = np.frombuffer(data, "<u4", 3).tolist()
-    at = 12 + 8 * n_fps
-    fps = np.frombuffer(data, "<u8", n_fps, 12)
-    gap = _unplanes(data[at : at + width * n], f"<u{width}", n)
-    tag = _unplanes(data[at + width * n :], "<u2", n)
-    return fps, np.cumsum(gap.astype(np.uint64)), tag >> 1, (tag & 1).astype(bool)
+    begin = np.where(kind == OWN_RIGHT, np.where(odd, 0, 1), np.where(kind == OWN_LEFT, np.where(odd, _RIGHT_TWO, _RIGHT), 0))
+    size = np.where(kind == OWN_RIGHT, np.where(odd, _RIGHT, 32), np.where(kind == OWN_LEFT, np.where(odd, len(_TWO), 32), 1))
+    flip = kind.astype(np.int64)
+    begin = np.where((kind >= FLIP_RIGHT) & (kind < OWN_LEFT), _RIGHT + flip - FLIP_RIGHT, np.where(kind >= FLIP_LEFT, 1 + flip - FLIP_LEFT, begin))
+    return begin, size
+
+
+def packed(fps: np.ndarray, bucket_bits: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, block) of the records of some fingerprints; a block has the fingerprint and the kind of each record."""
+    owner, kind = records(fps)
+    bucket = _mix(keys_of(fps[owner], kind)) >> np.uint64(64 - bucket_bits) if bucket_bits else np.zeros(len(owner), np.uint64)
+    order = np.argsort(bucket.astype(np.uint32), kind="stable")
+    owner, kind = owner[order], kind[order]
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=1 << bucket_bits))))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        a, b = cuts[k], cuts[k + 1]
+        yield k, fps[owner[a:b]].astype("<u8").tobytes() + kind[a:b].tobytes()
+
+
+def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and kinds of a block's records."""
+    n = len(block) // 9
+    return np.frombuffer(block, "<u8", n), np.frombuffer(block, np.uint8, n, 8 * n)
+
+
+def bucket_links(fps: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the verified links among the records of one bucket."""
+    key = keys_of(fps, kind)
+    order = np.argsort(key)
+    key, fps, kind = key[order], fps[order], kind[order]
+    group = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+    live = np.bincount(group)[group] > 1 if len(key) else np.zeros(0, bool)
+    fps, kind, group = fps[live], kind[live], group[live]
+    begin, size = spelled(fps, kind)
+    ends = np.cumsum(size)
+    left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+    bounds = np.append(first, len(fps))
+    at = 0
+    while at < len(first):  # whole groups, as many as are spelled out at once
+        a = bounds[at]
+        done = ends[a] - size[a]
+        at = max(at + 1, int(np.searchsorted(ends[bounds[1:] - 1], done + SPELLED, "right")))
+        b = bounds[min(at, len(first))]
+        turns = -(-int(ends[b - 1] - done) // SPELLED)
+        for turn in range(turns):  # a group that is larger is spelled out in turns, by a hash of the variant
+            found = []
+            step = max(1, SPELLED // MASKS.size)
+            for c in range(a, b, step) if turns > 1 else [a]:
+                d = min(b, c + step) if turns > 1 else b
+                which = np.repeat(np.arange(c, d), size[c:d])
+                mask = spans(begin[c:d], size[c:d])
+                z = fps[which] ^ MASKS[mask]
+                mine = _mix(z) % np.uint64(turns) == turn if turns > 1 else slice(None)
+                found.append((fps[which][mine], z[mine], CLOSE[mask][mine]))
+            fp, z, close = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(z)
+            for side, new in zip((left, right), forest(*star_links(fp[order], z[order], close[order])), strict=True):
+                side.append(new)
+    return forest(np.concatenate(left), np.concatenate(right))
 
 
 def star_links(fp: np.ndarray, key: np.ndarray, close: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -218,39 +256,34 @@ def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def links(fps: DataFrame, n: int) -> DataFrame:
     """(a, b): links that keep the components of ``n`` distinct fingerprints in column fp."""
-    total = max(n, 1) * VARIANTS
-    bucket_bits = max(0, math.ceil(math.log2(max(1, total / BUCKET))))
-    key_bits = min(64, math.ceil(math.log2(total)) + SPARE_BITS)
-    tasks = max(1, math.ceil(total / CHUNK))
-    per_block = CHUNK // VARIANTS
+    bucket_bits = max(0, math.ceil(math.log2(max(1, n * RECORDS / BUCKET))))
+    partitions = min(1 << bucket_bits, MOST_PARTITIONS)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
 
         def blocks(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(fps), per_block):
-                for bucket, block in packed(fps[i : i + per_block], bucket_bits, key_bits):
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([block], pa.binary())], ["bucket", "block"])
+            for i in range(0, len(fps), TASK_FPS):
+                found = list(packed(fps[i : i + TASK_FPS], bucket_bits))
+                for j in range(0, len(found), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found[j : j + 64]], pa.int64()), pa.array([b for _, b in found[j : j + 64]], pa.binary())], ["bucket", "block"])
 
         for batch in batches:
             waiting.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            if sum(map(len, waiting)) >= per_block:
+            if sum(map(len, waiting)) >= TASK_FPS:
                 yield from blocks(np.concatenate(waiting))
                 waiting = []
         if waiting:
             yield from blocks(np.concatenate(waiting))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, now = [], None
+        own: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
 
         def found() -> pa.RecordBatch:
-            fp = np.concatenate([f[o] for f, _, o, _ in own])
-            key = np.concatenate([k for _, k, _, _ in own])
-            close = np.concatenate([c for _, _, _, c in own])
+            both = [np.concatenate(x) for x in zip(*own, strict=True)]
             own.clear()
-            order = np.argsort(key, kind="stable")
-            a, b = forest(*star_links(fp[order], key[order], close[order]))
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in bucket_links(*both)], ["a", "b"])
 
         for batch in batches:
             for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -261,8 +294,10 @@ def links(fps: DataFrame, n: int) -> DataFrame:
         if own:
             yield found()
 
-    blocks = fps.select("fp").repartition(tasks).mapInArrow(pack, "bucket long, block binary")
-    dealt = blocks.repartitionById(1 << bucket_bits, F.col("bucket").cast("int"))  # a bucket each
+    blocks = fps.select("fp").repartition(max(1, math.ceil(n / TASK_FPS))).mapInArrow(pack, "bucket long, block binary")
+    dealt = blocks.repartitionById(partitions, F.pmod(F.col("bucket"), F.lit(partitions)).cast("int"))
+    if 1 << bucket_bits > partitions:
+        dealt = dealt.sortWithinPartitions("bucket")
     return dealt.mapInArrow(meet, "a long, b long")
 
 
