@@ -1,5 +1,7 @@
 from collections import Counter
 
+import numpy as np
+
 from tests.llm.fixtures import doc, odd_table, words
 from tidelog.llm import mixing, quality_rules
 
@@ -97,6 +99,36 @@ def test_mix(spark):
     assert mixing.Mix(odd_table(spark, [])).shares().count() == 0 and mixing.mixed_documents(odd_table(spark, [])).count() == 0
 
 
+def test_counts_of_shards(spark):
+    rows = [doc(k if k % 3 else None, " ".join(f"t{j}" for j in range(40 + k % 50)), ["a", "b", "c", None][min(3, k % 7)]) for k in range(900)]
+    mix = mixing.Mix(odd_table(spark, rows), block_words=8, shard_slots=100)
+    sources = {r["rank"]: r for r in mix.sources.collect()}
+    counts = mix.counts.collect()
+    shards = {r.shard for r in counts}
+    assert len(shards) == -(-sum(s.n_slots for s in sources.values()) // 100) and len(counts) == len({(r["rank"], r.shard) for r in counts})
+    taken = mix.spans.groupBy("rank", "shard").agg({"slot": "count"}).collect()
+    blocks = Counter((r["rank"], r.shard) for r in mix.spans.select("rank", "shard", "slot").distinct().collect())
+    assert blocks == {(r["rank"], r.shard): r.n for r in counts} and len(taken) == len(counts)
+    for rank, s in sources.items():
+        own = [r.n for r in counts if r["rank"] == rank]
+        assert sum(own) == s.n_slots  # as many as the target says
+        mean = s.n_slots / len(shards)  # a multinomial draw: sums of squares as chi-square has them
+        spread = sum((n - mean) ** 2 / mean for n in own) + (len(shards) - len(own)) * mean
+        assert 0.5 * len(shards) < spread < 1.6 * len(shards), (rank, spread, len(shards))
+    every = mix.spans.select("rank", "slot", "turn", "block").distinct().collect()
+    assert len({(r["rank"], r.slot) for r in every}) == len(every) == len({(r["rank"], r.turn, r.block) for r in every}) == sum(s.n_slots for s in sources.values())
+
+
+def test_many_sources(spark):
+    rows = [doc(k, "w " * (1 + k * k % 97), f"host{k * 7919 % 300:03d}.example") for k in range(900)]
+    got = {r.target: r for r in mixing.Mix(odd_table(spark, rows)).shares().collect()}
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    want = sorted(targets(dict(sizes)).values())
+    assert all(min(abs(t - w) for w in want) < 1e-6 for t in got) and len(got) == len(set(np.round(want, 6)))
+
+
 def test_permutation(spark):
     from pyspark.sql import functions as F
 

@@ -2,19 +2,23 @@
 
 Documents of a source stand in a fixed order and their words are packed into blocks of ``block_words``. A source's
 target is its share by weight of all words, at most ``MOST_PASSES`` times its size, with the excess shared anew by
-weight. A target becomes a number of slots: whole passes over the source's blocks, then part of one. Slot k of a
-source takes the block that the pass's pseudorandom permutation gives for index k (a swap-or-not shuffle, which
-permutes any number of blocks), so no block is taken twice in a pass. Each slot draws its output shard by itself,
-so the counts by source of the shards are a multinomial draw that is conditioned on the sources' totals. Blocks and
-slots are joined by their index.
-
-Scale: texts are read once for their sizes; all else moves rows of a few numbers. Prefix sums are taken inside
-hashed chunks of a source and then over the chunks' totals, so a source that holds a third of all rows is many
-windows; slots are dealt in ranges before they are enumerated. Only the table of sources (a row each) meets the
-rest by its source, and Spark broadcasts it if its measured size allows.
-
-Edge cases: null and empty texts have size 0, are in no block and take 0; a null source comes last; equal rows and
-repeated doc_ids each get their own row; an empty table gives an empty result; further columns are ignored.
+weight. A target becomes a number of slots: whole passes over the source's blocks, then part of one. The output has a
+shard for every ``shard_slots`` slots; how many slots of each source a shard has is drawn (each slot falls on a shard
+with equal chance, so a source's counts over the shards are multinomial, and their sum is the source's number of
+slots, which meets its target to half a block). The counts number the slots: those of a source's first shard are its
+slots from 0 on, then come those of its next. Slot k of a source takes the block that the pass's pseudorandom
+permutation gives for index k (a swap-or-not shuffle, which permutes any number of blocks), so no block is taken twice
+in a pass. Blocks and slots are joined by their index.
+
+Scale: texts are read once for their sizes; all else moves rows of a few numbers. Every prefix sum is taken inside
+chunks and then over the chunks' totals, so a source that holds a third of all rows is many windows. The order of the
+sources is a range partitioning, and the level up to which they fill is found by a few sums over them, so hosts by the
+million may be sources. Only the table of sources (a row each) meets the rest by its source, and Spark broadcasts it
+if its measured size allows.
+
+Edge cases: null and empty texts have size 0, are in no block and take 0; a null source comes last; a null doc_id
+comes first in its chunk; equal rows and repeated doc_ids each get their own row; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +34,10 @@ WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
-#: Slots in a range that one row enumerates, and in a task.
+#: Slots in a range that one row enumerates, and in a task; shards whose counts are summed up in one window.
 RANGE_SLOTS = 4_096
 TASK_SLOTS = 65_536
+CHUNK_SHARDS = 1_024
 #: Rounds of the permutation, and the prime and multiplier of its integer hash.
 ROUNDS = 16
 PRIME = 2_147_483_647
@@ -62,63 +67,79 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", source.alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id", source, "text").alias("row_key"))
 
 
-def source_targets(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def ranked(totals: DataFrame, folder: str) -> DataFrame:
+    """Sources with ``rank``, their place by code point (null last)."""
+    order = (F.col("source").isNull(), F.col("source"))
+    dealt = stored(totals.repartitionByRange(*order).withColumn("part", F.spark_partition_id().cast("long")), f"{folder}/ordered")
+    inner = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(F.col("part").alias("part_"), before.alias("before"))  # a row for each partition
+    placed = dealt.withColumn("inner", inner).join(parts, F.col("part") == F.col("part_"))
+    return placed.select("source", "source_size", (F.col("inner") + F.col("before")).cast("long").alias("rank"))
+
+
+def source_targets(sizes: DataFrame, folder: str, block_words: int = BLOCK_WORDS) -> DataFrame:
     """For each source: rank, source, source_size, weight, target, n_blocks, n_slots."""
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source")))
-    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.pmod(F.col("rank"), F.lit(len(WEIGHTS))) + 1).cast("int"))
-    ranked = totals.select("source", "source_size", (rank - 1).cast("long").alias("rank")).withColumn("weight", weight.cast("long"))
-    # pour by weight: sources fill up in the order of their size by weight
-    full = F.col("source_size") * MOST_PASSES / F.col("weight")
-    order = Window.orderBy("full", "rank")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    poured = ranked.withColumn("full", full).select(
-        "*",
-        F.sum("source_size").over(everything).alias("all_words"),
-        F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("filled"),
-        F.sum("weight").over(after).alias("weight_left"),
-    )
-    level = (F.col("all_words") - F.col("filled") * MOST_PASSES) / F.col("weight_left")
-    poured = poured.withColumn("level", F.max(F.when(level <= F.col("full"), level)).over(everything))
-    most = (F.col("source_size") * MOST_PASSES).cast("double")
-    target = F.least(most, F.coalesce(F.col("level") * F.col("weight"), most))
-    with_target = poured.select("rank", "source", "source_size", "weight", target.alias("target")).withColumn("n_blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.pmod(F.col("rank"), F.lit(len(WEIGHTS))) + 1).cast("int")).cast("long")
+    known = stored(ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), folder).withColumn("weight", weight), f"{folder}/ranked")
+    # pour by weight: a source is full at its level of words for each weight; the level rises until no other is full
+    full, most = F.col("source_size") * MOST_PASSES / F.col("weight"), F.col("source_size") * MOST_PASSES
+    level, n_full = -1.0, -1
+    while True:
+        filled = full < F.lit(level)
+        sums = known.agg(F.sum("source_size"), F.sum(F.when(filled, F.col("source_size"))), F.sum(F.when(~filled, F.col("weight"))), F.count_if(filled)).first()
+        if not sums[2] or sums[3] == n_full:
+            break
+        n_full, level = sums[3], (sums[0] - (sums[1] or 0) * MOST_PASSES) / sums[2]
+    target = F.least(most.cast("double"), F.when(full < F.lit(level), most.cast("double")).otherwise(F.lit(level) * F.col("weight")))
+    with_target = known.select("rank", "source", "source_size", "weight", target.alias("target")).withColumn("n_blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
     slots = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(0)
     return with_target.withColumn("n_slots", F.least(slots.cast("long"), F.col("n_blocks") * MOST_PASSES))
 
 
+def sums_before(rows: DataFrame, by: str, chunk: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over the rows of ``by`` that come before, in the order of chunk and ``order``."""
+    inside = Window.partitionBy(by, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = rows.groupBy(F.col(by).alias("by_"), F.col(chunk).alias("chunk_")).agg(F.sum(value).alias("n_"))
+    base = F.coalesce(F.sum("n_").over(Window.partitionBy("by_").orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = rows.withColumn("inner_", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = known.join(chunks.select("by_", "chunk_", base.alias("base_")), (F.col(by) == F.col("by_")) & (F.col(chunk) == F.col("chunk_")))
+    return joined.withColumn(name, F.col("base_") + F.col("inner_")).drop("by_", "chunk_", "base_", "inner_")
+
+
 def packed(sizes: DataFrame, sources: DataFrame, n_docs: int) -> DataFrame:
     """The documents with their place: rank, chunk, seq, start (words of the source before it), and the source's row."""
     chunks = max(1, math.isqrt(n_docs))  # as many as documents in each
     known = sources.withColumnRenamed("source", "source_")
     placed = sizes.join(known, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
-    chunk = F.pmod(F.pmod((F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(PRIME)) + 1) * FACTOR, F.lit(PRIME)), F.lit(chunks))
-    placed = placed.withColumn("chunk", chunk)
-    order = Window.partitionBy("rank", "chunk").orderBy("doc_id", "size", "row_key")
-    placed = placed.withColumn("seq", F.row_number().over(order).cast("long"))
-    placed = placed.withColumn("inner", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    of_chunks = placed.groupBy(F.col("rank").alias("rank_"), F.col("chunk").alias("chunk_")).agg(F.sum("size").alias("n"))
-    base = F.coalesce(F.sum("n").over(Window.partitionBy("rank_").orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = of_chunks.select("rank_", "chunk_", base.alias("base"))
-    joined = placed.join(bases, (F.col("rank") == F.col("rank_")) & (F.col("chunk") == F.col("chunk_")))
-    return joined.withColumn("start", F.col("base") + F.col("inner")).drop("rank_", "chunk_", "base", "inner")
-
-
-def slots(sources: DataFrame, n_slots: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """(rank, slot, turn, block, shard): the block that each slot takes and the output shard that it draws."""
+    # an id that many rows share, or none, is spread by their sizes and texts
+    own = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.col("row_key")), F.lit(PRIME)) + F.pmod(F.col("size") * 7919, F.lit(PRIME))
+    placed = placed.withColumn("chunk", F.pmod(F.pmod((own + 1) * FACTOR, F.lit(PRIME)), F.lit(chunks)))
+    order = ["doc_id", "size", "row_key"]
+    placed = placed.withColumn("seq", F.row_number().over(Window.partitionBy("rank", "chunk").orderBy(*order)).cast("long"))
+    return sums_before(placed, "rank", "chunk", order, "size", "start")
+
+
+def shard_counts(sources: DataFrame, n_slots: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(rank, n_blocks, shard, n): how many slots of each source a shard has; a slot falls on any shard with equal chance."""
     shards = F.lit(max(1, math.ceil(n_slots / shard_slots))).cast("long")
-    some = sources.select("rank", "n_blocks", "n_slots", shards.alias("shards")).where("n_slots > 0")
-    ranges = some.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / RANGE_SLOTS))))
+    ranges = sources.where("n_slots > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / RANGE_SLOTS))))
     ranges = ranges.repartition(max(1, math.ceil(n_slots / TASK_SLOTS)), "rank", "part")
     last = F.least((F.col("part") + 1) * RANGE_SLOTS, F.col("n_slots")) - 1
-    each = ranges.withColumn("slot", F.explode(F.sequence(F.col("part") * RANGE_SLOTS, last)))
+    each = ranges.select("rank", "n_blocks", F.explode(F.sequence(F.col("part") * RANGE_SLOTS, last)).alias("slot"))
+    shard = F.pmod(F.xxhash64("rank", "slot", F.lit(29)), shards)
+    return each.groupBy("rank", "n_blocks", shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def slots(counts: DataFrame, n_slots: int) -> DataFrame:
+    """(rank, shard, slot, turn, block): the slots that the counts give each shard, and the block that each takes."""
+    own = sums_before(counts.withColumn("chunk", F.floor(F.col("shard") / CHUNK_SHARDS)), "rank", "chunk", ["shard"], "n", "first")
+    own = own.repartition(max(1, math.ceil(n_slots / TASK_SLOTS)), "rank", "shard")
+    each = own.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     turn = F.floor(F.col("slot") / F.col("n_blocks"))
     block = permuted(F.pmod(F.col("slot"), F.col("n_blocks")), F.col("n_blocks"), F.col("rank"), turn)
     block = F.coalesce(block, F.lit(0))  # never null, and so known to be: else the join would compute it twice to see
-    shard = F.pmod(F.xxhash64("rank", "slot", F.lit(29)), F.col("shards"))
-    return each.select("rank", "slot", turn.alias("turn"), block.alias("block"), shard.alias("shard"))
+    return each.select("rank", "shard", "slot", turn.alias("turn"), block.alias("block"))
 
 
 def pieces(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -136,12 +157,14 @@ class Mix:
     def __init__(self, docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS):
         folder = work_dir(docs.sparkSession, "mix")
         sizes = stored(sized(docs), f"{folder}/sizes")
-        self.sources = stored(source_targets(sizes, block_words), f"{folder}/sources")
+        self.sources = stored(source_targets(sizes, f"{folder}/order", block_words), f"{folder}/sources")
         self.placed = packed(sizes, self.sources, sizes.count())
         parts = pieces(self.placed, block_words)
         n_slots = self.sources.agg(F.sum("n_slots")).first()[0] or 0
-        # ranges are few and their slots many: without the hint Spark would take the slots for small and broadcast them
-        taken = slots(self.sources, n_slots, shard_slots).hint("merge").withColumnsRenamed({"rank": "rank_", "block": "block_"})
+        #: How many slots of each source the output shards have: rank, n_blocks, shard, n.
+        self.counts = stored(shard_counts(self.sources, n_slots, shard_slots), f"{folder}/counts")
+        # counts are few and their slots many: without the hint Spark would take the slots for small and broadcast them
+        taken = slots(self.counts, n_slots).hint("merge").withColumnsRenamed({"rank": "rank_", "block": "block_"})
         #: A row for each slot and document in its block: shard, rank, slot, turn, block, doc_id, first, last, ...
         self.spans = taken.join(parts, (F.col("rank") == F.col("rank_")) & (F.col("block") == F.col("block_"))).drop("rank_", "block_")
 
@@ -160,9 +183,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     The columns of ``docs``; text is cut to the spans (with the white space before each word), n_chars is counted anew.
     """
-    spans = Mix(docs).spans.groupBy("rank", "chunk", "seq", "turn").agg(F.first("row_key").alias("row_key"), F.sort_array(F.collect_list(F.struct("first", "last"))).alias("parts"))
+    spans = Mix(docs).spans.groupBy("rank", "chunk", "seq", "turn").agg(F.first("row_key").alias("row_key"), F.first("doc_id").alias("doc_id_"), F.sort_array(F.collect_list(F.struct("first", "last"))).alias("parts"))
     own = whole_rows(docs).withColumn("key", F.xxhash64("row.doc_id", F.col("row.source").cast("string"), "row.text"))
-    joined = own.dropDuplicates(["key"]).join(spans, F.col("row_key") == F.col("key"))
+    once = own.withColumn("id", F.col("row.doc_id")).dropDuplicates(["key", "id"])
+    joined = once.join(spans, (F.col("row_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id_")))
     words = F.regexp_extract_all("row.text", F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
     text = F.transform(F.array(words), lambda w: F.array_join(F.transform("parts", lambda p: F.array_join(F.slice(w, (p["first"] + 1).cast("int"), (p["last"] - p["first"]).cast("int")), "")), ""))
     mixed = joined.withColumn("row", F.col("row").withField("text", F.ltrim(F.element_at(text, 1))))

@@ -59,7 +59,7 @@ s5 AS (SELECT *, (every - filled * {m.MOST_PASSES}) / weight_left AS lv FROM s4)
 s6 AS (SELECT *, max(CASE WHEN lv <= fill THEN lv END) OVER () AS level FROM s5),
 s7 AS (SELECT rank, source, source_size, CAST(least(source_size * {m.MOST_PASSES}, coalesce(level * weight, source_size * {m.MOST_PASSES})) AS DOUBLE) AS target, CAST(ceil(source_size / {m.BLOCK_WORDS}) AS BIGINT) AS n_blocks FROM s6),
 s AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(round(target * n_blocks / source_size) AS BIGINT), n_blocks * {m.MOST_PASSES}) ELSE 0 END AS n_slots FROM s7),
-q AS (SELECT doc_id, size, s.rank, ((coalesce(doc_id, 0) % {m.PRIME} + 1) * {m.FACTOR} % {m.PRIME}) % (SELECT greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) FROM z) AS chunk FROM z JOIN s ON z.source IS NOT DISTINCT FROM s.source),
+q AS (SELECT doc_id, size, s.rank, (((doc_id % {m.PRIME} + {m.PRIME}) % {m.PRIME} + size * 7919 % {m.PRIME} + 1) * {m.FACTOR} % {m.PRIME}) % (SELECT greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) FROM z) AS chunk FROM z JOIN s ON z.source IS NOT DISTINCT FROM s.source),
 o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY chunk, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, row_number() OVER () AS rid FROM q),
 e AS (SELECT *, unnest(range(CAST(start // {m.BLOCK_WORDS} AS BIGINT), CAST((start + size - 1) // {m.BLOCK_WORDS} + 1 AS BIGINT))) AS block FROM o WHERE size > 0),
 slot AS (SELECT rank, n_blocks, unnest(range(0, n_slots)) AS k FROM s WHERE n_slots > 0),
