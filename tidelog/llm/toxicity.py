@@ -10,9 +10,10 @@ Labels belong to documents, so training picks windows: at first those with most
 those that score highest (for clean documents these are the hardest negatives). Gradients are exact back-propagation
 through time; steps follow Adam with a fixed seed.
 
-Scale: the network trains on the driver on at most ``SAMPLE_DOCS`` documents of each label of up to ``SAMPLE_BYTES``
-bytes, those of the lowest id hash among documents of that length; their ids (a bounded list) are broadcast to find their texts. Every whole text is
-scored in one pass without a shuffle, distinct words of a slice once, windows in blocks of bounded memory.
+Scale: the network trains on the driver on at most ``SAMPLE_DOCS`` documents of each label, those of the lowest id hash;
+their ids (a bounded list) are broadcast to find their texts. Of a text over ``SAMPLE_BYTES`` bytes it sees excerpts of
+``EXCERPT_WORDS`` words that are spread evenly over the whole text. Every whole text is scored in one pass without a
+shuffle, distinct words of a slice once, windows in blocks of bounded memory.
 
 Edge cases: null and empty texts are one empty window; labels that are null are left out, repeated ones count once
 (toxic if any is); without labels of both kinds every score is the smoothed share of label 1; repeated rows and ids
@@ -34,6 +35,7 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 SAMPLE_DOCS = 2_000
 SAMPLE_BYTES = 12_000
+EXCERPT_WORDS = 96
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
 EMBED = 4
@@ -317,16 +319,38 @@ class _Subset(Words):
         self.buf, self.hashes, self.starts, self.ends = words.buf, words.hashes[chosen], words.starts[chosen], words.ends[chosen]
 
 
+def excerpt(text: str, most: int) -> str:
+    """A text of at most ``most`` bytes whole, else excerpts of it in its order, as many as make about that many bytes."""
+    buf = np.frombuffer(text.encode(), np.uint8)
+    if len(buf) <= most:
+        return text
+    starts, ends, _ = word_bounds(buf, np.array([0, len(buf)]))
+    if not len(starts):
+        return ""
+    first = np.arange(0, len(starts), EXCERPT_WORDS)
+    begin, stop = starts[first], ends[np.minimum(first + EXCERPT_WORDS, len(starts)) - 1]
+    n = max(1, int(most / np.mean(stop - begin)))
+    picked = np.unique(np.linspace(0, len(first) - 1, min(n, len(first))).astype(int))
+    parts = [buf[a : min(b, a + most)].tobytes().decode("utf-8", "ignore") for a, b in zip(begin[picked], stop[picked], strict=True)]
+    return " ".join(parts)[:most]
+
+
 def training_texts(docs: DataFrame, labels: DataFrame) -> pa.Table:
     """(text, y) of the training sample."""
     y = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id_")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     y = y.where(crc_mod(F.col("doc_id_"), FOLDS) != HELD_OUT)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.where(F.octet_length("text") <= SAMPLE_BYTES)
     y = y.join(texts.select("doc_id"), F.col("doc_id") == F.col("doc_id_"), "left_semi")
     few = [y.where(F.col("y") == k).orderBy(F.xxhash64("doc_id_"), "doc_id_").limit(SAMPLE_DOCS) for k in (0, 1)]
     joined = texts.join(F.broadcast(few[0].union(few[1])), F.col("doc_id") == F.col("doc_id_"))
-    once = joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    most = SAMPLE_BYTES
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([excerpt(x, most) for x in batch.column(1).to_pylist()], pa.string()), batch.column(2)], ["doc_id", "text", "y"])
+
+    short = joined.select("doc_id", "text", "y").mapInArrow(cut, "doc_id long, text string, y int")
+    once = short.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     return once.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").toArrow()
 
 
