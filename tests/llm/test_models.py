@@ -232,37 +232,116 @@ def test_embeddings(spark):
     rows += [(2000 + k, [float(x) for x in base[0]], 0, "c") for k in range(30)] + [(2001, [float(x) for x in base[0]], 0, "c")]
     odd = [(3000, None, 0, "c"), (3001, [0.0] * 16, 0, "c"), (3002, [1.0] * 15 + [None], 0, "c"), (3003, [float("nan")] * 16, 0, "c"), (3004, [], 0, "c"), (3005, [float("inf")] * 16, 0, "c")]
     other = [(4000, [1.0, 0.0], 0, "c"), (4001, [2.0, 0.1], 0, "c"), (4002, [0.0, 1.0], 0, "c")]
+    tiny = [(5000 + k, [c * 1e-200 for c in (1.0, 2.0, k / 9)] + [0.0] * 13, 0, "c") for k in range(3)]
+    huge = [(5100, [1e200] * 16, 0, "c"), (5101, [2e200] * 16, 0, "c"), (5102, [-1e200] * 16, 0, "c")]
+    rows += tiny + huge
     df = spark.createDataFrame(rows + odd + other, "vec_id long, embedding array<double>, label int, v string")
-    x = embedding_groups.unit(np.array([r[1] for r in rows]))
-    close = x @ x.T >= 0.9
-    np.fill_diagonal(close, False)
-    got = embedding_groups.embedding_groups(df).collect()
-    by = {r.vec_id: r for r in got}
-    found, true = sum(r.n_links for r in got if r.vec_id < 3000), int(close.sum())
-    assert len(got) == len(rows) + 9 and found <= true and found >= 0.97 * true
+    want = groups_by_hand([(r[0], r[1]) for r in rows])
+    by = {}
+    for r in embedding_groups.embedding_groups(df).collect():
+        by.setdefault(r.vec_id, []).append((r.n_links, r.component_id, r.kept))
+    assert {k: v for k, v in by.items() if k in want} == want
     for r in odd:
-        assert (by[r[0]].n_links, by[r[0]].component_id, by[r[0]].kept) == (0, r[0], True)
-    assert (by[4000].n_links, by[4001].component_id, by[4002].n_links) == (1, 4000, 0)
-    assert by[2000].component_id == 0 and not by[2000].kept and by[0].kept
+        assert by[r[0]] == [(0, r[0], True)]
+    assert (by[4000], by[4001], by[4002]) == ([(1, 4000, True)], [(1, 4000, False)], [(0, 4002, True)])
     assert embedding_groups.embedding_groups(df.where("false")).count() == 0
 
 
-def test_long_texts_take_no_place_in_the_sample(spark, monkeypatch):
-    docs = odd_table(spark, [doc(k, "word " * (100 if k % 4 else 5) + str(k)) for k in range(200)])
+def groups_by_hand(rows):
+    """Links, component and kept of each vector id by all pairs; an id that is there twice has two entries."""
+    x = np.array([v for _, v in rows])
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    close = x @ x.T >= 0.9
+    np.fill_diagonal(close, False)
+    ids = [k for k, _ in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in zip(*np.nonzero(close), strict=True):
+        root[find(a)] = find(b)
+    least = {}
+    for k, i in enumerate(ids):
+        least[find(k)] = min(least.get(find(k), i), i)
+    found = {}
+    for k, i in enumerate(ids):
+        found.setdefault(i, []).append((int(close[k].sum()), least[find(k)], i == least[find(k)]))
+    return found
+
+
+def test_long_texts_train_by_excerpts(spark, monkeypatch):
+    docs = odd_table(spark, [doc(k, " ".join(f"w{j}" for j in range(900 if k % 4 else 5))) for k in range(200)])
     labels = spark.createDataFrame([(k, k // 4 % 2) for k in range(200)], "doc_id long, toxic int")
     monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 10)
-    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 60)
-    assert Counter(toxicity.training_texts(docs, labels)["y"].to_pylist()) == {0: 10, 1: 10}
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1500)
+    got = toxicity.training_texts(docs, labels).to_pylist()
+    assert Counter(r["y"] for r in got) == {0: 10, 1: 10} and all(len(r["text"]) <= 1500 for r in got)
+    long = [r["text"].split() for r in got if len(r["text"]) > 100]
+    assert long and all(w[0] == "w0" and int(w[-1][1:]) > 800 for w in long)
+    assert toxicity.excerpt("x" * 5000, 700) == "x" * 700 and toxicity.excerpt("short é", 700) == "short é" and toxicity.excerpt(" " * 900, 700) == ""
+
 
+def score_by_hand(net, text):
+    """A plain loop over windows, words, states and their attention."""
+    import pyarrow as pa
 
-@pytest.mark.parametrize("kind", ["decaying", "low_rank", "unlinked"])
+    marks = ".,:;!?\"'()[]{}*#$%&|<>-_"
+    strip = lambda w: (w := w[1:] if len(w.encode()) > 1 and w[0] in marks else w)[:-1] if len(w.encode()) > 1 and w[-1] in marks else w
+    found = [strip(strip(strip(w))) for w in words(lower(text))]
+    vectors = {}
+    for w in set(found):
+        own = toxicity.Words(*text_buffer(pa.array([w])))
+        grams, owner = own.grams()
+        word, odds = toxicity.bucket(own.hashes, toxicity.ODDS_BITS)[0], [float(net.gram_odds[k]) for k in toxicity.bucket(grams, toxicity.ODDS_BITS)]
+        assert set(owner.tolist()) == {0} and len(own.hashes) == 1
+        mean = np.mean([net.p["gram"][k] for k in toxicity.bucket(grams, toxicity.EMBED_BITS)], axis=0)
+        vectors[w] = np.concatenate(([net.word_odds[word], max(odds), np.mean(odds)], net.p["word"][toxicity.bucket(own.hashes, toxicity.EMBED_BITS)[0]], mean))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h = toxicity.HIDDEN
+    best = -math.inf
+    for at in range(0, max(1, len(found) - toxicity.STRIDE), toxicity.STRIDE):
+        x = [vectors[w] for w in found[at : at + toxicity.WINDOW]]
+        states = []
+        for side, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            state, own = np.zeros(h), {}
+            for t in order:
+                a, u = x[t] @ net.p["W" + side] + net.p["c" + side], state @ net.p["U" + side]
+                z, r = sigmoid(a[:h] + u[:h]), sigmoid(a[h : 2 * h] + u[h : 2 * h])
+                state = own[t] = (1 - z) * state + z * np.tanh(a[2 * h :] + r * u[2 * h :])
+            states.append([own[t] for t in range(len(x))])
+        both = [np.concatenate(s) for s in zip(*states, strict=True)]
+        e = [math.exp(float((np.tanh(s @ net.p["att"]) @ net.p["key"])[0])) for s in both]
+        pooled = sum((w / sum(e) * s for w, s in zip(e, both, strict=True)), np.zeros(2 * h))
+        best = max(best, float((pooled @ net.p["out"])[0] + net.p["bias"][0]))
+    return sigmoid(best)
+
+
+def test_toxicity_scores_by_hand():
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    bad, good = ["vile", "horrid!", "(nasty)"], ["plain", "prose,", "is", "good", "Here", "ünder", "日本"]
+    texts = [" ".join(rng.choice(bad if k % 3 == 0 and rng.random() < 0.2 else good) for _ in range(rng.randint(0, 120))) for k in range(60)]
+    net = toxicity.train(*text_buffer(pa.array(texts)), np.array([float(k % 3 == 0) for k in range(60)]))
+    some = [*texts[:12], "", "one", " ".join(good * 7)[:-1], "--- ...", "word " * 32, "word " * 33, "word " * 49]
+    got = net.scores(*text_buffer(pa.array(some)))
+    assert np.allclose(got, [score_by_hand(net, t) for t in some], atol=2e-5)
+
+
+@pytest.mark.parametrize("kind", ["decaying", "low_rank", "rank_3", "unlinked"])
 def test_embeddings_of_uneven_spectrum(spark, monkeypatch, kind):
     rng = np.random.default_rng(11)
     monkeypatch.setattr(embedding_groups, "CELL_ROWS", 150)
     monkeypatch.setattr(embedding_groups, "PROBES", 400, raising=False)
-    if kind == "low_rank":
-        base = rng.standard_normal((3000, 8)) @ rng.standard_normal((8, 64))
-        near = base[:1500] + 0.35 * rng.standard_normal((1500, 8)) @ rng.standard_normal((8, 64))
+    if kind in ("low_rank", "rank_3"):
+        rank = 8 if kind == "low_rank" else 3
+        base = rng.standard_normal((3000, rank)) @ rng.standard_normal((rank, 64))
+        near = base[:1500] + 0.35 * rng.standard_normal((1500, rank)) @ rng.standard_normal((rank, 64))
     else:
         base = rng.standard_normal((3000, 64)) / np.arange(1, 65) ** (kind == "decaying")
         near = base[:1500] + 0.35 * rng.standard_normal((1500, 64)) / np.arange(1, 65) ** (kind == "decaying")
@@ -272,6 +351,10 @@ def test_embeddings_of_uneven_spectrum(spark, monkeypatch, kind):
     np.fill_diagonal(close, False)
     links = np.array([r.n_links for r in embedding_groups.embedding_groups(df).orderBy("vec_id").collect()])
     true = close.sum(axis=1)
+    if kind == "low_rank":
+        want = groups_by_hand(list(enumerate(x)))
+        exact = {r.vec_id: [(r.n_links, r.component_id, r.kept)] for r in embedding_groups.embedding_groups(df, exact=True).collect()}
+        assert exact == want
     assert true.sum() and (links <= true).all() and links.sum() >= (0.99 if kind != "unlinked" else 1) * true.sum()
 
 
