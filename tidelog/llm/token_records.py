@@ -46,11 +46,13 @@ FORMAT = 1
 #: Distinct segments that a worker remembers.
 CACHE_SEGMENTS = 1_000_000
 #: Bytes of texts that are encoded together.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Segments that stay when the memory is full: short ones are the frequent ones.
 SHORT = 7
 #: Segments that are encoded as one text: each begins with a space of its own, so their ids can be told apart.
 JOINED = 100
+#: Texts that go to the library at once.
+AT_ONCE = 64
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Letters and then signs: the pre-tokenizer cuts between the two (an apostrophe may go either way).
 _SIGNED = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;<=>?@\[\]^_`{|}~]+)")
@@ -116,9 +118,13 @@ class Encoder:
         self.flat, self.at = np.zeros(0, self.kind), np.zeros(1, np.int64)
 
     def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each has."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(ids), self.kind), np.fromiter(map(len, ids), np.int64, len(ids))
+        """The ids of all texts in a row, and how many each has; the library's own results are large, so a few at a time."""
+        ids, size = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for i in range(0, len(texts), AT_ONCE):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(found), self.kind))
+            size.append(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.concatenate(ids), np.concatenate(size)
 
     @staticmethod
     def segments(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -145,26 +151,41 @@ class Encoder:
         more = size[some] - 1
         place = spans(begin[some] + 1, more)
         distinct = parts.take(pa.array(place)).dictionary_encode()
-        numbers = self.numbers(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())[distinct.indices.to_numpy()]
-        # the first segments take the numbers after those that are known
-        flat = np.concatenate((self.flat, first))
-        at = np.concatenate((self.at, self.at[-1] + np.cumsum(first_size)))
-        order = np.insert(numbers, np.cumsum(more) - more, len(self.at) - 1 + np.arange(len(some)))
+        numbers, more_ids, more_size = self.numbers(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())
+        numbers = numbers[distinct.indices.to_numpy()]
+        # this group's own: letters with signs, then the first segments
+        flat = np.concatenate((self.flat, more_ids, first))
+        at = np.concatenate((self.at, self.at[-1] + np.cumsum(np.concatenate((more_size, first_size)))))
+        order = np.insert(numbers, np.cumsum(more) - more, len(at) - 1 - len(some) + np.arange(len(some)))
         n_ids = at[order + 1] - at[order]
         ends = np.concatenate(([0], np.cumsum(n_ids)))
         return flat[spans(at[order], n_ids)], ends[np.concatenate(([0], np.cumsum(size)))]
 
-    def numbers(self, segments: list[str]) -> np.ndarray:
-        """The numbers of segments, each there once; new ones are learnt."""
-        found = list(map(self.known.get, segments))
-        if None in found:
-            new = [s for s, n in zip(segments, found, strict=True) if n is None]
-            if len(self.known) + len(new) > CACHE_SEGMENTS:
-                self.forget()
-                new = [s for s in segments if s not in self.known]
-            self.learn(new)
-            found = list(map(self.known.__getitem__, segments))
-        return np.array(found, np.int64)
+    def numbers(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of segments, each there once; new ones are learnt.
+
+        Letters and then signs have the ids of the letters and of the signs, so such a segment is not kept: it has a
+        number past those that are known, and its ids and their number are returned.
+        """
+        known = self.known
+        found = list(map(known.get, segments))
+        missing = [k for k, n in enumerate(found) if n is None]
+        signed = {k: m.groups() for k in missing if (m := _SIGNED.fullmatch(segments[k]))}
+        new = {segments[k] for k in missing if k not in signed} | {x for word, sign in signed.values() for x in (word, " " + sign) if x not in known}
+        if len(known) + len(new) > CACHE_SEGMENTS:
+            self.forget()
+            known = self.known
+            rest = [s for k, s in enumerate(segments) if k not in signed]
+            new = {s for s in (*rest, *(x for word, sign in signed.values() for x in (word, " " + sign))) if s not in known}
+            found = [None] * len(segments)
+        self.learn(new)
+        size = np.zeros(0, np.int64)
+        both = np.array([known[x] for word, sign in signed.values() for x in (word, " " + sign)], np.int64)
+        if len(both):
+            size = self.at[both + 1] - self.at[both]
+        place = {k: len(self.at) - 1 + j for j, k in enumerate(signed)}
+        numbers = [place[k] if k in place else known[s] if n is None else n for k, (s, n) in enumerate(zip(segments, found, strict=True))]
+        return np.array(numbers, np.int64), self.flat[spans(self.at[both], size)], size[::2] + size[1::2]
 
     def forget(self) -> None:
         """Keep the short segments, which are the frequent ones."""
@@ -177,28 +198,16 @@ class Encoder:
         self.at = np.concatenate(([0], np.cumsum(size)))
         self.known = dict(zip(short, range(len(short)), strict=True))
 
-    def learn(self, new: list[str]) -> None:
-        """Number segments and encode them; one of letters and then signs has the ids of the letters and of the signs."""
-        signed = {s: m.groups() for s in new if (m := _SIGNED.fullmatch(s))}
-        stems = {word for word, _ in signed.values()}.difference(self.known)
-        whole = list({s for s in new if s not in signed} | stems)
-        alone = {s for s in whole if s[:1] == "\n" or " " in s}
-        self._add(list(alone), *self.coded([s if s[:1] == "\n" else " " + s for s in alone]))
-        spaced = [s for s in whole if s not in alone]
+    def learn(self, new: set[str]) -> None:
+        """Number segments and encode them; a space before one says that it goes without."""
+        alone = [s for s in new if s[:1] == "\n" or " " in s]
+        self._add(alone, *self.coded([s if s[:1] == "\n" else s[1:] if s[:1] == " " else " " + s for s in alone]))
+        spaced = list(new.difference(alone))
         ids, _ = self.coded([" " + " ".join(spaced[i : i + JOINED]) for i in range(0, len(spaced), JOINED)])
         begin = np.flatnonzero(self.leads[ids])
         if len(begin) != len(spaced):
             raise ValueError("the tokenizer joins segments")
         self._add(spaced, ids, np.diff(np.append(begin, len(ids))))
-        signs = sorted({sign for _, sign in signed.values()})
-        ids, size = self.coded(signs)
-        number = dict(zip(signs, range(len(signs)), strict=True))
-        # the signs take the numbers after those that are known
-        flat = np.concatenate((self.flat, ids))
-        at = np.concatenate((self.at, self.at[-1] + np.cumsum(size)))
-        both = np.array([x for word, sign in signed.values() for x in (self.known[word], len(self.at) - 1 + number[sign])], np.int64)
-        size = at[both + 1] - at[both]
-        self._add(list(signed), flat[spans(at[both], size)], size[::2] + size[1::2])
 
     def _add(self, segments: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         self.known.update(zip(segments, range(len(self.at) - 1, len(self.at) - 1 + len(segments)), strict=True))
