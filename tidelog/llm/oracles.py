@@ -91,15 +91,16 @@ f AS (SELECT q.conv, q.turn, q.level, q.h, max(s.turn) AS origin FROM q JOIN sai
 v AS (SELECT conv, turn, level, origin, sum(len(string_split(h, ' '))) AS words FROM f GROUP BY conv, turn, level, origin),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv, turn ORDER BY level, words DESC, origin DESC) AS n FROM v),
 b AS (SELECT conv, turn, origin, words FROM r WHERE n = 1),
-chain AS (SELECT conv, turn, origin AS pos FROM b UNION ALL SELECT chain.conv, chain.turn, b.origin FROM chain JOIN b ON chain.conv IS NOT DISTINCT FROM b.conv AND chain.pos = b.turn),
-th AS (SELECT conv, turn, min(pos) AS thread FROM chain GROUP BY conv, turn),
 d AS (SELECT DISTINCT conv, turn FROM m WHERE turn IS NOT NULL),
 pr AS (SELECT conv, turn, lag(turn) OVER (PARTITION BY conv ORDER BY turn) AS before FROM d),
+rp AS (SELECT pr.conv, pr.turn, pr.before, coalesce(b.origin, pr.before) AS parent, b.words FROM pr LEFT JOIN b ON pr.conv IS NOT DISTINCT FROM b.conv AND pr.turn = b.turn),
+walk AS (SELECT conv, turn, [turn] AS way, turn AS branch FROM rp WHERE parent IS NULL
+  UNION ALL SELECT rp.conv, rp.turn, list_append(walk.way, rp.turn), CASE WHEN rp.parent = rp.before THEN walk.branch ELSE rp.turn END FROM walk JOIN rp ON walk.conv IS NOT DISTINCT FROM rp.conv AND rp.parent = walk.turn),
+th AS (SELECT conv, turn, way[1] AS thread, branch, row_number() OVER (PARTITION BY conv ORDER BY way) AS position FROM walk),
 c AS (SELECT rid, max(level) AS deep, count(*) FILTER (WHERE level > 0) AS n_quoted FROM lv GROUP BY rid)
-SELECT m.conv AS conv_id, m.turn, m.role, CAST(c.deep AS BIGINT) AS quote_levels, CAST(c.n_quoted AS BIGINT) AS quoted_lines, coalesce(b.origin, pr.before) AS reply_to,
-  CAST(coalesce(b.words, 0) AS BIGINT) AS linked_words, coalesce(th.thread, m.turn) AS thread, coalesce(own.t, '') AS text,
+SELECT m.conv AS conv_id, m.turn, m.role, CAST(c.deep AS BIGINT) AS quote_levels, CAST(c.n_quoted AS BIGINT) AS quoted_lines, rp.parent AS reply_to,
+  CAST(coalesce(rp.words, 0) AS BIGINT) AS linked_words, th.thread, th.branch, CAST(coalesce(th.position, 0) AS BIGINT) AS position, coalesce(own.t, '') AS text,
   '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || coalesce(own.t, '') || chr(10) AS formatted
 FROM m JOIN c ON m.rid = c.rid LEFT JOIN own ON m.rid = own.rid
-  LEFT JOIN b ON m.conv IS NOT DISTINCT FROM b.conv AND m.turn = b.turn LEFT JOIN th ON m.conv IS NOT DISTINCT FROM th.conv AND m.turn = th.turn
-  LEFT JOIN pr ON m.conv IS NOT DISTINCT FROM pr.conv AND m.turn = pr.turn
+  LEFT JOIN rp ON m.conv IS NOT DISTINCT FROM rp.conv AND m.turn = rp.turn LEFT JOIN th ON m.conv IS NOT DISTINCT FROM th.conv AND m.turn = th.turn
 """
