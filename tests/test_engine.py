@@ -1,8 +1,10 @@
 """Folds against Python loops, streams, and the log on disk."""
 
+import base64
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators import batching, control, delivery, log, offsets
@@ -47,11 +49,123 @@ def test_deliver(spark):
             raise OSError("no route")
         return 200 if target == "good" else 503
 
-    got = {r.target: r for r in delivery.deliver(rows, send, 3, "secret").collect()}
+    got = {r.target: r for r in delivery.deliver(rows, send, 3, "secret", initial_ms=1).collect()}
     assert got["good"].error is None and got["good"].attempts == 1
     assert got["bad"].error == "status 503" and got["bad"].attempts == 3 and "no route" in got["broken"].error
 
 
+def test_delivery_chain(spark, tmp_path):
+    """Waits that double, a breaker that opens, dead letters; sent once although the result is read twice."""
+    rows = spark.createDataFrame([(t, k, 1, f"[{k}]") for t in ("good", "bad") for k in range(4)], "target string, batch long, events long, payload string").repartition(3)
+    calls, waits = str(tmp_path / "calls"), str(tmp_path / "waits")
+
+    def send(target, payload, headers):
+        with open(calls, "a") as f:
+            f.write(f"{target} {payload} {headers['X-Event-ID']}\n")
+        return 200 if target == "good" else 500
+
+    def wait(seconds):
+        with open(waits, "a") as f:
+            f.write(f"{seconds}\n")
+
+    done = delivery.deliver(rows, send, 3, "secret", f"file://{tmp_path}/results", initial_ms=10, longest_ms=15, threshold=4, wait=wait)
+    got = {(r.target, r.batch): (r.attempts, r.error) for r in done.collect()}
+    assert got == {("good", k): (1, None) for k in range(4)} | {("bad", 0): (3, "status 500"), ("bad", 1): (1, "status 500"), ("bad", 2): (0, "circuit open"), ("bad", 3): (0, "circuit open")}
+    dead = delivery.undelivered(done, rows).collect()
+    assert sorted((r.target, r.batch, r.payload) for r in dead) == [("bad", k, f"[{k}]") for k in range(4)]
+    sent = open(calls).read().splitlines()
+    assert [x for x in sent if x.startswith("good")] == [f"good [{k}] good-{k}" for k in range(4)] and len(sent) == 8
+    assert open(waits).read().split() == ["0.01", "0.015", "0.01"]
+
+
+def test_last_write_wins(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    event = lambda k, v: (k, 1, "insert", ("public", "t"), "0" * 16, [("a", 0, v)], None, 0)
+    log.append(spark.createDataFrame([event(k, f"old{k}") for k in range(50)] + [event(3, "later")], CHANGE_SCHEMA).coalesce(1), path, "a", span=10)
+    log.append(spark.createDataFrame([event(k, f"new{k}") for k in range(20, 30)], CHANGE_SCHEMA).coalesce(1), path, "a", span=10)
+    log.append(spark.createDataFrame([event(5, "other")], CHANGE_SCHEMA), path, "b", span=10)
+    assert log.read(spark, path, "a").count() == 61
+    for _ in range(2):
+        got = {r.lsn: r.after[0].value for r in log.read(spark, path, "a", last_wins=True).collect()}
+        assert got == {k: f"new{k}" if 20 <= k < 30 else "later" if k == 3 else f"old{k}" for k in range(50)}
+    both = log.read(spark, path, last_wins=True)
+    assert both.count() == 51 and both.where("tenant = 'b'").count() == 1
+
+
+def test_offset_store(spark, tmp_path, monkeypatch):
+    from tidelog.errors import OffsetRegression
+
+    store = offsets.FileOffsetStore(spark, f"file://{tmp_path}/offsets")
+    assert store.load() == {} and store.resume("a") == 0
+    store.commit("a", 5)
+    store.register("b")
+    assert (store.load(), store.resume("a"), store.resume("b")) == ({"a": 5, "b": -1}, 6, 0)
+    with pytest.raises(OffsetRegression):
+        store.commit("a", 4)
+    # a crash before the rename, and one right after the claim, leave what was there
+    real = store._fs
+    for point in ("create", "rename"):
+
+        class Crashing:
+            def __getattr__(self, name):
+                if name == point and (point == "rename" or self.claimed):
+                    raise RuntimeError("crash")
+                self.claimed |= name == "create"
+                return getattr(real, name)
+
+            claimed = False
+
+        monkeypatch.setattr(store, "_fs", Crashing())
+        with pytest.raises(RuntimeError):
+            store.commit("a", 9)
+        monkeypatch.setattr(store, "_fs", real)
+        assert offsets.FileOffsetStore(spark, f"file://{tmp_path}/offsets").load() == {"a": 5, "b": -1}
+    # a writer that is overtaken between its reading and its writing applies its change again
+    other, first = offsets.FileOffsetStore(spark, f"file://{tmp_path}/offsets"), store._claim
+
+    def slow(number):
+        monkeypatch.setattr(store, "_claim", first)
+        assert first(number)
+        other.commit("c", 7)
+        return True
+
+    monkeypatch.setattr(store, "_claim", slow)
+    store.commit("a", 8)
+    assert store.load() == {"a": 8, "b": -1, "c": 7}
+    for k in range(20):
+        store.commit("a", 10 + k)
+    store.unregister("b")
+    assert store.load() == {"a": 29, "c": 7} and len(list((tmp_path / "offsets").glob("*.json"))) <= store.KEPT
+
+
+def test_nonces_differ(spark):
+    from tidelog.operators import crypto
+    from tidelog.schema import row, table_id
+
+    key, other = F.lit("test-only-key-16").cast("binary"), F.lit("another-key-1616").cast("binary")
+    image = row(a=F.col("id") % 3, b=F.lit("same"))
+    rows = spark.range(6).select(F.lit(5).alias("lsn"), F.lit(0).alias("xid"), table_id("s", "t").alias("table"), image.alias("after"), image.alias("before"))
+    nonces = {}
+    for name, k in (("one", key), ("two", other)):
+        sealed = crypto.encrypt(crypto.encrypt(rows, ["a", "b"], k), ["a", "b"], k, "before")
+        for x in sealed.collect():
+            for im in ("after", "before"):
+                for c, plain in zip(x[im], ("a", "b"), strict=True):
+                    nonces.setdefault(base64.b64decode(c.value)[:12], set()).add((name, im, plain, c.value))
+    assert all(len(v) == 1 for v in nonces.values()) and len(nonces) == 2 * 2 * (3 + 1)
+    opened = crypto.decrypt(crypto.rotate(crypto.encrypt(rows, ["a"], key), ["a"], key, other), ["a"], other)
+    assert [r.after[0].value for r in opened.orderBy(F.col("after")[0]["value"]).collect()] == ["0", "0", "1", "1", "2", "2"]
+
+
+def test_pinned_snapshot(spark, tmp_path):
+    paths = {f"public.{t}": f"file://{tmp_path}/{t}" for t in ("a", "b")}
+    for k, path in enumerate(paths.values()):
+        spark.range(3 + k).write.parquet(path)
+    rows = snapshot.pinned(spark, paths, 7)
+    spark.range(100, 110).write.mode("append").parquet(paths["public.a"])
+    assert sorted((r.table.table, r.after[0].value, r.lsn) for r in rows.collect()) == [("a", str(k), 7) for k in range(3)] + [("b", str(k), 7) for k in range(4)]
+
+
 def test_stream_restart_is_idempotent(spark, tmp_path):
     event = lambda k: (k, 1, "insert", ("public", "t"), "0" * 16, [("a", 0, str(k))], None, 0)
     base = f"file://{tmp_path}"

@@ -69,6 +69,11 @@ def test_carried_forward(spark):
     events = f.decode(captured(spark, STREAM)).where("seq in (2, 3, 4)")
     got = {r.seq: r for r in f.carried_forward(events, "id").collect()}
     assert [c.value for c in got[4].after] == ["1", "x"] and [c.value for c in got[2].after] == ["1", None]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    keyed = [f.begin_frame(1, 1_700_000_000_000_000, 1), STREAM[1], *(f.insert_frame(5, [str(k), f"v{k}"]) for k in range(40)), *(f.update_frame(5, [str(k), ...]) for k in range(40))]
+    filled = f.carried_forward(f.decode(captured(spark, keyed)).repartition(5, "lsn"), "id").collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(filled) == 80 and all(r.after[1].value == f"v{r.after[0].value}" for r in filled)
 
 
 def test_ddl(spark):

@@ -43,3 +43,7 @@ class DeliveryFailed(TidelogError):
 
 class SlotMissing(TidelogError):
     """A stream position that must exist and does not."""
+
+
+class SnapshotMoved(TidelogError):
+    """A table's files changed while a snapshot of several tables was taken."""

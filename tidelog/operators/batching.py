@@ -26,8 +26,10 @@ def byte_batches(events: DataFrame, most: int, by: list[str], order: str = "lsn"
     """Events with ``batch``: a batch is flushed with the event that brings it to ``most`` bytes, the next starts at 0.
 
     The sum starts anew at every flush, which no window frame can do, so it is a sequential fold inside a group. It
-    streams over a group's sorted rows in Arrow batches and keeps two numbers, so a group may be of any size.
+    streams over a group's sorted rows in Arrow batches and keeps two numbers, so a group may be of any size. An unknown
+    size counts as 0; a column ``batch`` is replaced.
     """
+    events = events.drop("batch")
     keys = [F.col(c) for c in by]
     sorted_ = events.repartition(*keys).sortWithinPartitions(*by, order)
     names = events.columns
@@ -43,7 +45,7 @@ def byte_batches(events: DataFrame, most: int, by: list[str], order: str = "lsn"
                 if key != now:
                     now, total, number = key, 0, 0
                 out.append(number)
-                total += own
+                total += own or 0
                 if total >= most:
                     total, number = 0, number + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*names, "batch"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,36 +97,63 @@ def dead_letters(failures: DataFrame, most: int, order: str = "seq") -> DataFram
     return failures.orderBy(F.desc(order)).limit(most).crossJoin(F.broadcast(total))  # one row
 
 
-def deliver(payloads_: DataFrame, send: Callable[[str, str, dict], int], most_attempts: int = 5, secret: str | None = None) -> DataFrame:
+def deliver(
+    payloads_: DataFrame, send: Callable[[str, str, dict], int], most_attempts: int = 5, secret: str | None = None, folder: str | None = None,
+    initial_ms: int = 100, longest_ms: int = 60_000, threshold: int = 5, timeout_ms: int = 30_000, wait: Callable[[float], None] = time.sleep,
+) -> DataFrame:
     """Send (target, batch, events, payload) where the rows are; (target, batch, attempts, error) of each.
 
-    ``send`` (target, payload, headers) returns a status and is pickled to the executors; 400 and above, or an
-    exception, is a failure. A batch that fails every attempt comes back with its error, for the dead letters.
+    A target's batches go out in order, one after the other. ``send`` (target, payload, headers) returns a status and is
+    pickled to the executors; 400 and above, or an exception, is a failure. A failure is tried again after a wait that
+    doubles. A target's breaker opens after ``threshold`` failures in a row; while it is open batches are not sent
+    (error "circuit open"). What is not delivered comes back with its error, for ``undelivered``.
+
+    Every evaluation of the result sends. With ``folder`` it is evaluated once, written there and read back. A task that
+    is repeated sends its batches again: receivers know them by the event id header.
     """
+    dealt = payloads_.select(F.col("target").cast("string"), F.col("batch").cast("long"), "events", "payload").repartition("target").sortWithinPartitions("target", "batch")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        from tidelog.operators.control import CircuitBreaker, RetryPolicy
+
+        retry, now, breaker = RetryPolicy(most_attempts, initial_ms, longest_ms), None, None
+        clock = lambda: int(time.monotonic() * 1000)
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                error, attempts = None, 0
-                while attempts < most_attempts:
-                    attempts += 1
+                if breaker is None or r["target"] != now:
+                    now, breaker = r["target"], CircuitBreaker(threshold, timeout_ms)
+                error, attempts = "circuit open", 0
+                while breaker.allow(clock()):
                     try:
                         status = send(r["target"], r["payload"], request_headers(r["payload"], r["events"], secret, f"{r['target']}-{r['batch']}"))
                         error = f"status {status}" if status >= 400 else None
                     except Exception as e:  # noqa: BLE001  whatever a transport raises is a failed delivery
                         error = f"{type(e).__name__}: {e}"
-                    if error is None:
+                    attempts += 1
+                    breaker.report(error is None, clock())
+                    if error is None or not retry.again(attempts - 1):
                         break
+                    wait(retry.backoff(attempts - 1) / 1000)
                 out.append({"target": r["target"], "batch": r["batch"], "attempts": attempts, "error": error})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("target", pa.string()), ("batch", pa.int64()), ("attempts", pa.int64()), ("error", pa.string())]))
 
-    return payloads_.select(F.col("target").cast("string"), F.col("batch").cast("long"), "events", "payload").mapInArrow(run, "target string, batch long, attempts long, error string")
+    kind = "target string, batch long, attempts long, error string"
+    results = dealt.mapInArrow(run, kind)
+    if folder is None:
+        return results
+    results.write.mode("overwrite").parquet(folder)
+    return payloads_.sparkSession.read.schema(kind).parquet(folder)
 
 
-def health(ready: bool, live: bool) -> str:
-    return json.dumps({"ready": ready, "live": live}, separators=(",", ":"))
+def undelivered(results: DataFrame, payloads_: DataFrame) -> DataFrame:
+    """The dead letters of a delivery: (target, batch, events, payload, attempts, error)."""
+    failed = results.where("error is not null").select(F.col("target").alias("target_"), F.col("batch").alias("batch_"), "attempts", "error")
+    own = payloads_.select(F.col("target").cast("string").alias("target"), F.col("batch").cast("long").alias("batch"), "events", "payload")
+    return own.join(failed, (F.col("target") == F.col("target_")) & (F.col("batch") == F.col("batch_"))).drop("target_", "batch_")
 
 
+def health(ready: bool, live: bool) -> str:
+    return json.dumps({"ready": ready, "live": live}, separators=(",", ":"))

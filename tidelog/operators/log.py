@@ -1,12 +1,15 @@
 """The sorted Parquet log: append, range scans, replay, last-write-wins, retention.
 
 A log is partitioned by tenant and by ``lsn_bucket`` (a fixed span of LSNs) and sorted by LSN inside its files, so a
-range prunes folders, then row groups. A key that is written again replaces the row before it: reads keep the newest
-of a key where that is asked for, and a replayed micro-batch overwrites its own buckets only by its batch id.
+range prunes folders, then row groups. A key that is written again replaces the row before it: every row has the
+``ingest`` number of its append and its place in it, no part of the key, so the last that was written is the newest of
+equal keys. Reads keep that one where it is asked for; a replayed micro-batch overwrites its own folder.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,21 +19,31 @@ BUCKET_SPAN = 1 << 20
 #: The key of a stored event; ``COMPAT_KEY`` lets rows of one LSN and transaction replace each other.
 KEY = ("lsn", "xid", "table", "seq")
 COMPAT_KEY = ("lsn", "xid")
+#: What is newer comes later in this order, as far as the columns are there.
+ORDER = ("lsn", "xid", "seq", "ingest", "ingest_row")
 
 
 def bucket(lsn: Column, span: int = BUCKET_SPAN) -> Column:
     return F.floor(lsn / span).cast("long")
 
 
-def append(events: DataFrame, path: str, tenant: str = "default", codec: str = "zstd", span: int = BUCKET_SPAN, mode: str = "append") -> None:
-    """Append events of one tenant; rows of a bucket stand in one place, sorted by their key."""
-    rows = events.withColumn("tenant", F.lit(tenant)).withColumn("lsn_bucket", bucket(F.col("lsn"), span))
+def append(events: DataFrame, path: str, tenant: str = "default", codec: str = "zstd", span: int = BUCKET_SPAN, mode: str = "append", ingest: int | None = None) -> None:
+    """Append events of one tenant; rows of a bucket stand in one place, sorted by their key.
+
+    ``ingest`` numbers the append and has to rise from one to the next (a batch number; by default the time in microseconds).
+    """
+    number = time.time_ns() // 1000 if ingest is None else ingest
+    rows = events.withColumns({"ingest": F.lit(number).cast("long"), "ingest_row": F.monotonically_increasing_id()})
+    rows = rows.withColumn("tenant", F.lit(tenant)).withColumn("lsn_bucket", bucket(F.col("lsn"), span))
     dealt = rows.repartitionByRange("lsn_bucket", "lsn").sortWithinPartitions("lsn_bucket", "lsn", "xid")
     dealt.write.mode(mode).option("compression", codec).partitionBy("tenant", "lsn_bucket").parquet(path)
 
 
-def read(spark: SparkSession, path: str, tenant: str | None = None, low: int | None = None, high: int | None = None, span: int = BUCKET_SPAN) -> DataFrame:
-    """A tenant's events in [low, high]; both the folders and the row groups are pruned."""
+def read(spark: SparkSession, path: str, tenant: str | None = None, low: int | None = None, high: int | None = None, span: int = BUCKET_SPAN, last_wins: bool = False) -> DataFrame:
+    """A tenant's events in [low, high]; both the folders and the row groups are pruned.
+
+    With ``last_wins`` of rows with an equal key only the one that was written last.
+    """
     log = spark.read.parquet(path)
     if tenant is not None:
         log = log.where(F.col("tenant") == tenant)
@@ -38,7 +51,7 @@ def read(spark: SparkSession, path: str, tenant: str | None = None, low: int | N
         log = log.where((F.col("lsn") >= low) & (F.col("lsn_bucket") >= low // span))
     if high is not None:
         log = log.where((F.col("lsn") <= high) & (F.col("lsn_bucket") <= high // span))
-    return log.drop("lsn_bucket")
+    return newest(log.drop("lsn_bucket"), ("tenant", *KEY)) if last_wins else log.drop("lsn_bucket")
 
 
 def read_from(log: DataFrame, start: int, limit: int) -> DataFrame:
@@ -56,14 +69,15 @@ def replay(log: DataFrame, committed: int, head: int) -> DataFrame:
     return log.where(F.col("lsn").between(committed + 1, head)) if committed < head else log.where(F.lit(False))
 
 
-def newest(events: DataFrame, key: tuple[str, ...] | list = KEY, order: tuple[str, ...] = ("lsn", "xid", "seq")) -> DataFrame:
-    """The newest row of each key."""
-    by = [F.col(c).desc() for c in order if c in events.columns]
+def newest(events: DataFrame, key: tuple[str, ...] | list = KEY, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """The newest row of each key, combined where the rows are before they are shuffled."""
+    by = F.struct(*[F.col(c) for c in order if c in events.columns])
     keys = [c for c in key if not isinstance(c, str) or c in events.columns]
-    return events.withColumn("rank_", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where("rank_ = 1").drop("rank_")
+    whole = F.struct(*[F.col(f"`{c}`") for c in events.columns])
+    return events.groupBy(*[(F.col(c) if isinstance(c, str) else c).alias(f"key_{k}") for k, c in enumerate(keys)]).agg(F.max_by(whole, by).alias("row_")).select("row_.*")
 
 
-def state(events: DataFrame, key: list, order: tuple[str, ...] = ("lsn", "xid", "seq")) -> DataFrame:
+def state(events: DataFrame, key: list, order: tuple[str, ...] = ORDER) -> DataFrame:
     """Rows as they now are: the last change of each key, without those that were deleted."""
     return newest(events, key, order).where(F.col("op").isin("insert", "update"))
 

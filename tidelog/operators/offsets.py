@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -109,42 +111,91 @@ def acknowledged(acks: DataFrame) -> DataFrame:
 
 
 class FileOffsetStore:
-    """Offsets of a few consumers in one JSON file below a folder, replaced as a whole by a rename."""
+    """Offsets of a few consumers as JSON below a folder; every change is a new file with the next number.
+
+    The highest number counts. A file gets its name by a rename once it is whole, so a crash at any point leaves the
+    one before it. A number is claimed by creating a file that must not be there: of two writers one has to take the
+    next number, and a writer that finds itself overtaken applies its change again, so no commit is lost.
+    """
+
+    KEPT = 5
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.folder))
+        self._jvm, self.folder = spark._jvm, folder.rstrip("/")
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(""))
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def _numbers(self, end: str) -> list[int]:
+        names = [status.getPath().getName() for status in self._fs.listStatus(self._path(""))]
+        return sorted(int(n.removesuffix(end)) for n in names if n.endswith(end))
+
+    def _last(self) -> tuple[int, dict[str, int]]:
+        while found := self._numbers(".json"):
+            try:
+                stream = self._fs.open(self._path(f"{found[-1]:012d}.json"))
+            except Exception:  # a writer has cleared it since: there is a later one
+                if found[-1] in self._numbers(".json"):
+                    raise
+                continue
+            try:
+                return found[-1], json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+        return 0, {}
 
     def load(self) -> dict[str, int]:
-        path = self._path(f"{self.folder}/offsets.json")
-        if not self._fs.exists(path):
-            return {}
-        rows = self.spark.read.text(f"{self.folder}/offsets.json", wholetext=True).collect()
-        return json.loads(rows[0][0])
+        return self._last()[1]
 
     def commit(self, consumer: str, lsn: int) -> None:
         """Raises OffsetRegression below the committed position; an equal one is fine."""
-        offsets = self.load()
-        if lsn < offsets.get(consumer, 0):
-            raise OffsetRegression(consumer, offsets[consumer], lsn)
-        self._save(offsets | {consumer: lsn})
+
+        def change(offsets: dict[str, int]) -> dict[str, int]:
+            if lsn < offsets.get(consumer, 0):
+                raise OffsetRegression(consumer, offsets[consumer], lsn)
+            return offsets | {consumer: lsn}
+
+        self._change(change, lambda offsets: offsets.get(consumer, -1) >= lsn)
+
+    def register(self, consumer: str) -> None:
+        """A consumer that has committed nothing yet stands at -1 and resumes at 0; one that is there stays as it is."""
+        self._change(lambda offsets: {consumer: -1} | offsets, lambda offsets: consumer in offsets)
 
     def unregister(self, consumer: str) -> None:
-        offsets = self.load()
-        offsets.pop(consumer, None)
-        self._save(offsets)
+        self._change(lambda offsets: {c: lsn for c, lsn in offsets.items() if c != consumer}, lambda offsets: consumer not in offsets)
 
     def resume(self, consumer: str) -> int:
         offsets = self.load()
         return min(offsets[consumer] + 1, LSN_MAX) if consumer in offsets else 0
 
-    def _save(self, offsets: dict[str, int]) -> None:
-        new, own = self._path(f"{self.folder}/offsets.json.new"), self._path(f"{self.folder}/offsets.json")
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps(offsets, sort_keys=True).encode()))
-        out.close()
-        if self._fs.exists(own):
-            self._fs.delete(own, False)
-        self._fs.rename(new, own)
+    def _change(self, change: Callable[[dict[str, int]], dict[str, int]], done: Callable[[dict[str, int]], bool]) -> None:
+        while True:
+            number, offsets = self._last()
+            new = change(offsets)
+            number = max([number, *self._numbers(".claim")]) + 1
+            if not self._claim(number):
+                continue
+            own = f"{number:012d}.{uuid.uuid4().hex}.new"
+            out = self._fs.create(self._path(own), False)
+            out.write(bytearray(json.dumps(new, sort_keys=True).encode()))
+            out.close()
+            self._fs.rename(self._path(own), self._path(f"{number:012d}.json"))
+            last, offsets = self._last()
+            if last == number or done(offsets):
+                break
+        for end in (".json", ".claim"):
+            for old in self._numbers(end):
+                if old <= number - self.KEPT:
+                    self._fs.delete(self._path(f"{old:012d}{end}"), False)
+
+    def _claim(self, number: int) -> bool:
+        path = self._path(f"{number:012d}.claim")
+        try:
+            self._fs.create(path, False).close()
+        except Exception:  # another writer has it
+            if not self._fs.exists(path):
+                raise
+            return False
+        return True

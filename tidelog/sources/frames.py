@@ -220,17 +220,16 @@ def carried_forward(events: DataFrame, key: str) -> DataFrame:
     """Fill what an update did not send (unchanged large values) from the previous row of the same key column."""
     from tidelog.schema import qualified, text
 
-    keyed = events.withColumn("key_", text(F.coalesce("after", "before"), key))
-    cells = keyed.withColumn("place_", F.monotonically_increasing_id()).select("*", F.posexplode_outer("after").alias("i_", "c_"))
-    missing = F.coalesce(F.array_contains("toast_unchanged", F.col("c_.name")), F.lit(False))
-    w = Window.partitionBy(qualified(), "key_", "c_.name").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("sent_", F.last(F.when(~missing & F.col("c_").isNotNull(), F.struct(F.col("c_.value").alias("value"))), True).over(w))
-    value = F.when(missing, F.col("sent_.value")).otherwise(F.col("c_.value"))
-    cell = F.when(F.col("c_").isNotNull(), F.struct("i_", F.struct(F.col("c_.name").alias("name"), F.col("c_.type_oid").alias("type_oid"), value.alias("value")).alias("c")))
-    rows = cells.groupBy("place_").agg(F.sort_array(F.collect_list(cell)).alias("cells_"))
-    joined = events.withColumn("place_", F.monotonically_increasing_id()).join(rows, "place_")
-    after = F.when(F.col("after").isNotNull(), F.transform("cells_", lambda x: x["c"]))
-    return joined.withColumn("after", after).drop("place_", "cells_")
+    whole = events.select(F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("row"), F.monotonically_increasing_id().alias("place"), text(F.coalesce("after", "before"), key).alias("key"))
+    cells = whole.select("*", F.posexplode_outer("row.after").alias("i", "c"))  # each with its row, so nothing is joined back
+    missing = F.coalesce(F.array_contains("row.toast_unchanged", F.col("c.name")), F.lit(False))
+    w = Window.partitionBy(qualified(F.col("row.table")), "key", "c.name").orderBy("row.seq").rowsBetween(Window.unboundedPreceding, 0)
+    sent = F.last(F.when(~missing & F.col("c").isNotNull(), F.struct(F.col("c.value").alias("value"))), True).over(w)
+    cells = cells.withColumn("value", F.when(missing, sent["value"]).otherwise(F.col("c.value")))
+    cell = F.when(F.col("c").isNotNull(), F.struct("i", F.struct(F.col("c.name").alias("name"), F.col("c.type_oid").alias("type_oid"), F.col("value").alias("value")).alias("c")))
+    rows = cells.groupBy("place").agg(F.first("row").alias("row"), F.sort_array(F.collect_list(cell)).alias("cells"))
+    after = F.when(F.col("row.after").isNotNull(), F.transform("cells", lambda x: x["c"]))
+    return rows.select(F.col("row").withField("after", after).alias("row")).select("row.*")
 
 
 # ---- building frames (tests, captures) -----------------------------------------------------------------------

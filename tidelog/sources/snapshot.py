@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.errors import ConfigInvalid
+from tidelog.errors import ConfigInvalid, SnapshotMoved
 from tidelog.schema import CHANGE_SCHEMA, ROW_TYPE, empty_log, row, table_id
 
 SEQUENCE = "seq"
@@ -36,6 +36,32 @@ def snapshot_all(tables: dict[str, DataFrame], lsn: int) -> DataFrame:
     return found
 
 
+def pinned(spark: SparkSession, paths: dict[str, str], lsn: int) -> DataFrame:
+    """Snapshots of all tables (``schema.table`` -> folder of Parquet files) as they are at one moment.
+
+    All folders are listed first, and each table is read from the files of its listing: what is added later is not seen.
+    A file that has gone or has changed since fails the read instead of giving a mixture.
+    """
+    listed = {name: (path, _listing(spark, path)) for name, path in paths.items()}
+    tables = {name: spark.read.option("basePath", path).parquet(*files) for name, (path, files) in listed.items() if files}
+    if any(_listing(spark, path, files) != files for path, files in listed.values()):
+        raise SnapshotMoved("a file has changed while the tables were listed")
+    return snapshot_all(tables, lsn)
+
+
+def _listing(spark: SparkSession, path: str, only: dict[str, tuple] | None = None) -> dict[str, tuple]:
+    """Files below a path with their size and time of change."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    out = {}
+    while found.hasNext():
+        status = found.next()
+        name = status.getPath().getName()
+        if not name.startswith(("_", ".")) and (only is None or status.getPath().toString() in only):
+            out[status.getPath().toString()] = (status.getLen(), status.getModificationTime())
+    return out
+
+
 def splice(snapshot_rows: DataFrame, log: DataFrame, snapshot_lsn: int) -> DataFrame:
     """The snapshot, then the stream from behind it: no change is lost or seen twice."""
     return snapshot_rows.unionByName(log.where(F.col("lsn") > snapshot_lsn))

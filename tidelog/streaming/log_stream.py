@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from tidelog.operators.log import BUCKET_SPAN, append
+from tidelog.operators.log import BUCKET_SPAN, KEY, append, newest
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -20,26 +20,35 @@ def change_files(spark: SparkSession, path: str, schema: StructType, files_per_t
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def to_log(events: DataFrame, path: str, checkpoint: str, tenant: str = "default", span: int = BUCKET_SPAN, timeout: int = 600) -> None:
+def to_log(events: DataFrame, path: str, checkpoint: str, tenant: str = "default", span: int = BUCKET_SPAN, timeout: float | None = None) -> None:
     """Write all that is there into the log, once: a batch that runs again replaces its own folder.
 
-    Each batch has a folder of its own, so the log is read as ``batches(spark, path)``.
+    Each batch has a folder of its own, so the log is read as ``batches(spark, path)``. A backlog of any size is worked
+    off; ``timeout`` (seconds) ends the stream with an error.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        append(batch, f"{path}/batch={number}", tenant, span=span, mode="overwrite")
+        append(batch, f"{path}/batch={number}", tenant, span=span, mode="overwrite", ingest=number)
 
     query = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finished = query.awaitTermination(timeout)
-    if not finished:
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"the stream did not end in {timeout} s")
     if query.exception():
         raise query.exception()
 
 
-def batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch", "lsn_bucket")
+def batches(spark: SparkSession, path: str, low: int | None = None, high: int | None = None, span: int = BUCKET_SPAN, last_wins: bool = False) -> DataFrame:
+    """The log of all batches, or its events in [low, high]; the folders of other spans are not read."""
+    log = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    if low is not None:
+        log = log.where((F.col("lsn") >= low) & (F.col("lsn_bucket") >= low // span))
+    if high is not None:
+        log = log.where((F.col("lsn") <= high) & (F.col("lsn_bucket") <= high // span))
+    log = log.drop("batch", "lsn_bucket")
+    return newest(log, ("tenant", *KEY)) if last_wins else log
 
 
 def committed_offsets(commits: DataFrame) -> DataFrame:
@@ -76,7 +85,13 @@ def idempotent(events: DataFrame, key: list[str], delay: str) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Events by operation in event-time windows; late ones beyond the delay are dropped on a stream."""
+    """Events by operation in event-time windows (sliding with ``slide``); late ones beyond the delay are dropped on a stream."""
     window = F.window("at", size, slide) if slide else F.window("at", size)
     counts = events.withWatermark("at", delay).groupBy(window.alias("w"), "op").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "op", "n")
+
+
+def session_counts(events: DataFrame, by: list[str], gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Sessions of a key: events that follow each other by less than the gap, with their number."""
+    counts = events.withWatermark("at", delay).groupBy(*by, F.session_window("at", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
