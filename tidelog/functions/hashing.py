@@ -59,6 +59,14 @@ def hex_text(data: Column) -> Column:
     return F.lower(F.hex(data))
 
 
+def hmac_sha256(secret: str, data: Column) -> Column:
+    """HMAC-SHA256 of a text or binary column as lower-case hex digits."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, data.cast("binary")), 256))), 256)
+
+
 def signature(secret: str, payload: bytes, compat: bool = False) -> str:
     """A payload's signature header: HMAC-SHA256, or FNV-1a of secret and payload for old receivers."""
     if compat:

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.hashing import signature
+from tidelog.functions.hashing import hmac_sha256, signature
 from tidelog.schema import qualified
 
 CONTENT_HEADER = {"Content-Type": "application/json"}
@@ -43,6 +43,11 @@ def request_headers(payload: str, events: int, secret: str | None = None, event_
     return headers | ({EVENT_ID_HEADER: event_id} if event_id else {})
 
 
+def signed(payloads_: DataFrame, secret: str) -> DataFrame:
+    """Payloads with the values of the events header and the signature header of their requests."""
+    return payloads_.withColumns({"events_header": F.col("events").cast("string"), "signature": F.concat(F.lit("sha256="), hmac_sha256(secret, F.col("payload")))})
+
+
 def sent_stats(events: DataFrame) -> DataFrame:
     """(consumer) with the last LSN sent and how many events were."""
     return events.groupBy("consumer").agg(F.max("lsn").alias("last_sent_lsn"), F.count(F.lit(1)).alias("events_sent"))

@@ -13,6 +13,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.batching import byte_batches
 from tidelog.schema import qualified
 
 BUCKET_SPAN = 1 << 20
@@ -122,6 +123,17 @@ def rate_limited(events: DataFrame, per_second: int) -> DataFrame:
     return events.withColumn("n_", F.row_number().over(Window.partitionBy("tenant", second).orderBy("lsn", "xid"))).where(F.col("n_") <= per_second).drop("n_")
 
 
+def wal_frames(events: DataFrame, segment_bytes: int, by: list[str]) -> DataFrame:
+    """(lsn, payload) of each writer with ``frame`` (u32 length, u64 lsn, payload; big-endian) and its ``segment``.
+
+    A segment is closed once it holds ``segment_bytes``; ``control.WalWriter`` writes the same bytes.
+    """
+    number = lambda x, n: F.unhex(F.lpad(F.hex(x), 2 * n, "0"))
+    size = F.octet_length("payload")
+    framed = events.withColumn("frame", F.concat(number(size + 8, 4), number(F.col("lsn"), 8), F.col("payload").cast("binary"))).withColumn("bytes", size + 12)
+    return byte_batches(framed, segment_bytes, by).withColumnRenamed("batch", "segment")
+
+
 def old_segments(segments: DataFrame, current: int) -> DataFrame:
     """Write-ahead segments that may go: all but the current one and the two before it."""
     return segments.where(F.col("segment") + 2 < current)

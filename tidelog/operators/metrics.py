@@ -39,6 +39,21 @@ def index_percentiles(samples: DataFrame, by: str, value: str, points: tuple[int
     return joined.groupBy(by, "count", "min", "max", "mean").agg(*at)
 
 
+def exposition(rows: DataFrame, name: str, labels: list[str], value: str = "n", prefix: str = "tidelog_") -> DataFrame:
+    """A line of the text format for each row of labels and a whole value."""
+    escaped = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    inner = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), escaped(c), F.lit('"')) for c in sorted(labels)])
+    return rows.select(F.concat(F.lit(f"{prefix}{name}{{"), inner, F.lit("} "), F.col(value).cast("long").cast("string")).alias("line"))
+
+
+def consumer_gauges(offsets: DataFrame, head: DataFrame) -> DataFrame:
+    """(name, value) of consumers (consumer, committed) and of a log's head (one row)."""
+    sums = offsets.agg(F.count(F.lit(1)).alias("active_consumers"), F.min("committed").alias("least")).crossJoin(F.broadcast(head))  # one row each
+    lag = F.greatest(F.col("head") - F.coalesce("least", F.col("head")), F.lit(0))
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("long").alias("value")) for n, v in (("active_consumers", F.col("active_consumers")), ("head", F.col("head")), ("lag", lag))])
+    return sums.select(F.explode(rows).alias("g")).select("g.*")
+
+
 def prometheus(values: dict[str, float], labelled: dict[str, list[tuple[dict, float]]] | None = None, prefix: str = "tidelog_") -> str:
     """The text exposition format of plain and labelled values."""
     lines = [f"{prefix}{name} {value:g}" for name, value in sorted(values.items())]

@@ -49,10 +49,28 @@ def watermark(offsets: DataFrame, registered: DataFrame | None = None) -> DataFr
     return offsets.agg(F.when(least == LSN_MAX, 0).otherwise(F.coalesce(least, F.lit(0))).alias("watermark"))
 
 
+def watermarks(offsets: DataFrame, registered: DataFrame, by: str) -> DataFrame:
+    """The same for each group of consumers: (by, watermark); both tables have the columns consumer and ``by``."""
+    done = offsets.select(F.col("consumer").alias("consumer_"), F.col(by).alias("by_"), "committed")
+    joined = registered.join(done, (F.col("consumer") == F.col("consumer_")) & F.col(by).eqNullSafe(F.col("by_")), "left")
+    return joined.groupBy(by).agg(F.min(F.coalesce("committed", F.lit(0))).alias("watermark"))
+
+
 def consumers(offsets: DataFrame) -> DataFrame:
     return offsets.select("consumer").distinct()
 
 
+def registered(actions: DataFrame) -> DataFrame:
+    """(consumer, committed) of consumers that are registered after (consumer, seq, action, lsn).
+
+    ``register`` and ``commit`` make a consumer known, ``unregister`` forgets it with its position; a consumer that has
+    not committed since then stands at null.
+    """
+    gone = actions.where("action = 'unregister'").groupBy(F.col("consumer").alias("consumer_")).agg(F.max("seq").alias("gone"))
+    since = actions.join(gone, F.col("consumer") == F.col("consumer_"), "left").where("gone is null or seq > gone")
+    return since.groupBy("consumer").agg(F.max(F.when(F.col("action") == "commit", F.col("lsn"))).alias("committed"))
+
+
 def gc_runs(history: DataFrame) -> DataFrame:
     """(seq, watermark) with ``ran``: a run happens only where the watermark passes all before it.
 

@@ -159,12 +159,6 @@ def publication_tables(spark, sf_dir):
     return probes.publication_tables(change_log(spark, sf_dir))
 
 
-@query("schema_catalog")
-def schema_catalog(spark, sf_dir):
-    tables = {f"public.{t}": table(spark, sf_dir, t) for t in ("orders", "customer", "events")}
-    return registry.sorted_columns(probes.catalog(spark, tables, {"public.orders": ["o_orderkey"]}))
-
-
 _DDL = "SELECT event_id AS lsn, CASE event_id % 6 WHEN 0 THEN 'ALTER TABLE' WHEN 1 THEN 'ADD_COLUMN' WHEN 2 THEN 'DROP_TABLE' WHEN 3 THEN 'RENAME_TABLE' WHEN 4 THEN 'DROP_COLUMN' ELSE 'GRANT' END AS tag, CASE event_id % 6 WHEN 1 THEN 'ALTER TABLE t ADD COLUMN c' || CAST(user_id AS VARCHAR) || ' text' WHEN 3 THEN 'ALTER TABLE t rename to n' || CAST(user_id AS VARCHAR) || ';' WHEN 4 THEN 'ALTER TABLE t DROP COLUMN a|b;' ELSE 'x | y' END AS statement, event_type FROM events"
 
 
@@ -197,7 +191,7 @@ def ddl_monitored(spark, sf_dir):
 
 _V = "CASE WHEN lsn % 7 <> 0 THEN v END"
 _OPS = {
-    "eq": ("12.50", "{v} = '12.50'"), "neq": ("12.50", "{v} <> '12.50'"), "gt": ("5", "{v} > '5'"), "lt": ("5", "{v} < '5'"),
+    "eq": ("6.39", "{v} = '6.39'"), "neq": ("6.39", "{v} <> '6.39'"), "gt": ("5", "{v} > '5'"), "lt": ("5", "{v} < '5'"),
     "gte": ("50.00", "{v} >= '50.00'"), "lte": ("50.00", "{v} <= '50.00'"), "contains": ("9.", "contains({v}, '9.')"),
     "starts_with": ("4", "starts_with({v}, '4')"), "is_null": ("", "{v} IS NULL"), "is_not_null": ("", "{v} IS NOT NULL"),
 }
@@ -394,9 +388,11 @@ def schema_drift(spark, sf_dir):
 
 
 _PRINTS = [("public", "users", [("id", "int4"), ("name", "text")]), ("public", "users", [("id", "int8"), ("name", "text")]), ("s", "t", []), ("public", "événement", [("é", "text")])]
+#: FNV-1a 64 of the text column x of a table p, byte by byte.
+_FNV = "RECURSIVE h AS (SELECT x, hex(encode(x)) AS b, 0 AS i, 14695981039346656037::UBIGINT AS v FROM p UNION ALL SELECT x, b, i + 1, ((xor(v, ('0x' || substr(b, 2 * i + 1, 2))::UBIGINT)::UHUGEINT * 1099511628211) % 18446744073709551616)::UBIGINT FROM h WHERE i < length(b) // 2)"
 
 
-@query("fingerprint_fnv", "SELECT * FROM (VALUES " + ", ".join(f"('{hashing.fingerprint_text(*p)}', '{hashing.fingerprint(*p)}')" for p in _PRINTS) + ") AS t(source, fingerprint)")
+@query("fingerprint_fnv", "WITH RECURSIVE p(x) AS (VALUES ('public.users|id:int4|name:text'), ('public.users|id:int8|name:text'), ('s.t'), ('public.événement|é:text')), " + _FNV.removeprefix("RECURSIVE ") + " SELECT x AS source, lpad(lower(to_hex(v)), 16, '0') AS fingerprint FROM h WHERE i = length(b) // 2")
 def fingerprint_fnv(spark, sf_dir):
     rows = spark.createDataFrame([(s, t, c, hashing.fingerprint_text(s, t, c)) for s, t, c in _PRINTS], "s string, t string, c array<struct<name:string,type_name:string>>, source string")
     return rows.select("source", hashing.fingerprint_column(F.col("s"), F.col("t"), F.col("c")).alias("fingerprint"))
@@ -451,10 +447,11 @@ def lww_state(spark, sf_dir):
     return log.state(change_log(spark, sf_dir).select("lsn", "xid", "op"), ["xid"]).select(F.col("xid").alias("user_id"), "lsn", "op")
 
 
-@query("compat_key_collapse", "SELECT CAST(count(*) AS BIGINT) AS rows FROM (SELECT DISTINCT 1000, 0 FROM nation)")
+@query("compat_key_collapse", "SELECT CAST(max(n_nationkey) AS VARCHAR) AS nation, CAST(1 AS BIGINT) AS rows FROM nation")
 def compat_key_collapse(spark, sf_dir):
-    rows = snapshot.snapshot(table(spark, sf_dir, "nation"), "public", "nation", 1000)
-    return log.newest(rows, log.COMPAT_KEY).agg(F.count(F.lit(1)).alias("rows"))
+    """Under the old key the rows of a snapshot replace each other: the last one stays."""
+    rows = snapshot.snapshot(table(spark, sf_dir, "nation"), "public", "nation", 1000).withColumn("seq", text(F.col("after"), "n_nationkey").cast("long"))
+    return log.newest(rows, log.COMPAT_KEY).groupBy(text(F.col("after"), "n_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("truncate_cut", L + ", c AS (SELECT name, max(lsn) AS cut FROM log WHERE op = 'truncate' OR tbl = 'signup' AND lsn % 500 = 0 GROUP BY name) SELECT log.lsn FROM log LEFT JOIN c ON log.name = c.name WHERE NOT (op = 'truncate' OR tbl = 'signup' AND log.lsn % 500 = 0) AND (cut IS NULL OR log.lsn > cut)")
@@ -494,11 +491,14 @@ def gc_watermark(spark, sf_dir):
     return offsets.watermark(offsets.committed(views))
 
 
-@query("gc_watermark_registered", "SELECT CAST(0 AS BIGINT) AS watermark")
+@query("gc_watermark_registered", L + ", c AS (SELECT user_id, max(lsn) FILTER (WHERE tbl = 'view' AND lsn > 9600) AS committed FROM log GROUP BY user_id) SELECT user_id % 10 AS fleet, min(coalesce(committed, 0)) AS watermark FROM c GROUP BY 1")
 def gc_watermark_registered(spark, sf_dir):
-    done = offsets.committed(change_log(spark, sf_dir).select(F.col("xid").alias("consumer"), "lsn"))
-    new = done.select("consumer").unionByName(spark.createDataFrame([(-1,)], "consumer long"))
-    return offsets.watermark(done, new)
+    """By fleet: the lowest commit, or 0 where a registered consumer never committed (here: saw no late view)."""
+    e = change_log(spark, sf_dir).select(F.col("xid").alias("consumer"), "lsn", "table")
+    done = offsets.committed(e.where("`table`.`table` = 'view' and lsn > 9600"))
+    fleet = F.pmod(F.col("consumer"), F.lit(10))
+    known = e.select("consumer").distinct().withColumn("fleet", fleet)
+    return offsets.watermarks(done.withColumn("fleet", fleet), known, "fleet")
 
 
 @query("gc_survivors", L + "SELECT lsn FROM log WHERE lsn >= (SELECT min(c) FROM (SELECT max(lsn) AS c FROM log WHERE tbl = 'view' GROUP BY user_id))")
@@ -667,9 +667,9 @@ def stored_events(spark, sf_dir):
     return codec.stored(change_log(spark, sf_dir)).select("lsn", "table_name", "op_code")
 
 
-@query("signatures", L + "SELECT DISTINCT tbl AS name, CASE tbl WHEN 'click' THEN '" + f"{hashing.fnv1a(b'click'):016x}" + "' WHEN 'error' THEN '" + f"{hashing.fnv1a(b'error'):016x}" + "' WHEN 'purchase' THEN '" + f"{hashing.fnv1a(b'purchase'):016x}" + "' WHEN 'signup' THEN '" + f"{hashing.fnv1a(b'signup'):016x}" + "' ELSE '" + f"{hashing.fnv1a(b'view'):016x}" + "' END AS hash FROM log")
+@query("signatures", "WITH RECURSIVE p AS (SELECT DISTINCT props AS x FROM events), " + _FNV.removeprefix("RECURSIVE ") + " SELECT x AS name, lpad(lower(to_hex(v)), 16, '0') AS hash FROM h WHERE i = length(b) // 2")
 def signatures(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct().select("name", hashing.fnv1a_hex(F.col("name")).alias("hash"))
+    return table(spark, sf_dir, "events").select(F.col("props").alias("name")).distinct().select("name", hashing.fnv1a_hex(F.col("name")).alias("hash"))
 
 
 # ---- log and stream ------------------------------------------------------------------------------------------

@@ -58,5 +58,10 @@ def capture(tag: str, table: str, statement: str) -> str:
     return f"{tag.replace(' ', '_')}|{table}|{statement}"
 
 
+def captured(tag: Column, table: Column, statement: Column) -> Column:
+    """The same message from columns."""
+    return F.concat_ws("|", F.replace(tag, F.lit(" "), F.lit("_")), table, statement)
+
+
 def capture_drop(table: str) -> str:
     return capture("DROP_TABLE", table, "DROP TABLE")

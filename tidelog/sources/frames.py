@@ -210,6 +210,11 @@ def ddl_frames(frames: DataFrame, prefix: str = "ddl") -> DataFrame:
     return parsed(frames).where((F.col("kind") == "M") & (F.col("identity") == prefix)).select("lsn", "content")
 
 
+def commits(frames: DataFrame) -> DataFrame:
+    """(lsn, final_lsn) of the transactions that end."""
+    return parsed(frames).where("kind = 'C'").select("lsn", "final_lsn")
+
+
 def last_processed(frames: DataFrame) -> DataFrame:
     """The highest LSN whose frame could be read, whatever it holds."""
     bad = errors(frames).select(F.col("seq").alias("bad"))
