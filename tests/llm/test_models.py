@@ -121,7 +121,7 @@ def test_network_gradients():
     assert [(a, b, r) for a, b, r in zip(*map(list, windows), strict=True)] == [(0, 0, 0), (0, 5, 1), (5, 37, 2), (37, 69, 3), (53, 85, 3), (69, 86, 3)]
 
 
-def probability_by_hand(train, text):
+def probability_by_hand(train, text, least=1):
     token = lambda t: [*words(lower(t)), None]
     c1, c2, c3 = Counter(), Counter(), Counter()
     for t in train:
@@ -131,7 +131,7 @@ def probability_by_hand(train, text):
         c2.update(itertools.pairwise(s))
         c3.update(zip(s, s[1:], s[2:], strict=False))
     n, v, d = sum(c1.values()), len(c1), 0.75
-    kept = lambda c, total: {k: (x - d) / total(k) for k, x in c.items() if x > 1}
+    kept = lambda c, total: {k: (x - d) / total(k) for k, x in c.items() if x >= least}
     p2, p3 = kept(c2, lambda k: c1[k[0]]), kept(c3, lambda k: c2[k[:2]])
     m2, m3 = Counter(), Counter()
     for k, p in p2.items():
@@ -157,8 +157,9 @@ def test_language_model(spark, monkeypatch):
     rows = [*odd_table(spark).collect(), *(doc(2000 + k, " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(60)], k=rng.randint(0, 120)))) for k in range(120))]
     docs = odd_table(spark, rows)
     train = [r.text for r in docs.collect() if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
-    for segment, chunk in ((16 << 20, 3_000_000), (6_000, 500)):
+    for segment, chunk, partitions in ((16 << 20, 3_000_000, 20_000), (6_000, 500, 20_000), (2_000, 500, 3)):
         monkeypatch.setattr(ngram_trie, "SEGMENT_BYTES", segment)
+        monkeypatch.setattr(ngram_trie, "MOST_PARTITIONS", partitions)
         monkeypatch.setattr(ngram_trie, "CHUNK_KEYS", chunk)
         got = sorted(((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_trie.language_scores(docs).collect()), key=lambda x: (x[0], x[1]))
         want = sorted(((str(r.doc_id), *probability_by_hand(train, r.text)) for r in docs.collect()), key=lambda x: (x[0], x[1]))
@@ -181,6 +182,10 @@ def test_elias_fano():
         known = set(values.tolist())
         assert [a >= 0 for a in at] == [p in known for p in probe.tolist()]
         assert (values[at[at >= 0]] == probe[at >= 0]).all() if len(values) else True
+        low = rng.integers(0, len(values) + 1, len(probe))
+        high = rng.integers(0, len(values) + 1, len(probe))
+        inside = e.find(probe, low, high)
+        assert [i >= 0 for i in inside] == [v in set(values[a:b].tolist()) for v, a, b in zip(probe.tolist(), low, high, strict=True)]
 
 
 def brute(lattice, text, n):

@@ -11,12 +11,14 @@ bits of their logarithm::
     p2(w | v) = a(v w) + g(v) p1(w),        a = (c(v w) - D) / c(v),       g(v) = 1 - sum of a(v .)
     p3(w | u v) = a(u v w) + g(u v) p2(w | v)
 
-N-grams of order 2 and 3 that occur once are left to the lower order (their mass goes to g), as are contexts unseen.
-A text's first token has the end of a text as its context.
+All n-grams are kept (``LEAST_COUNT`` 1; a higher one leaves rare ones to the lower order, and their mass to g). Contexts
+unseen are left to the lower order. A text's first token has the end of a text as its context. A look-up finds the
+context and its pointer, then searches among the context's successors only.
 
 Training is three passes over the training texts. A task counts keys in chunks in numpy and sends sorted, compressed
 blocks to the bucket of their key range; a bucket adds up its blocks and writes one segment of a level into the shared
-folder. So no count, word or n-gram comes to the driver; it sees one row for each segment. Ranges follow the mass of
+folder. So no count, word or n-gram comes to the driver; it sees one row for each segment, with points of the words'
+mass whose number has a bound for all segments together. Ranges follow the mass of
 words, and a word that holds much of the mass has its successors in many ranges. Segments are memory-mapped by the
 workers (read whole where the store cannot map).
 
@@ -43,17 +45,24 @@ from tidelog.llm.shared import LOWER, arrow_fs, crc_mod, replace, slices, small_
 
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
-LEAST_COUNT = 2
+LEAST_COUNT = 1
 #: Keys that a task counts at once, bytes of text for each segment, bytes of text that a task looks at in one go.
 CHUNK_KEYS = 3_000_000
 SEGMENT_BYTES = 16 << 20
 GROUP_BYTES = 4 << 20
-#: Points of a level-1 segment's cumulative mass that shape the ranges of level 2.
-POINTS = 32
+#: Partitions of segments; beyond that many segments a partition has several, one after another.
+MOST_PARTITIONS = 20_000
+#: Points of level 1's cumulative mass that shape the ranges of level 2: for a segment, and for all at most.
+POINTS, MOST_POINTS = 32, 2_000_000
 END = np.uint64(0x5AFE5AFE00000001)
 _U = np.uint64
 
 
+_FIVES, _THREES, _FIFTEENS, _BYTES, _TOPS = (_U(int(x * 8, 16)) for x in ("55", "33", "0f", "01", "80"))
+#: Position of the k-th set bit of a byte, at 8 x byte + k.
+_NTH_OF_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[k] for byte in range(256) for k in range(8)], np.int64)
+
+
 # ---- Elias-Fano ----------------------------------------------------------------------------------------------
 
 
@@ -62,7 +71,8 @@ class EliasFano:
 
     def __init__(self, parts: dict[str, np.ndarray], name: str = ""):
         self.n, self.low_bits = (int(x) for x in parts[f"{name}n"])
-        self.low, self.high, self.zeros, self.ones = (parts[f"{name}{k}"] for k in ("low", "high", "zeros", "ones"))
+        self.low, self.high, self.ones = (parts[f"{name}{k}"] for k in ("low", "high", "ones"))
+        self.zeros = (np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones).astype(self.ones.dtype)
         # a word that starts at any byte
         self.low_at = np.ndarray((max(len(self.low) - 7, 0),), ">u8", self.low, strides=(1,))
 
@@ -80,7 +90,7 @@ class EliasFano:
         words[high + np.arange(n)] = 1
         words = np.packbits(words, bitorder="little").view("<u8")
         ones = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))
-        return {f"{name}n": np.array([n, bits]), f"{name}low": np.concatenate((packed, np.zeros(8, np.uint8))), f"{name}high": words, f"{name}ones": ones, f"{name}zeros": np.arange(len(ones), dtype=np.int64) * 64 - ones}
+        return {f"{name}n": np.array([n, bits]), f"{name}low": np.concatenate((packed, np.zeros(8, np.uint8))), f"{name}high": words, f"{name}ones": ones.astype("<u4" if len(words) < 1 << 26 else "<i8")}
 
     def lows(self, at: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -90,18 +100,17 @@ class EliasFano:
 
     @staticmethod
     def _nth(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Position of the k-th set bit of each word."""
-        place = np.zeros(len(word), np.int64)
-        for s in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(word & _U((1 << s) - 1)).astype(np.int64)
-            go = k >= count
-            k = k - np.where(go, count, 0)
-            word = np.where(go, word >> _U(s), word)
-            place += np.where(go, s, 0)
-        return place
+        """Position of the k-th set bit of each word: its byte from running sums of the bytes' bits, then a table."""
+        sums = word - ((word >> _U(1)) & _FIVES)
+        sums = (sums & _THREES) + ((sums >> _U(2)) & _THREES)
+        sums = ((sums + (sums >> _U(4))) & _FIFTEENS) * _BYTES
+        k = k.astype(np.uint64)
+        byte = np.bitwise_count(((k * _BYTES | _TOPS) - sums) & _TOPS).astype(np.uint64) << _U(3)
+        k -= ((sums << _U(8)) >> byte) & _U(255)
+        return byte.astype(np.int64) + _NTH_OF_BYTE[(((word >> byte) & _U(255)) << _U(3) | k).astype(np.int64)]
 
     def _select(self, k: np.ndarray, directory: np.ndarray, flip: bool) -> np.ndarray:
-        word = np.searchsorted(directory, k, "right") - 1
+        word = np.searchsorted(directory, k.astype(directory.dtype), "right") - 1
         bits = self.high[word]
         return word * 64 + self._nth(~bits if flip else bits, k - directory[word])
 
@@ -118,17 +127,46 @@ class EliasFano:
         high = self._select(at, self.ones, False) - at
         return (high.astype(np.uint64) << _U(self.low_bits)) | self.lows(at)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The position of each value, or -1 (successor search inside the run of equal high parts)."""
+    def get_two(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at positions and at the positions behind them."""
+        bit = self._select(at, self.ones, False)
+        rest = (self.high[bit >> 6] >> (bit & 63).astype(np.uint64)) >> _U(1)
+        step = np.bitwise_count((rest & (~rest + _U(1))) - _U(1)).astype(np.int64) + 1
+        far = np.flatnonzero(rest == 0)  # in another word
+        after = bit + step
+        after[far] = self._select(at[far] + 1, self.ones, False)
+        shift = _U(self.low_bits)
+        return ((bit - at).astype(np.uint64) << shift) | self.lows(at), ((after - at - 1).astype(np.uint64) << shift) | self.lows(at + 1)
+
+    def run(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first value with each high part (or where it would stand), and how many there are."""
+        begin = self.below(high)
+        bit = begin + high  # after the zero that ends the part before
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        ended = ~(self.high[word] >> shift)
+        size = np.bitwise_count((ended & (~ended + _U(1))) - _U(1)).astype(np.int64)
+        over = np.flatnonzero(size >= 64 - (bit & 63))  # goes on in the next word
+        size[over] = self.below(high[over] + 1) - begin[over]
+        return begin, size
+
+    def find(self, values: np.ndarray, least: np.ndarray | None = None, beyond: np.ndarray | None = None) -> np.ndarray:
+        """The position of each value, or -1 (successor search inside the run of equal high parts).
+
+        With ``least`` and ``beyond`` only between those positions.
+        """
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
         high = (values >> _U(self.low_bits)).astype(np.int64)
         top = int(self.zeros[-1])
         live = np.flatnonzero(high < top)
-        begin, end = self.below(high[live]), self.below(high[live] + 1)
-        some = begin < end
-        live, begin, end = live[some], begin[some], end[some]
+        begin, size = self.run(high[live])
+        if least is not None:
+            size = np.minimum(begin + size, beyond[live])
+            begin = np.maximum(begin, least[live])
+            size -= begin
+        some = size > 0
+        live, begin, end = live[some], begin[some], (begin + size)[some]
         want = values[live] & _U((1 << self.low_bits) - 1)
         stop = end.copy()
         while True:
@@ -187,6 +225,19 @@ def probability(q: np.ndarray) -> np.ndarray:
     return 10 ** (q.astype(np.float64) / -5000)
 
 
+def small_counts(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in a byte each, and the few of 255 and more aside."""
+    large = np.flatnonzero(counts >= 255)
+    return {"counts": np.minimum(counts, 255).astype(np.uint8), "large_at": large.astype("<i8"), "large": counts[large].astype("<u8")}
+
+
+def counts_at(segment: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    found = segment["counts"][at].astype(np.int64)
+    large = np.flatnonzero(found == 255)
+    found[large] = segment["large"][np.searchsorted(segment["large_at"], at[large])]
+    return found
+
+
 # ---- counting ------------------------------------------------------------------------------------------------
 
 _squeeze = zstandard.ZstdCompressor(level=1)
@@ -226,6 +277,17 @@ def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[begin], np.diff(np.append(begin, len(keys))) if counts is None else np.add.reduceat(counts, begin)
 
 
+def distinct_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, where one of each stands, and which of them stands at each place."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return keys[new], order[new], back
+
+
 def tokens(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of all rows, each row with its end, and where each row starts (n + 1 values)."""
     lower = LOWER[buf]
@@ -289,7 +351,10 @@ def count_level(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.
 
     names = [c.split()[0] for c in columns.split(", ")]
     blocks = docs.select("text").mapInArrow(count, "segment long, block binary")
-    dealt = blocks.repartitionById(n_ranges, F.col("segment").cast("int"))  # a segment each
+    partitions = min(n_ranges, MOST_PARTITIONS)
+    dealt = blocks.repartitionById(partitions, F.pmod(F.col("segment"), F.lit(partitions)).cast("int"))
+    if n_ranges > partitions:
+        dealt = dealt.sortWithinPartitions("segment")
     return sorted(dealt.mapInArrow(add, f"segment long, {columns}").collect(), key=lambda r: r["segment"])  # a row for each segment
 
 
@@ -322,7 +387,7 @@ class Level:
     def segment(self, k: int) -> dict:
         if k not in self.open:
             parts = load(self.folder, f"{self.name}-{k:06d}")
-            self.open[k] = parts | {"keys": EliasFano(parts, "k_")} | ({"contexts": EliasFano(parts, "c_"), "starts": EliasFano(parts, "s_")} if "c_n" in parts else {})
+            self.open[k] = parts | {"keys": EliasFano(parts, "k_")} | ({"starts": EliasFano(parts, "s_")} if "s_n" in parts else {})
         return self.open[k]
 
     def _ranges(self, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -330,20 +395,24 @@ class Level:
         for k in np.flatnonzero((np.diff(cut) > 0) & (self.size > 0)).tolist():
             yield k, int(cut[k]), int(cut[k + 1])
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Positions of sorted keys in the whole level, or -1."""
+    def find(self, keys: np.ndarray, least: np.ndarray | None = None, beyond: np.ndarray | None = None) -> np.ndarray:
+        """Positions of sorted keys in the whole level, or -1; with bounds only from ``least`` to before ``beyond``."""
         out = np.full(len(keys), -1, np.int64)
         for k, a, b in self._ranges(keys):
-            at = self.segment(k)["keys"].find(keys[a:b])
+            bounds = () if least is None else (least[a:b] - self.base[k], beyond[a:b] - self.base[k])
+            at = self.segment(k)["keys"].find(keys[a:b], *bounds)
             out[a:b] = np.where(at >= 0, at + self.base[k], -1)
         return out
 
-    def take(self, at: np.ndarray, column: str) -> np.ndarray:
-        """A column at sorted positions."""
+    def take(self, at: np.ndarray, value: Callable[[dict, np.ndarray], np.ndarray]) -> np.ndarray:
+        """Values at sorted positions, of a segment and positions in it."""
         cut = np.searchsorted(at, self.base)
-        parts = [self.segment(k)[column][at[cut[k] : cut[k + 1]] - self.base[k]] for k in range(len(self.size)) if cut[k] < cut[k + 1]]
+        parts = [value(self.segment(k), at[cut[k] : cut[k + 1]] - self.base[k]) for k in np.flatnonzero(np.diff(cut)).tolist()]
         return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
+    def counts(self, at: np.ndarray) -> np.ndarray:
+        return self.take(at, counts_at)
+
 
 class Contexts(Level):
     """Level 2 or 3: n-grams as context x width + successor."""
@@ -351,52 +420,69 @@ class Contexts(Level):
     def __init__(self, folder: str, name: str, bounds: np.ndarray, rows: list, width: int):
         super().__init__(folder, name, bounds, rows)
         self.width = width
+        self.first, self.last = np.zeros(len(self.size), np.int64), np.full(len(self.size), -1, np.int64)
+        for r in rows:
+            if r["n"]:
+                self.first[r["segment"]], self.last[r["segment"]] = r["first"], r["last"]
         edge: dict[int, list] = {}  # contexts at the edges of segments may go on in the next
         for r in rows:
             if r["n"]:
                 base = int(self.base[r["segment"]])
-                ends = [(r["first"], r["first_mass"], 0), (r["last"], r["last_mass"], r["last_start"])]
-                for context, mass, start in ends[: 1 if r["first"] == r["last"] else 2]:
-                    edge.setdefault(context, [base + start, 0.0])[1] += mass
+                ends = [(r["first"], r["first_mass"], 0, r["first_size"]), (r["last"], r["last_mass"], r["last_start"], r["n"])]
+                for context, mass, start, end in ends[: 1 if r["first"] == r["last"] else 2]:
+                    own = edge.setdefault(context, [base + start, 0.0, 0])
+                    own[1] += mass
+                    own[2] = base + end
         some = sorted(edge)
         self.edge = np.array(some, np.int64)
         self.edge_start = np.array([edge[c][0] for c in some], np.int64)
+        self.edge_end = np.array([edge[c][2] for c in some], np.int64)
         self.edge_weight = np.array([max(1 - edge[c][1], 1e-12) for c in some])
 
-    def of_context(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First position and weight of the lower order for sorted contexts; weight 1 where one has no successors."""
-        start, weight = np.zeros(len(contexts), np.int64), np.ones(len(contexts))
+    def of_context(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First position, position behind the last, and weight of the lower order, for sorted contexts.
+
+        A context without successors has the weight 1, and two equal positions.
+        """
+        start, end, weight = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64), np.ones(len(contexts))
         keys = contexts.astype(np.uint64) * _U(self.width)
         for k, a, b in self._ranges(keys):
-            seg = self.segment(k)
-            at = seg["contexts"].find(contexts[a:b].astype(np.uint64))
-            hit = np.flatnonzero(at >= 0)
-            start[a + hit] = seg["starts"].get(at[hit]).astype(np.int64) + self.base[k]
-            weight[a + hit] = probability(seg["weight"][at[hit]])
+            seg, own = self.segment(k), contexts[a:b]
+            hit = np.flatnonzero((own >= self.first[k]) & (own <= self.last[k]))
+            at = own[hit] - self.first[k]
+            one, two = seg["starts"].get_two(at)
+            start[a + hit], end[a + hit] = one.astype(np.int64) + self.base[k], two.astype(np.int64) + self.base[k]
+            weight[a + hit] = probability(seg["weight"][at])
         if len(self.edge):
             at = np.minimum(np.searchsorted(self.edge, contexts), len(self.edge) - 1)
             hit = self.edge[at] == contexts
-            start[hit], weight[hit] = self.edge_start[at[hit]], self.edge_weight[at[hit]]
-        return start, weight
+            start[hit], end[hit], weight[hit] = self.edge_start[at[hit]], self.edge_end[at[hit]], self.edge_weight[at[hit]]
+        return start, end, weight
 
 
-CONTEXT_COLUMNS = "n long, first long, first_mass double, last long, last_mass double, last_start long, most long"
+CONTEXT_COLUMNS = "n long, first long, first_mass double, first_size long, last long, last_mass double, last_start long, most long"
 
 
-def write_contexts(folder: str, name: str, segment: int, keys: np.ndarray, counts: np.ndarray, width: int, total_of: Callable[[np.ndarray], np.ndarray]) -> tuple:
-    """Write the kept n-grams of a range; total_of gives the counts of sorted contexts."""
-    keep = counts >= LEAST_COUNT
-    keys, counts = keys[keep], counts[keep]
+def write_contexts(folder: str, name: str, segment: int, keys: np.ndarray, counts: np.ndarray, width: int, total_of: Callable[[np.ndarray], np.ndarray], keep_counts: bool) -> tuple:
+    """Write the n-grams of a range; total_of gives the counts of sorted contexts."""
+    if LEAST_COUNT > 1:
+        keep = counts >= LEAST_COUNT
+        keys, counts = keys[keep], counts[keep]
     if not len(keys):
-        return 0, 0, 0.0, 0, 0.0, 0, 0
+        return 0, 0, 0.0, 0, 0, 0.0, 0, 0
     context = (keys // _U(width)).astype(np.int64)
     begin = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
     own, size = context[begin], np.diff(np.append(begin, len(keys)))
     p = (counts - DISCOUNT) / np.repeat(total_of(own), size)
     mass = np.add.reduceat(p, begin)
-    arrays = EliasFano.parts(keys, "k_") | EliasFano.parts(own.astype(np.uint64), "c_") | EliasFano.parts(begin.astype(np.uint64), "s_")
-    save(folder, f"{name}-{segment:06d}", arrays | {"p": quantised(p), "weight": quantised(np.maximum(1 - mass, 1e-12)), "counts": counts.astype("<u4" if counts.max() < 1 << 32 else "<u8")})
-    return len(keys), int(own[0]), float(mass[0]), int(own[-1]), float(mass[-1]), int(begin[-1]), int(size.max())
+    # a pointer for every context from the first to the last: those without successors have that of the next
+    place = np.arange(own[0], own[-1] + 2)
+    starts = np.append(begin, len(keys))[np.searchsorted(own, place)]
+    weight = np.zeros(len(place) - 1, np.uint16)
+    weight[own - own[0]] = quantised(np.maximum(1 - mass, 1e-12))
+    arrays = EliasFano.parts(keys, "k_") | EliasFano.parts(starts.astype(np.uint64), "s_")
+    save(folder, f"{name}-{segment:06d}", arrays | {"p": quantised(p), "weight": weight} | (small_counts(counts) if keep_counts else {}))
+    return len(keys), int(own[0]), float(mass[0]), int(size[0]), int(own[-1]), float(mass[-1]), int(begin[-1]), int(size.max())
 
 
 class Model:
@@ -411,73 +497,69 @@ class Model:
     def n_words(self) -> int:
         return len(self.words)
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(hashes, return_inverse=True)
-        return self.words.find(distinct)[back]
-
-    def pair_keys(self, ids: np.ndarray) -> np.ndarray:
-        """Keys of the 2-grams of a run of tokens after an end, for tokens that are known with known contexts."""
-        end = self.ids(np.array([END]))[0]
-        before = np.concatenate(([end], ids[:-1]))
-        both = (ids >= 0) & (before >= 0)
-        return both, before[both].astype(np.uint64) * _U(self.n_words) + ids[both].astype(np.uint64)
-
-    def located(self, ids: np.ndarray) -> tuple:
-        """For each token: position of its 2-gram or -1, its distinct contexts, and which of those it has (or -1)."""
-        both, keys = self.pair_keys(ids)
-        distinct, back = np.unique(keys, return_inverse=True)
-        at = np.full(len(ids), -1, np.int64)
-        at[both] = self.pairs.find(distinct)[back]
-        before = np.concatenate((self.ids(np.array([END])), ids[:-1]))
-        contexts, which = np.unique(before, return_inverse=True)
-        return at, contexts, which
-
-    def triple_keys(self, ids: np.ndarray, first: np.ndarray, located: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of 3-grams: the context's position, and the successor's place among those of the shorter context."""
-        at, contexts, which = located
-        start, _ = self.pairs.of_context(contexts)
-        before = np.concatenate(([-1], at[:-1]))
+    def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids of the known distinct tokens in order, each token's place among them or -1, and that of the end."""
+        distinct, _, back = distinct_of(hashes)
+        found = self.words.find(distinct)
+        there = found >= 0
+        place = np.where(there, np.cumsum(there) - 1, -1)
+        end = np.searchsorted(distinct, END)
+        return found[there], place[back], int(place[end]) if end < len(distinct) and distinct[end] == END else -1
+
+    def pair_keys(self, ids: np.ndarray, place: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every token's context (a place or -1), the tokens that are known after a known one, and the keys of their 2-grams."""
+        before = np.concatenate(([end], place[:-1]))
+        both = np.flatnonzero((place >= 0) & (before >= 0))
+        return before, both, ids[before[both]].astype(np.uint64) * _U(self.n_words) + ids[place[both]].astype(np.uint64)
+
+    def located(self, ids: np.ndarray, place: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's distinct 2-gram or -1 and the weight of its lower order; the 2-grams' positions in level 2 (or
+        -1), and their places among the successors of their context."""
+        start, stop, weight = self.pairs.of_context(ids)
+        before, both, keys = self.pair_keys(ids, place, end)
+        distinct, first, back = distinct_of(keys)
+        context = before[both[first]]
+        at = self.pairs.find(distinct, start[context], stop[context])
+        pair = np.full(len(place), -1, np.int64)
+        pair[both] = np.where(at >= 0, np.arange(len(at)), -1)[back]
+        return pair, np.append(weight, 1.0)[before], at, at - start[context]
+
+    def triple_keys(self, first: np.ndarray, pair: np.ndarray, at: np.ndarray, relative: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every token's context (a distinct 2-gram or -1), the tokens that have a 2-gram after another, and the keys of
+        their 3-grams: the context's position, and the successor's place among those of the shorter context."""
+        before = np.concatenate(([-1], pair[:-1]))
         before[first[:-1]] = -1  # no 3-gram reaches into the text before
-        whole = np.flatnonzero((at >= 0) & (before >= 0))
-        relative = at[whole] - start[which[whole]]
-        return whole, before[whole].astype(np.uint64) * _U(self.triples.width) + relative.astype(np.uint64)
+        whole = np.flatnonzero((pair >= 0) & (before >= 0))
+        return before, whole, at[before[whole]].astype(np.uint64) * _U(self.triples.width) + relative[pair[whole]].astype(np.uint64)
 
     def scores(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base score and score of each row."""
         hashes, first = tokens(buf, at)
-        distinct, back = np.unique(hashes, return_inverse=True)
-        found = self.words.find(distinct)
-        known = found >= 0
-        count = np.zeros(len(found))
-        count[known] = self.words.take(found[known], "counts")
-        ids = found[back]
-        base = (count[back] + 1) / (self.n_tokens + self.n_words + 1)
+        ids, place, end = self.known(hashes)
+        base = (np.append(self.words.counts(ids), 0)[place] + 1) / (self.n_tokens + self.n_words + 1)
         p = base
         if self.pairs is not None and len(self.pairs):
-            located = self.located(ids)
-            here, contexts, which = located
-            _, weight = self.pairs.of_context(contexts)
-            p = weight[which] * base + self._p(self.pairs, here)
+            pair, weight, spot, relative = self.located(ids, place, end)
+            p = weight * base + self._p(self.pairs, spot)[pair]
             if self.triples is not None and len(self.triples):
-                whole, keys = self.triple_keys(ids, first, located)
-                before = np.concatenate(([-1], here[:-1]))
-                before[first[:-1]] = -1
-                own, place = np.unique(before, return_inverse=True)
-                _, weight = self.triples.of_context(own[own >= 0])
-                p = np.concatenate((np.ones(int((own < 0).sum())), weight))[place] * p
-                distinct, back = np.unique(keys, return_inverse=True)
-                spot = np.full(len(ids), -1, np.int64)
-                spot[whole] = self.triples.find(distinct)[back]
-                p = p + self._p(self.triples, spot)
+                before, whole, keys = self.triple_keys(first, pair, spot, relative)
+                there = spot >= 0
+                start, stop, weight = self.triples.of_context(spot[there])
+                context = np.where(there, np.cumsum(there) - 1, -1)
+                p = np.append(weight, 1.0)[np.append(context, -1)[before]] * p
+                distinct, at_first, back = distinct_of(keys)
+                own = context[before[whole[at_first]]]
+                found = self.triples.find(distinct, start[own], stop[own])
+                p[whole] += self._p(self.triples, found)[back]
         add = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)  # noqa: E731  no row is without its end
-        return np.diff(first), add((ids >= 0).astype(np.int64)), add(np.log10(base)), add(np.log10(np.minimum(p, 1.0)))
+        return np.diff(first), add((place >= 0).astype(np.int64)), add(np.log10(base)), add(np.log10(np.minimum(p, 1.0)))
 
     @staticmethod
     def _p(level: Contexts, at: np.ndarray) -> np.ndarray:
-        hit = at >= 0
-        distinct, back = np.unique(at[hit], return_inverse=True)
-        out = np.zeros(len(at))
-        out[hit] = probability(level.take(distinct, "p"))[back]
+        """Probabilities at sorted positions, 0 where there is none, and a 0 behind them all."""
+        out = np.zeros(len(at) + 1)
+        hit = np.flatnonzero(at >= 0)
+        out[hit] = probability(level.take(at[hit], lambda segment, at: segment["p"][at]))
         return out
 
 
@@ -514,11 +596,12 @@ def train(docs: DataFrame, folder: str) -> Model:
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = max(1, math.ceil(size / SEGMENT_BYTES))
+    n_points = max(1, min(POINTS, MOST_POINTS // n_ranges))
 
     def write_words(segment: int, keys: np.ndarray, counts: np.ndarray) -> tuple:
-        save(folder, f"words-{segment:06d}", EliasFano.parts(keys, "k_") | {"counts": counts.astype("<u8")})
+        save(folder, f"words-{segment:06d}", EliasFano.parts(keys, "k_") | small_counts(counts))
         mass = np.cumsum(counts)
-        points = np.searchsorted(mass, mass[-1] * np.arange(1, POINTS + 1) / POINTS).tolist()
+        points = np.searchsorted(mass, mass[-1] * np.arange(1, n_points + 1) / n_points).tolist()
         return len(keys), int(mass[-1]), points
 
     bounds = np.array([(k << 64) // n_ranges for k in range(1, n_ranges)], np.uint64)
@@ -530,10 +613,10 @@ def train(docs: DataFrame, folder: str) -> Model:
 
     def pair_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         own = opened(key, model)
-        return own.pair_keys(own.ids(hashes))[1]
+        return own.pair_keys(*own.known(hashes))[2]
 
     bounds = pair_bounds(rows, model.n_words, model.words.base, n_ranges)
-    rows = count_level(docs, pair_keys, bounds, lambda s, k, c: write_contexts(folder, "pairs", s, k, c, model.n_words, lambda own: opened(key, model).words.take(own, "counts")), CONTEXT_COLUMNS)
+    rows = count_level(docs, pair_keys, bounds, lambda s, k, c: write_contexts(folder, "pairs", s, k, c, model.n_words, lambda own: opened(key, model).words.counts(own), True), CONTEXT_COLUMNS)
     second = Model(model.words, model.n_tokens)
     second.pairs = Contexts(folder, "pairs", bounds, rows, model.n_words)
     if not len(second.pairs):
@@ -551,10 +634,10 @@ def train(docs: DataFrame, folder: str) -> Model:
 
     def triple_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         own = opened(key_2, second)
-        ids = own.ids(hashes)
-        return own.triple_keys(ids, first, own.located(ids))[1]
+        pair, _, at, relative = own.located(*own.known(hashes))
+        return own.triple_keys(first, pair, at, relative)[2]
 
-    rows = count_level(docs, triple_keys, bounds, lambda s, k, c: write_contexts(folder, "triples", s, k, c, width, lambda own: opened(key_2, second).pairs.take(own, "counts")), CONTEXT_COLUMNS)
+    rows = count_level(docs, triple_keys, bounds, lambda s, k, c: write_contexts(folder, "triples", s, k, c, width, lambda own: opened(key_2, second).pairs.counts(own), False), CONTEXT_COLUMNS)
     third = Model(second.words, second.n_tokens)
     third.pairs, third.triples = second.pairs, Contexts(folder, "triples", bounds, rows, width)
     return third
