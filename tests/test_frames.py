@@ -51,6 +51,55 @@ def test_decode(spark):
     assert [(r.table.table, r.xid) for r in first] == [("orders", 0)]
 
 
+def test_like_a_reader(spark, monkeypatch):
+    """Random captures of two segments against one reader that goes through them in order, with small chunks."""
+    import random
+
+    monkeypatch.setattr(f, "CHUNK", 5)
+    rng, rows, want = random.Random(4), [], {}
+    for segment in range(2):
+        state, names = {}, "abcé"
+        for seq in range(160):
+            oid = rng.randint(1, 4)
+            values = [rng.choice([None, ..., "", "x", "é日", b"\x00\xff", "long" * 9]) for _ in range(rng.randint(0, 5))]
+            kind = "BRIIIIUUDDTCM!"[rng.randrange(14)]
+            if kind == "B":
+                state["xid"] = seq
+                data = f.begin_frame(seq, 1_700_000_000_000_000 + seq, seq)
+            elif kind == "R":
+                state[oid] = [(f"{names[k]}{seq}", k) for k in range(rng.randint(0, 4))]
+                data = f.relation_frame(oid, "s", f"t{oid}", state[oid])
+            elif kind in "IUD":
+                data = f.insert_frame(oid, values) if kind == "I" else f.delete_frame(oid, values) if kind == "D" else f.update_frame(oid, values, rng.choice([None, values[:2]]), rng.choice([b"K", b"O"]))
+                if oid in state:
+                    shown = ["\\x" + v.hex() if isinstance(v, bytes) else None if v is ... else v for v in values]
+                    cells = [(state[oid][k][0] if k < len(state[oid]) else f"col_{k}", v) for k, v in enumerate(shown)]
+                    want[segment, seq] = (f"t{oid}", state.get("xid", 0), cells if kind != "D" else None, cells if kind == "D" else None)
+            elif kind == "!":
+                data = rng.choice([f.insert_frame(oid, ["abcdef"])[:-3], f.insert_frame(oid, ["ok"]).replace(b"ok", b"\xff\xfe"), b"U", f.update_frame(oid, ["a"], ["b"])[:-4]])
+            else:
+                data = f.truncate_frame([9]) if kind == "T" else f.commit_frame(seq) if kind == "C" else f.message_frame(seq, "x", "y")
+            rows.append((seq, seq, bytearray(data), segment))
+    df = spark.createDataFrame(rows, "seq long, lsn long, data binary, segment long").repartition(3)
+    for segment in range(2):
+        got = {}
+        for r in f.decode(df.where(f"segment = {segment}")).collect():
+            before = r.before if r.op == "delete" else None
+            got[segment, r.seq] = (r.table.table, r.xid, r.after and [(c.name, c.value) for c in r.after], before and [(c.name, c.value) for c in before])
+        assert {k: (t, x, a or None, b or None) for k, (t, x, a, b) in got.items()} == {k: (t, x, a or None, b or None) for k, (t, x, a, b) in want.items() if k[0] == segment}
+    assert f.decode(df).count() == len(want)
+    bad = {(r.seq, r.error) for r in f.errors(df).collect()}
+    assert sum("unknown relation" not in e for _, e in bad) == sum(d[0] == ord("U") and len(d) == 1 or _damaged(bytes(d)) for _, _, d, _ in rows)
+
+
+def _damaged(data):
+    try:
+        f.parse(data)
+    except (MalformedPayload, UnicodeDecodeError):
+        return len(data) > 1
+    return False
+
+
 def test_errors_and_strict(spark):
     bad = {r.seq: r.error for r in f.errors(captured(spark, STREAM)).collect()}
     assert set(bad) == {15, 16} and "unknown relation 77" in bad[15] and "offset" in bad[16]

@@ -1,30 +1,38 @@
 """Captured logical-replication frames: wire reading, as-of relations, transactions, change events.
 
-A frame is (seq, lsn, data). Bytes are cut into fields in Arrow batches; which relation a change belongs to, and which
-transaction, are windows over the frames, so decoding keeps no state outside Spark. Frames that are no change give no
-row. A damaged frame fails the query in strict mode, else it becomes a row of ``errors``.
-
-Several captured segments are decoded side by side with ``segment`` as the partition of the windows; a segment starts
-with a transaction and repeats the relations that it uses, as a replication connection does.
+A frame is (seq, lsn, data). Changes are cut into fields for all frames of an Arrow batch at once, by numpy over their
+bytes; the few other frames, and those that are damaged, one by one. Frames that are no change give no row. A damaged
+frame fails the query in strict mode, else it becomes a row of ``errors``.
+
+Which relation a change belongs to, and which transaction, is what came last before it. Frames are looked at in chunks
+of ``CHUNK`` places: inside a chunk by a window, and what a chunk starts with by a walk over the chunks, a small row for
+each. So the changes of one captured stream are as many tasks as it has chunks, and they are shuffled once. Several captured segments may be decoded together, with
+``segment`` to tell them apart; a segment starts with a transaction and repeats the relations that it uses, as a
+replication connection does.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.errors import MalformedPayload
-from tidelog.functions.hashing import fingerprint_column
+from tidelog.functions.hashing import fingerprint, fingerprint_column
+from tidelog.operators.folds import fold
 from tidelog.schema import ROW_TYPE
 
 #: Microseconds from 1970-01-01 to 2000-01-01, where the protocol's clock starts.
 EPOCH_US = 946_684_800_000_000
 
+#: Places of frames in a chunk.
+CHUNK = 4_096
 _COLUMN = pa.struct([("name", pa.string()), ("type_oid", pa.int64()), ("is_key", pa.bool_())])
 _VALUE = pa.struct([("value", pa.string()), ("unchanged", pa.bool_())])
 PARSED = pa.schema(
@@ -130,12 +138,16 @@ def parse(data: bytes) -> dict:
 
 def parsed(frames: DataFrame) -> DataFrame:
     """Frames (seq, lsn, data and, if there, segment) with their fields; frames to ignore are gone."""
-    own = frames if "segment" in frames.columns else frames.withColumn("segment", F.lit(0).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done = changes_of(batch.column(3))
+            if len(done.rows):
+                yield _changes_batch(batch, done)
+            rest = np.ones(batch.num_rows, bool)
+            rest[done.rows] = False
             out = []
-            for r in batch.to_pylist():
+            for r in batch.filter(pa.array(rest)).to_pylist():
                 head = {"segment": r["segment"], "seq": r["seq"], "lsn": r["lsn"]}
                 try:
                     fields = parse(r["data"] or b"")
@@ -143,25 +155,217 @@ def parsed(frames: DataFrame) -> DataFrame:
                     fields = {"kind": "!", "error": str(e)}
                 if fields:
                     out.append(head | fields)
-            yield pa.RecordBatch.from_pylist(out, schema=PARSED)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=PARSED)
 
-    return own.select("segment", "seq", "lsn", "data").mapInArrow(run, _SPARK_PARSED)
+    return _with_segment(frames).select("segment", "seq", "lsn", "data").mapInArrow(run, _SPARK_PARSED)
 
 
-def with_relations(rows: DataFrame, truncate_first_only: bool = False) -> DataFrame:
-    """Changes with the latest preceding relation of their id, and the transaction that they are in.
+def _with_segment(frames: DataFrame) -> DataFrame:
+    return frames if "segment" in frames.columns else frames.withColumn("segment", F.lit(0).cast("long"))
 
-    A truncate is a row for each of its relations, or for the first (as older readers had it).
+
+@dataclass
+class Changes:
+    """Frames of a batch that are whole inserts, updates and deletes: their rows in the batch, kinds and relations, and
+    for the new and the old row of each how many values it has (-1: no such row), then all values' tags and bytes."""
+
+    rows: np.ndarray
+    kind: np.ndarray
+    rel_id: np.ndarray
+    images: dict[str, tuple]
+
+
+def _number_at(buf: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    found = np.zeros(len(at), np.int64)
+    for k in range(n):
+        found = (found << 8) | buf[at + k]
+    return found
+
+
+def _walk(buf: np.ndarray, at: np.ndarray, end: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Read the rows that begin at ``at`` for the frames that are ``live``, a column of all frames at a time.
+
+    Returns where each row ends (beyond the frame if it is cut off) and (number of values, frame, tag, first byte, size).
     """
-    many = F.slice("rel_ids", F.lit(1), F.lit(1)) if truncate_first_only else F.col("rel_ids")
-    each = rows.withColumn("rel_id", F.explode_outer(F.when(F.col("kind") == "T", many).otherwise(F.array("rel_id"))))
+    at, end = at.copy(), np.where(live, end, 0)
+    ok = live & (at + 2 <= end)
+    count = np.full(len(at), -1, np.int64)
+    count[ok] = _number_at(buf, at[ok], 2)
+    at = np.where(ok, at + 2, np.where(live, end + 1, at))
+    owners, tags, firsts, sizes = [], [], [], []
+    k = 0
+    now = np.flatnonzero(ok & (count > 0))
+    while len(now):
+        now = now[at[now] < end[now]]
+        tag, size, first = buf[at[now]], np.zeros(len(now), np.int64), at[now] + 1
+        sent = (tag == ord("t")) | (tag == ord("b"))
+        whole = sent & (first + 4 <= end[now])
+        size[whole] = _number_at(buf, first[whole], 4)
+        first = first + 4 * sent
+        owners.append(now)
+        tags.append(tag)
+        firsts.append(first)
+        sizes.append(size)
+        at[now] = np.where(sent & ~whole, end[now] + 1, first + size)
+        k += 1
+        now = now[(at[now] <= end[now]) & (count[now] > k)]
+    short = np.flatnonzero(ok & (count > k))  # none is left unread but those that are cut off
+    at[short] = np.maximum(at[short], end[short] + 1)
+    none = np.zeros(0, np.int64)
+    owner, tag, first, size = (np.concatenate([none, *x]) for x in (owners, tags, firsts, sizes))
+    read = np.bincount(owner, minlength=len(at))
+    at[ok & (read < count)] = end[ok & (read < count)] + 1
+    order = np.argsort(owner, kind="stable")
+    return at, (count, owner[order], tag[order], first[order], size[order])
+
+
+def changes_of(data: pa.Array) -> Changes:
+    """What of a batch of frames are whole changes; all else is left to ``parse``."""
+    offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    raw = data.buffers()[2]
+    buf = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    begin, end = offsets[:-1], offsets[1:]
+    there = data.is_valid().to_numpy(zero_copy_only=False)
+    kind = np.zeros(len(data), np.uint8)
+    long = there & (end - begin >= 6)
+    kind[long] = buf[begin[long]]
+    rows = np.flatnonzero(np.isin(kind, list(b"IUD")))
+    kind, begin, end = kind[rows], begin[rows], end[rows]
+    rel_id, tag, at = _number_at(buf, begin + 1, 4), buf[begin + 5], begin + 6
+    good = (kind != ord("I")) | (tag == ord("N"))
+    has_old = (kind == ord("D")) | ((kind == ord("U")) & ((tag == ord("K")) | (tag == ord("O"))))
+    at, old = _walk(buf, at, end, good & has_old)
+    at = at + (has_old & (kind == ord("U")))  # the new row's own tag
+    has_new = kind != ord("D")
+    at, new = _walk(buf, at, end, good & has_new)
+    good &= at <= end
+    good &= _valid_text(buf, (new, old), len(rows))
+    picked = np.flatnonzero(good)
+    place = np.full(len(rows), -1)
+    place[picked] = np.arange(len(picked))
+    images = {}
+    for name, (count, owner, tags, first, size) in (("new", new), ("old", old)):
+        own = good[owner]
+        images[name] = (count[picked], tags[own], first[own], size[own], buf)
+    return Changes(rows[picked], kind[picked], rel_id[picked], images)
+
+
+def _valid_text(buf: np.ndarray, images: tuple, n: int) -> np.ndarray:
+    """Whether all texts of each frame are UTF-8; a byte above 127 is looked at in its own value."""
+    good = np.ones(n, bool)
+    for _, owner, tags, first, size in images:
+        fits = first + size <= len(buf)
+        good[owner[~fits]] = False
+        text = np.flatnonzero((tags == ord("t")) & (size > 0) & fits)
+        high = np.concatenate(([0], np.cumsum(buf >= 128, dtype=np.int64)))
+        for k in text[high[first[text] + size[text]] > high[first[text]]].tolist():
+            try:
+                buf[first[k] : first[k] + size[k]].tobytes().decode("utf-8")
+            except UnicodeDecodeError:
+                good[owner[k]] = False
+    return good
+
+
+def _values(count: np.ndarray, tags: np.ndarray, first: np.ndarray, size: np.ndarray, buf: np.ndarray) -> pa.Array:
+    """The list column of one image: texts as they are, bytes as hex digits behind ``\\x``."""
+    sent = (tags == ord("t")) | (tags == ord("b"))
+    size = np.where(sent, size, 0)
+    ends = np.cumsum(size)
+    flat = buf[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    binary = np.flatnonzero(tags == ord("b"))
+    if len(binary):
+        parts, at = [], 0
+        for k in binary.tolist():
+            parts += [flat[at : ends[k] - size[k]].tobytes(), b"\\x" + flat[ends[k] - size[k] : ends[k]].tobytes().hex().encode()]
+            at = ends[k]
+        flat = np.frombuffer(b"".join([*parts, flat[at:].tobytes()]), np.uint8)
+        size = size.copy()
+        size[binary] = 2 + 2 * size[binary]
+        ends = np.cumsum(size)
+    bounds = np.concatenate(([0], ends)).astype(np.int32)
+    valid = pa.array(sent).buffers()[1] if len(sent) else None
+    texts = pa.StringArray.from_buffers(len(sent), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(flat)), valid)
+    values = pa.StructArray.from_arrays([texts, pa.array(tags == ord("u"))], fields=list(_VALUE))
+    lists = np.concatenate(([0], np.cumsum(np.maximum(count, 0)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(lists), values, mask=pa.array(count < 0))
+
+
+def _changes_batch(batch: pa.RecordBatch, done: Changes) -> pa.RecordBatch:
+    n, picked = len(done.rows), pa.array(done.rows)
+    letters = pa.DictionaryArray.from_arrays(pa.array(np.searchsorted([68, 73, 85], done.kind)), pa.array(["D", "I", "U"])).cast(pa.string())
+    found = {f.name: batch.column(k).take(picked) for k, f in enumerate(batch.schema) if f.name != "data"}
+    found |= {"kind": letters, "rel_id": pa.array(done.rel_id), "new": _values(*done.images["new"]), "old": _values(*done.images["old"])}
+    return pa.RecordBatch.from_arrays([found[f.name].cast(f.type) if f.name in found else pa.nulls(n, f.type) for f in PARSED], schema=PARSED)
+
+
+def _relation() -> F.Column:
     kinds = F.transform("columns", lambda c: F.struct(c["name"].alias("name"), c["type_oid"].cast("string").alias("type_name")))
     print_ = fingerprint_column(F.col("rel_schema"), F.col("rel_table"), kinds).alias("fingerprint")  # once for each relation
-    relation = F.when(F.col("kind") == "R", F.struct("rel_schema", "rel_table", "identity", "columns", print_))
-    by_relation = Window.partitionBy("segment", "rel_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    by_segment = Window.partitionBy("segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    begin = F.when(F.col("kind") == "B", F.struct("xid", "ts_us", "final_lsn"))
-    return each.withColumn("relation", F.last(relation, True).over(by_relation)).withColumn("begin", F.last(begin, True).over(by_segment))
+    return F.when(F.col("kind") == "R", F.struct("rel_schema", "rel_table", "identity", "columns", print_))
+
+
+def _begin() -> F.Column:
+    return F.when(F.col("kind") == "B", F.struct("xid", "ts_us", "final_lsn"))
+
+
+def _chunk() -> F.Column:
+    return F.floor(F.col("seq") / CHUNK).alias("chunk")
+
+
+_BEGIN = "struct<xid:long,ts_us:long,final_lsn:long>"
+_RELATION = "struct<rel_schema:string,rel_table:string,identity:string,columns:array<struct<name:string,type_oid:long,is_key:boolean>>,fingerprint:string>"
+
+
+def starts(frames: DataFrame) -> DataFrame:
+    """(segment_, chunk_, begin_, relations_): the transaction and the relations that a chunk starts with.
+
+    A chunk becomes one row with the relations that it changes and its few frames of other kinds; a segment's rows are
+    then gone through in order, which is a step for every ``CHUNK`` frames.
+    """
+    kind = F.substring("data", 1, 1)
+    rel_id = F.conv(F.hex(F.substring("data", 2, 4)), 16, 10).cast("long")
+    used = F.collect_set(F.when(kind.isin(*[F.lit(x) for x in (b"I", b"U", b"D")]), rel_id)).alias("used")
+    rare = F.sort_array(F.collect_list(F.when(kind.isin(*[F.lit(x) for x in (b"B", b"R", b"T")]), F.struct("seq", "data")))).alias("rare")
+    chunks = _with_segment(frames).groupBy("segment", _chunk()).agg(used, rare)
+
+    def step(state: dict, row: dict) -> tuple:
+        wanted, told = set(row["used"]), []
+        for frame in row["rare"]:
+            try:
+                told.append(parse(frame["data"]))
+            except (MalformedPayload, UnicodeDecodeError):  # the frame's own row has the error
+                continue
+            wanted.update(told[-1].get("rel_ids", ()))
+        begin, relations = state.get("begin"), [{"rel_id": k, "relation": state[k]} for k in sorted(wanted) if k in state]
+        for fields in told:
+            if fields["kind"] == "B":
+                state["begin"] = {k: fields[k] for k in ("xid", "ts_us", "final_lsn")}
+            elif fields["kind"] == "R":
+                print_ = fingerprint(fields["rel_schema"], fields["rel_table"], [(c["name"], str(c["type_oid"])) for c in fields["columns"]])
+                state[fields["rel_id"]] = {k: fields[k] for k in ("rel_schema", "rel_table", "identity", "columns")} | {"fingerprint": print_}
+        return begin, relations
+
+    found = fold(chunks, ["segment"], "chunk", dict, step, f"begin {_BEGIN}, relations array<struct<rel_id:long,relation:{_RELATION}>>")
+    return found.select(*[F.col(c).alias(c + "_") for c in ("segment", "chunk", "begin", "relations")])
+
+
+def with_relations(frames: DataFrame, truncate_first_only: bool = False) -> DataFrame:
+    """The parsed frames with the latest preceding relation of their id, and the transaction that they are in.
+
+    A truncate is a row for each of its relations, or for the first (as older readers had it).
+    """
+    many = F.slice("rel_ids", F.lit(1), F.lit(1)) if truncate_first_only else F.col("rel_ids")
+    each = parsed(frames).withColumn("rel_id", F.explode_outer(F.when(F.col("kind") == "T", many).otherwise(F.array("rel_id"))))
+    each = each.withColumn("chunk", _chunk()).repartition("segment", "chunk")
+    by_relation = Window.partitionBy("segment", "chunk", "rel_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    by_chunk = Window.partitionBy("segment", "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    inside = each.withColumn("relation", F.last(_relation(), True).over(by_relation)).withColumn("begin", F.last(_begin(), True).over(by_chunk))
+    first = starts(frames)
+    joined = inside.join(first, (F.col("segment") == F.col("segment_")) & (F.col("chunk") == F.col("chunk_")), "left")
+    told = F.try_element_at(F.filter("relations_", lambda r: r["rel_id"] == F.col("rel_id")), F.lit(1))["relation"]
+    joined = joined.withColumn("relation", F.coalesce("relation", told)).withColumn("begin", F.coalesce("begin", "begin_"))
+    return joined.drop("chunk", "segment_", "chunk_", "begin_", "relations_")
 
 
 def _row(values: str) -> F.Column:
@@ -178,7 +382,7 @@ def decode(frames: DataFrame, strict: bool = False, transactions: bool = True, t
     Without ``transactions`` the transaction id and commit time stay 0. In strict mode a damaged frame and a change of
     an unknown relation fail the query; else they are left out here and ``errors`` has them.
     """
-    rows = with_relations(parsed(frames), truncate_first_only).where(F.col("kind").isin("I", "U", "D", "T", "!"))
+    rows = with_relations(frames, truncate_first_only).where(F.col("kind").isin("I", "U", "D", "T", "!"))
     unknown = F.col("relation").isNull() & (F.col("kind") != "T")
     if strict:
         problem = F.when(F.col("kind") == "!", F.col("error")).when(unknown, F.concat(F.lit("unknown relation "), F.col("rel_id").cast("string")))
@@ -200,7 +404,7 @@ def decode(frames: DataFrame, strict: bool = False, transactions: bool = True, t
 
 def errors(frames: DataFrame) -> DataFrame:
     """(seq, lsn, error): damaged frames and changes of unknown relations."""
-    rows = with_relations(parsed(frames)).where(F.col("kind").isin("I", "U", "D", "!"))
+    rows = with_relations(frames).where(F.col("kind").isin("I", "U", "D", "!"))
     unknown = F.when((F.col("kind") != "!") & F.col("relation").isNull(), F.concat(F.lit("unknown relation "), F.col("rel_id").cast("string")))
     return rows.select("seq", "lsn", F.coalesce("error", unknown).alias("error")).where("error is not null")
 
