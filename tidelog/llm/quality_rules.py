@@ -8,10 +8,11 @@ host's distinct texts)``, which is ``MOST_LINE_DOCS`` at most however large the
 Copies of a document are not boilerplate, but the duplicate operators' business: documents of a host with equal texts
 count as one, both for a line and for the host. Every line above the limit is removed, whatever its neighbours.
 
-Scale: texts never leave their scan. The line hashes of equal texts are merged and counted with map-side combination, the few frequent ones are
-joined back to the lines (Spark broadcasts them only if their measured size allows and splits a skewed join), and the
-sums of a document are joined to its statistics. A hot host is a hot key of a pre-aggregated count only, as the line
-hash is part of every key.
+Scale: texts never leave their scans. Lines are normalised and hashed in one of them, into a table of hashes and word
+counts in the shared folder, which both the counting and the removal read. The line hashes of equal texts are merged
+and counted with map-side combination, the few frequent ones are joined back to the lines (Spark broadcasts them only
+if their measured size allows and splits a skewed join), and the sums of a document are joined to its statistics. A
+hot host is a hot key of a pre-aggregated count only, as the line hash is part of every key.
 
 Edge cases: null and empty texts have no words and fail the base rules; a null host is a host; repeated rows and
 repeated doc_ids each get their own result row; an empty table gives
@@ -25,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import whole_rows
+from tidelog.llm.shared import stored, whole_rows, work_dir
 
 WINDOW = 5
 LINE_DOCS = 10
@@ -86,7 +87,7 @@ def base_columns(text: Column) -> dict[str, Column]:
 
 
 def normal_line(line: Column) -> Column:
-    return F.btrim(F.lower(F.regexp_replace(F.regexp_replace(line, _SPACE, " "), "[0-9]", "0")))
+    return F.btrim(F.lower(F.translate(F.regexp_replace(line, _SPACE, " "), "123456789", "0" * 9)))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -94,28 +95,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), host.alias("host"), F.xxhash64("doc_id", host, "text").alias("key"), "text")
 
 
-def _line_rows(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: doc_id, key, host, at, h, n (words)."""
+def _lines(keyed: DataFrame) -> DataFrame:
+    """The lines with a word of each document: doc_id, key, host, t (hash of the text), lines (h, n: words)."""
     bare = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), normal_line), lambda x: x != "")
-    hashed = F.transform(bare, lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
-    return docs.select("doc_id", "key", "host", F.explode(hashed).alias("l")).select("doc_id", "key", "host", "l.*")
+    hashed = F.transform(bare, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
+    return keyed.select("doc_id", "key", "host", F.xxhash64("text").alias("t"), hashed.alias("lines"))
 
 
-def boilerplate(docs: DataFrame) -> DataFrame:
-    """(host, h): the lines that are removed, given the keyed documents."""
-    once = F.array_distinct(F.transform(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), normal_line), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    texts = docs.select("host", F.xxhash64("text").alias("t"), once.alias("once")).groupBy("host", "t").agg(F.first("once").alias("once"))
+def boilerplate(lines: DataFrame) -> DataFrame:
+    """(host, h): the lines that are removed, given the lines of all documents."""
+    once = F.array_distinct(F.transform("lines", lambda x: x["h"]))
+    texts = lines.select("host", "t", once.alias("once")).groupBy("host", "t").agg(F.first("once").alias("once"))
     counts = texts.select("host", F.explode("once").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > LINE_DOCS)
-    hosts = docs.select("host", F.xxhash64("text").alias("t")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")).withColumnRenamed("host", "host_")
+    hosts = lines.select("host", "t").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")).withColumnRenamed("host", "host_")
     return counts.join(hosts, F.col("host").eqNullSafe(F.col("host_"))).where(F.col("n_docs") > F.least(F.lit(MOST_LINE_DOCS), LINE_SHARE * F.col("host_docs"))).select("host", "h")
 
 
-def _removed(docs: DataFrame) -> DataFrame:
+def _removed(keyed: DataFrame) -> DataFrame:
     """(doc_id, key, removed_words, removed): for each document with removed lines, their words and hashes."""
-    bad = boilerplate(docs).select(F.col("host").alias("host_"), F.col("h").alias("h_"))
-    hit = _line_rows(docs).join(bad, (F.col("h") == F.col("h_")) & F.col("host").eqNullSafe(F.col("host_")))
-    lines = hit.groupBy("doc_id", "key", "at").agg(F.first("n").alias("n"), F.first("h").alias("h"))  # equal rows once
-    return lines.groupBy("doc_id", "key").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("removed"))
+    lines = stored(_lines(keyed), work_dir(keyed.sparkSession, "lines"))
+    bad = boilerplate(lines).select(F.col("host").alias("host_"), F.col("h").alias("h_"))
+    each = lines.select("doc_id", "key", "host", F.posexplode("lines").alias("at", "l")).select("doc_id", "key", "host", "at", "l.*")
+    hit = each.join(bad, (F.col("h") == F.col("h_")) & F.col("host").eqNullSafe(F.col("host_")))
+    found = hit.groupBy("doc_id", "key", "at").agg(F.first("n").alias("n"), F.first("h").alias("h"))  # equal rows once
+    return found.groupBy("doc_id", "key").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("removed"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """What several operators of this package use: shared folders, tables, Arrow batches and word kernels.
 
 Only the folder named in ``spark.checkpoint.dir`` is visible to the driver and to every executor, so each
-intermediate table and each operator file lives below it. Where the setting is absent (tests, a laptop) a
-temporary folder of this process takes its place.
+intermediate table and each operator file lives below it. Where the setting is absent on a local master (tests, a
+laptop) a temporary folder of this process takes its place; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder URI below the cluster's shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="tidelog-"))
             atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
