@@ -161,6 +161,35 @@ def test_codec_round_trip(spark, rows):
             assert (have is None) == (want is None) and (want is None or [tuple(c) for c in have] == want)
 
 
+def test_codec_like_one_by_one(spark):
+    """Whole payloads, and such with a byte cut off, added or changed, against the reader of one payload."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    cell = lambda: (rng.choice(["", "a", "é"]), rng.randint(0, 2**32 - 1), rng.choice([None, "", "日本", "x" * 300]))
+    image = lambda: rng.choice([None, [], [cell() for _ in range(rng.randint(1, 4))]])
+    rows = [(rng.randint(0, 2**62), rng.randint(0, 2**32 - 1), rng.choice(["insert", "update", "delete", "truncate"]), ("s", "té"), f"{rng.getrandbits(64):016x}", image(), image(), rng.randint(-5, 2**60)) for _ in range(40)]
+    whole = [bytes(r.payload) for r in codec.stored(spark.createDataFrame(rows, CHANGE_SCHEMA)).select("payload").collect()]
+    data = [*whole, None, b""]
+    for x in whole:
+        k = rng.randrange(len(x))
+        data += [x[:k], x + b"z", x[:k] + bytes([rng.randrange(256)]) + x[k + 1 :], x.replace("日".encode(), b"\xe6\x97\xe6")]
+    want, bad = [], []
+    for k, x in enumerate(data):
+        try:
+            want.append(codec.decode_one(x or b""))
+        except (MalformedPayload, UnicodeDecodeError):
+            bad.append(k)
+        else:
+            if want[-1]["lsn"] >= 2**63:
+                want.pop()
+                bad.append(k)
+    events, left = codec.decoded(pa.array(data, pa.binary()))
+    assert left.tolist() == bad and events.to_pylist() == want
+
+
 def test_codec_damage(spark):
     with pytest.raises(MalformedPayload):
         codec.decode_one(b"\0" * 10)

@@ -83,6 +83,12 @@ def state(events: DataFrame, key: list, order: tuple[str, ...] = ORDER) -> DataF
     return newest(events, key, order).where(F.col("op").isin("insert", "update"))
 
 
+def carried(events: DataFrame, by: list[str], value: Column, name: str, order: str = "lsn") -> DataFrame:
+    """Events with ``name``: the last value that is not null up to each event of its group, as of its place."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn(name, F.last(value, True).over(w))
+
+
 def truncated(events: DataFrame) -> DataFrame:
     """Events that no later truncate of their table undid."""
     cut = events.where("op = 'truncate'").groupBy(qualified().alias("name_")).agg(F.max("lsn").alias("cut_"))

@@ -46,3 +46,10 @@ def reconcile(actions: dict[str, str], exists: bool, managed: bool) -> list[str]
     if not exists:
         return ["create publication"]
     return [f"{action} {table}" for table, action in sorted(actions.items()) if action != "keep"]
+
+
+def list_diff(wanted: DataFrame, live: DataFrame, name: str = "name") -> DataFrame:
+    """(side, name): the names that are wanted and not live ("added"), and those that are live and not wanted ("removed")."""
+    own, other = wanted.select(name).distinct(), live.select(F.col(name).alias("name_")).distinct()
+    joined = own.join(other, F.col(name) == F.col("name_"), "full").where(F.col(name).isNull() | F.col("name_").isNull())
+    return joined.select(F.when(F.col("name_").isNull(), "added").otherwise("removed").alias("side"), F.coalesce(name, "name_").alias(name))

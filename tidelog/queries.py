@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.errors import ConfigInvalid
 from tidelog.functions import hashing, lsn
 from tidelog.operators import batching, codec, crypto, delivery, log, metrics, offsets, registry
 from tidelog.plans import cel, publication, rules, subscription
@@ -97,14 +98,14 @@ def fallback_decoder(spark, sf_dir):
 
 @query("relation_asof", L + "SELECT e.lsn, s.lsn AS signup_lsn FROM log e ASOF LEFT JOIN (SELECT lsn, user_id FROM log WHERE tbl = 'signup') s ON e.user_id = s.user_id AND e.lsn >= s.lsn")
 def relation_asof(spark, sf_dir):
-    w = Window.partitionBy("xid").orderBy("lsn").rowsBetween(Window.unboundedPreceding, 0)
-    return change_log(spark, sf_dir).select("lsn", F.last(F.when(F.col("table.table") == "signup", F.col("lsn")), True).over(w).alias("signup_lsn"))
+    e = change_log(spark, sf_dir)
+    return log.carried(e, ["xid"], F.when(F.col("table.table") == "signup", F.col("lsn")), "signup_lsn").select("lsn", "signup_lsn")
 
 
 @query("txn_forward_fill", L + "SELECT lsn, last_value(CASE WHEN tbl = 'signup' THEN us END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY lsn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS begin_us FROM log")
 def txn_forward_fill(spark, sf_dir):
-    w = Window.partitionBy("xid").orderBy("lsn").rowsBetween(Window.unboundedPreceding, 0)
-    return change_log(spark, sf_dir).select("lsn", F.last(F.when(F.col("table.table") == "signup", F.col("commit_timestamp_us")), True).over(w).alias("begin_us"))
+    e = change_log(spark, sf_dir)
+    return log.carried(e, ["xid"], F.when(F.col("table.table") == "signup", F.col("commit_timestamp_us")), "begin_us").select("lsn", "begin_us")
 
 
 def _captured(spark, sf_dir) -> DataFrame:
@@ -579,7 +580,7 @@ def mux_streams(spark, sf_dir):
 def table_list_diff(spark, sf_dir):
     want = spark.createDataFrame([("refund",), ("click",)], "name string")
     live = table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct()
-    return want.exceptAll(live).select(F.lit("added").alias("side"), "name").unionByName(live.exceptAll(want).select(F.lit("removed").alias("side"), "name"))
+    return publication.list_diff(want, live)
 
 
 # ---- delivery ------------------------------------------------------------------------------------------------
@@ -676,11 +677,15 @@ def signatures(spark, sf_dir):
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors see; a temporary one where no cluster names it."""
+    """A fresh folder that all executors see; a temporary one on a local master that names none."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidelog-{os.getpid()}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigInvalid("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/tidelog-{os.getpid()}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

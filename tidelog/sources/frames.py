@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from tidelog.errors import MalformedPayload
 from tidelog.functions.hashing import fingerprint, fingerprint_column
+from tidelog.functions.wire import binary_buffer, damaged_texts, gathered, number_at, texts
 from tidelog.operators.folds import fold
 from tidelog.schema import ROW_TYPE
 
@@ -176,13 +177,6 @@ class Changes:
     images: dict[str, tuple]
 
 
-def _number_at(buf: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    found = np.zeros(len(at), np.int64)
-    for k in range(n):
-        found = (found << 8) | buf[at + k]
-    return found
-
-
 def _walk(buf: np.ndarray, at: np.ndarray, end: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Read the rows that begin at ``at`` for the frames that are ``live``, a column of all frames at a time.
 
@@ -191,7 +185,7 @@ def _walk(buf: np.ndarray, at: np.ndarray, end: np.ndarray, live: np.ndarray) ->
     at, end = at.copy(), np.where(live, end, 0)
     ok = live & (at + 2 <= end)
     count = np.full(len(at), -1, np.int64)
-    count[ok] = _number_at(buf, at[ok], 2)
+    count[ok] = number_at(buf, at[ok], 2)
     at = np.where(ok, at + 2, np.where(live, end + 1, at))
     owners, tags, firsts, sizes = [], [], [], []
     k = 0
@@ -201,7 +195,7 @@ def _walk(buf: np.ndarray, at: np.ndarray, end: np.ndarray, live: np.ndarray) ->
         tag, size, first = buf[at[now]], np.zeros(len(now), np.int64), at[now] + 1
         sent = (tag == ord("t")) | (tag == ord("b"))
         whole = sent & (first + 4 <= end[now])
-        size[whole] = _number_at(buf, first[whole], 4)
+        size[whole] = number_at(buf, first[whole], 4)
         first = first + 4 * sent
         owners.append(now)
         tags.append(tag)
@@ -222,17 +216,14 @@ def _walk(buf: np.ndarray, at: np.ndarray, end: np.ndarray, live: np.ndarray) ->
 
 def changes_of(data: pa.Array) -> Changes:
     """What of a batch of frames are whole changes; all else is left to ``parse``."""
-    offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
-    raw = data.buffers()[2]
-    buf = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-    begin, end = offsets[:-1], offsets[1:]
+    buf, begin, end = binary_buffer(data)
     there = data.is_valid().to_numpy(zero_copy_only=False)
     kind = np.zeros(len(data), np.uint8)
     long = there & (end - begin >= 6)
     kind[long] = buf[begin[long]]
     rows = np.flatnonzero(np.isin(kind, list(b"IUD")))
     kind, begin, end = kind[rows], begin[rows], end[rows]
-    rel_id, tag, at = _number_at(buf, begin + 1, 4), buf[begin + 5], begin + 6
+    rel_id, tag, at = number_at(buf, begin + 1, 4), buf[begin + 5], begin + 6
     good = (kind != ord("I")) | (tag == ord("N"))
     has_old = (kind == ord("D")) | ((kind == ord("U")) & ((tag == ord("K")) | (tag == ord("O"))))
     at, old = _walk(buf, at, end, good & has_old)
@@ -252,18 +243,13 @@ def changes_of(data: pa.Array) -> Changes:
 
 
 def _valid_text(buf: np.ndarray, images: tuple, n: int) -> np.ndarray:
-    """Whether all texts of each frame are UTF-8; a byte above 127 is looked at in its own value."""
+    """Whether all texts of each frame are UTF-8."""
     good = np.ones(n, bool)
     for _, owner, tags, first, size in images:
         fits = first + size <= len(buf)
         good[owner[~fits]] = False
         text = np.flatnonzero((tags == ord("t")) & (size > 0) & fits)
-        high = np.concatenate(([0], np.cumsum(buf >= 128, dtype=np.int64)))
-        for k in text[high[first[text] + size[text]] > high[first[text]]].tolist():
-            try:
-                buf[first[k] : first[k] + size[k]].tobytes().decode("utf-8")
-            except UnicodeDecodeError:
-                good[owner[k]] = False
+        good[owner[text[damaged_texts(buf, first[text], size[text])]]] = False
     return good
 
 
@@ -271,8 +257,7 @@ def _values(count: np.ndarray, tags: np.ndarray, first: np.ndarray, size: np.nda
     """The list column of one image: texts as they are, bytes as hex digits behind ``\\x``."""
     sent = (tags == ord("t")) | (tags == ord("b"))
     size = np.where(sent, size, 0)
-    ends = np.cumsum(size)
-    flat = buf[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    flat, ends = gathered(buf, first, size), np.cumsum(size)
     binary = np.flatnonzero(tags == ord("b"))
     if len(binary):
         parts, at = [], 0
@@ -280,13 +265,8 @@ def _values(count: np.ndarray, tags: np.ndarray, first: np.ndarray, size: np.nda
             parts += [flat[at : ends[k] - size[k]].tobytes(), b"\\x" + flat[ends[k] - size[k] : ends[k]].tobytes().hex().encode()]
             at = ends[k]
         flat = np.frombuffer(b"".join([*parts, flat[at:].tobytes()]), np.uint8)
-        size = size.copy()
         size[binary] = 2 + 2 * size[binary]
-        ends = np.cumsum(size)
-    bounds = np.concatenate(([0], ends)).astype(np.int32)
-    valid = pa.array(sent).buffers()[1] if len(sent) else None
-    texts = pa.StringArray.from_buffers(len(sent), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(flat)), valid)
-    values = pa.StructArray.from_arrays([texts, pa.array(tags == ord("u"))], fields=list(_VALUE))
+    values = pa.StructArray.from_arrays([texts(flat, size, sent), pa.array(tags == ord("u"))], fields=list(_VALUE))
     lists = np.concatenate(([0], np.cumsum(np.maximum(count, 0)))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(lists), values, mask=pa.array(count < 0))
 
