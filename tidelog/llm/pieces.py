@@ -39,19 +39,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import small_batches, spans, text_buffer, text_groups
+from tidelog.llm.shared import give_back, small_batches, spans, text_buffer, text_groups
 
 N_BEST = 4
 SPACE = "▁"
 PENALTY = 10.0
-CACHE_UNITS = 500_000
-CACHE_PARTS = 500_000
+CACHE_UNITS = 200_000
+CACHE_PARTS = 300_000
 CACHE_LISTS = 20_000
 #: Parts longer than this are solved alone; cells of the padded arrays (parts x places x piece lengths).
 LONG_UNIT = 40
 CELLS = 1_500_000
 #: Bytes of texts that are encoded together.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -516,6 +516,7 @@ def encoded(docs: DataFrame, model: str, n_best: int = N_BEST) -> DataFrame:
                 ],
                 ["doc_id", "ids", "score", "n_ways", "last_score", "ids_crc32", "ways_crc32", "same"],
             )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, score double, n_ways long, last_score double, ids_crc32 long, ways_crc32 long, same boolean")
 

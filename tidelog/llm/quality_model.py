@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import crc_mod, slices, small_batches, stored, word_bounds, word_hashes, work_dir
+from tidelog.llm.shared import crc_mod, give_back, slices, small_batches, stored, word_bounds, word_hashes, work_dir
 
 SAMPLE_ROWS = 20_000
 FOLDS, HELD_OUT = 4, 2
@@ -152,6 +152,7 @@ def with_features(docs: DataFrame) -> DataFrame:
             parts = [features(buf, at) for _, _, buf, at in slices(batch.column(1), 1 << 20)]
             x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)), np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(x)], ["doc_id", "x"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<float>")
 

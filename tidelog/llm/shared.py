@@ -8,6 +8,7 @@ laptop) a temporary folder of this process takes its place; on a cluster its abs
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -133,6 +134,14 @@ def slices(texts: pa.Array, most: int = KERNEL_BYTES) -> Iterator[tuple[int, int
         row = end
 
 
+def give_back() -> None:
+    """Return memory that is free to the system, as a worker does that waits for its next task beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Ids and texts of rows that are worked on together: about ``most`` bytes of text, or one text that has more."""
     waiting: list[pa.RecordBatch] = []

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.shared import LOWER, slices, small_batches, spans, stored, whole_rows, word_bounds, work_dir
+from tidelog.llm.shared import LOWER, give_back, slices, small_batches, spans, stored, whole_rows, word_bounds, work_dir
 
 RADIUS = 3
 SHINGLE = 3
@@ -102,6 +102,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
             parts = [fingerprints(buf, at) for _, _, buf, at in slices(batch.column(2))]
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
 

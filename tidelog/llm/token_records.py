@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import arrow_fs, replace, small_batches, spans, text_groups, work_dir
+from tidelog.llm.shared import arrow_fs, give_back, replace, small_batches, spans, text_groups, work_dir
 
 END_ID = 2
 MAGIC = b"TRX1"
@@ -265,6 +265,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
         _put(fs, final, attempt, records)
         _put(fs, final + ".idx", attempt, lambda out: out.write(MAGIC + struct.pack("<I", FORMAT) + np.asarray(offsets, "<u8").tobytes()))
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "n_docs": pa.array([len(offsets)], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
+        give_back()
 
     shards = dealt.mapInArrow(shard_of, "shard long, n_docs long, n_tokens long")
     at = f"{folder}/shards"
