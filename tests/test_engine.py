@@ -246,3 +246,38 @@ def test_gauges():
 
     got = gauges({"batchId": 3, "inputRowsPerSecond": 2.0}, {"a": 5, "b": 9}, head=10, budget=100, used=7)
     assert got["lag"] == 5 and got["active_consumers"] == 2 and got["batch"] == 3 and got["memory_used"] == 7
+
+
+def test_service(spark, tmp_path):
+    from tidelog.errors import ConfigInvalid, OffsetRegression
+    from tidelog.operators import crypto
+    from tidelog.plans.publication import PublishedTable
+    from tidelog.plans.service import Service
+    from tidelog.plans.subscription import Subscription
+
+    key = F.lit("test-only-key-16").cast("binary")
+    rows = [(k, 1, "insert" if k % 2 else "delete", ("public", f"t{k % 3}"), "0" * 16, [("a", 0, str(k))], None, 0) for k in range(1, 400)]
+    log.append(crypto.encrypt(spark.createDataFrame(rows, CHANGE_SCHEMA), ["a"], key), f"file://{tmp_path}/log", "acme", span=100)
+    own = Service(spark, f"file://{tmp_path}/log", f"file://{tmp_path}/offsets", "acme", 100)
+    wanted = Subscription("c", ("public.t1",), ("insert",), encrypted=("a",), credits=5)
+    own.register("c", key)
+    assert own.status("c") == {"consumer": "c", "registered": True, "committed": None, "head": 399, "lag": 399} and own.watermark() == 0 == own.collect_garbage()
+    got = own.subscribe(wanted).collect()
+    assert [r.lsn for r in got] == [1, 7, 13, 19, 25] and [r.after[0].value for r in got] == ["1", "7", "13", "19", "25"]
+    own.commit_offset("c", 25)
+    assert [r.lsn for r in own.subscribe(wanted).collect()] == [31, 37, 43, 49, 55]
+    for lsn, error in ((24, OffsetRegression), (400, ConfigInvalid)):
+        with pytest.raises(error):
+            own.commit_offset("c", lsn)
+    own.commit_offset("c", 250)
+    own.register("d")
+    assert own.watermark() == 0 and own.consumers() == [{"consumer": "c", "committed": 250, "lag": 149}, {"consumer": "d", "committed": None, "lag": 399}]
+    own.unregister("d")
+    assert own.watermark() == 250 and own.collect_garbage() == 2 and own.events().agg(F.min("lsn")).first()[0] == 200
+    assert own.reload({"public.t1": "op:delete", "public.t2": "a == 1"}) == ["public.t1", "public.t2"] and own.reload({"public.t1": "op:delete"}) == ["public.t2"]
+    assert own.subscribe(wanted).count() == 0
+    assert own.publication_diff([PublishedTable("a.b"), PublishedTable("a.c", where="x")], [PublishedTable("a.c"), PublishedTable("a.d")]) == {"a.b": "add", "a.c": "alter", "a.d": "drop"}
+    seen = []
+    for k, state in enumerate(own.watch(wait=lambda s: own.drain() if not seen[1:] and own.lifecycle.state == "running" else own.stop())):
+        seen.append(state)
+    assert seen == ["serving", "not serving"] and own.health() == "not serving"
