@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import crc_mod, give_back, slices, small_batches, stored, word_bounds, word_hashes, work_dir
+from tidelog.llm.shared import crc_mod, give_back, slices, small_batches, stored, whole_rows, word_bounds, word_hashes, work_dir
 
 SAMPLE_ROWS = 20_000
 FOLDS, HELD_OUT = 4, 2
@@ -144,17 +144,17 @@ def features(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): the features of every document as an array of floats."""
+    """(doc_id, text_hash, x): the features of every document as an array of floats."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [features(buf, at) for _, _, buf, at in slices(batch.column(1), 1 << 20)]
+            parts = [features(buf, at) for _, _, buf, at in slices(batch.column(2), 1 << 20)]
             x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)), np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(x)], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(x)], ["doc_id", "text_hash", "x"])
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<float>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, x array<float>")
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -272,7 +272,7 @@ def labelled_sample(known: DataFrame, labels: DataFrame, label: str, folds: int,
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+    """doc_id, held_out, score, predicted, text_hash (of the row, for joining back)."""
     folder = work_dir(docs.sparkSession, "quality")
     known = stored(with_features(docs), f"{folder}/features")
     rows = labelled_sample(known, labels, "quality", FOLDS, HELD_OUT, SAMPLE_ROWS).select("x", "y").toPandas()
@@ -281,9 +281,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten(), np.float32).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
+            x = np.asarray(batch.column(2).flatten(), np.float32).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x))], ["doc_id", "text_hash", "score"])
 
-    scored = known.mapInArrow(run, "doc_id long, score double")
+    scored = known.mapInArrow(run, "doc_id long, text_hash long, score double")
     held_out = F.coalesce(crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "text_hash")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are predicted as good, each by its own text; the columns of ``docs``."""
+    good = quality_scores(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("good_id"), F.col("text_hash").alias("good_hash")).distinct()
+    rows = whole_rows(docs).withColumns({"id": F.col("row.doc_id").cast("long"), "hash": F.xxhash64("row.text")})
+    return rows.join(good, (F.col("hash") == F.col("good_hash")) & F.col("id").eqNullSafe(F.col("good_id")), "left_semi").select("row.*")

@@ -36,7 +36,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.quality_model import quality_scores
 
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def op9_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

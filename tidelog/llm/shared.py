@@ -93,12 +93,6 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is in the one column of ``ids``; null is an id."""
-    wanted = ids.toDF("id__")
-    return whole_rows(docs).join(wanted, F.col("row.doc_id").eqNullSafe(F.col("id__")), "left_semi").select("row.*")
-
-
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of an id as text, modulo n: the held-out folds."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
