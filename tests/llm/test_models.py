@@ -363,6 +363,19 @@ def test_embeddings_of_uneven_spectrum(spark, monkeypatch, kind):
     assert true.sum() and (links <= true).all() and links.sum() >= (0.99 if kind != "unlinked" else 1) * true.sum()
 
 
+def test_vectors_of_several_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(embedding_groups, "CELL_ROWS", 40)
+    base = {d: rng.standard_normal((150 if d < 9 else 20, d)) for d in (6, 8, 9)}
+    rows = [v for d in base for v in [*base[d], *(base[d] + 0.08 * rng.standard_normal(base[d].shape))]]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: [(r.n_links, r.component_id, r.kept)] for r in embedding_groups.embedding_groups(df, exact=True).collect()}
+    want = {}
+    for d in base:
+        want |= groups_by_hand([(k, v) for k, v in enumerate(rows) if len(v) == d])
+    assert got == want
+
+
 def test_blocks_of_a_cell_count_once(spark, monkeypatch):
     rng = np.random.default_rng(3)
     v = np.array([1.0] * 8) + 0.01 * rng.standard_normal((90, 8))
