@@ -56,8 +56,8 @@ def test_model(spark, made):
 def test_near_duplicates(spark, made):
     got = same_columns(p.near_duplicates_stage(spark, made[1], made[0]), made[1])
     groups = {}
-    for r in simhash.near_duplicates(made[1]).collect():
-        groups.setdefault((r.component_id, r.fingerprint if r.component_id is None else ""), []).append(r.doc_id)
+    for r in simhash.grouped(made[1]).collect():
+        groups.setdefault(r.root, []).append(r.doc_id)
     assert len(got) == len(groups)
     assert Counter(str(r.doc_id) for r in got) == Counter(str(min((d for d in g if d is not None), default=None)) for g in groups.values())
 
