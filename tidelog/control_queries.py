@@ -266,6 +266,13 @@ def probe_exists(spark, sf_dir):
     return probes.exists(names, "event_type", "click").select(F.col("found").alias("click")).crossJoin(F.broadcast(probes.exists(names, "event_type", "refund").select(F.col("found").alias("refund"))))  # one row
 
 
+@query("snapshot_pinned", "SELECT 'public.nation' AS tbl, n_name AS name, 5 AS lsn FROM nation UNION ALL SELECT 'public.region', r_name, 5 FROM region")
+def snapshot_pinned(spark, sf_dir):
+    """Two tables as their files are at one moment."""
+    rows = snapshot.pinned(spark, {f"public.{t}": f"{sf_dir}/{t}.parquet" for t in ("nation", "region")}, 5)
+    return rows.select(qualified().alias("tbl"), F.coalesce(text(F.col("after"), "n_name"), text(F.col("after"), "r_name")).alias("name"), F.col("lsn").cast("int"))
+
+
 # ---- delivery ------------------------------------------------------------------------------------------------
 
 _BATCHES = L + ", b AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY lsn) - 1) // 25 AS batch FROM log), p AS (SELECT user_id AS target, batch, count(*) AS events, '[' || string_agg('{\"lsn\":' || lsn || ',\"xid\":' || xid || ',\"op\":\"' || op || '\",\"table\":\"' || name || '\",\"ts\":' || us || '}', ',' ORDER BY lsn) || ']' AS payload FROM b GROUP BY user_id, batch)"

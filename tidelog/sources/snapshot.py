@@ -43,12 +43,18 @@ def pinned(spark: SparkSession, paths: dict[str, str], lsn: int) -> DataFrame:
     A file that has gone or has changed since fails the read instead of giving a mixture.
     """
     listed = {name: (path, _listing(spark, path)) for name, path in paths.items()}
-    tables = {name: spark.read.option("basePath", path).parquet(*files) for name, (path, files) in listed.items() if files}
+    tables = {name: _read(spark, path, list(files)) for name, (path, files) in listed.items() if files}
     if any(_listing(spark, path, files) != files for path, files in listed.values()):
         raise SnapshotMoved("a file has changed while the tables were listed")
     return snapshot_all(tables, lsn)
 
 
+def _read(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    return (spark.read.option("basePath", path) if folder else spark.read).parquet(*files)
+
+
 def _listing(spark: SparkSession, path: str, only: dict[str, tuple] | None = None) -> dict[str, tuple]:
     """Files below a path with their size and time of change."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
