@@ -433,7 +433,7 @@ def metrics_counters(spark, sf_dir):
     return metrics.counters(change_log(spark, sf_dir).withColumn("consumer", qualified()), ["consumer", "op"])
 
 
-@query("metrics_histogram", "SELECT le, count(*) FILTER (WHERE value / 1000 <= le) AS n FROM events, (VALUES (0.0001), (0.0005), (0.001), (0.005), (0.01), (0.05), (0.1)) AS b(le) GROUP BY le UNION ALL SELECT NULL, count(value) FROM events")
+@query("metrics_histogram", "SELECT CAST(le AS DOUBLE) AS le, count(*) FILTER (WHERE value / 1000 <= le) AS n FROM events, (VALUES (0.0001), (0.0005), (0.001), (0.005), (0.01), (0.05), (0.1)) AS b(le) GROUP BY le UNION ALL SELECT NULL, count(value) FROM events")
 def metrics_histogram(spark, sf_dir):
     return metrics.histogram(table(spark, sf_dir, "events").select((F.col("value") / 1000).alias("s")), "s")
 
