@@ -49,9 +49,9 @@ CACHE_PARTS = 300_000
 CACHE_LISTS = 20_000
 #: Parts longer than this are solved alone; cells of the padded arrays (parts x places x piece lengths).
 LONG_UNIT = 40
-CELLS = 1_500_000
+CELLS = 300_000
 #: Bytes of texts that are encoded together.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
