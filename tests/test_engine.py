@@ -92,6 +92,16 @@ def test_last_write_wins(spark, tmp_path):
     assert both.count() == 51 and both.where("tenant = 'b'").count() == 1
 
 
+def test_append_without_dealing(spark, tmp_path):
+    rows = spark.createDataFrame([(k * 37 % 500, 1, "insert", ("public", "t"), "0" * 16, None, None, 0) for k in range(500)], CHANGE_SCHEMA).repartition(3)
+    log.append(rows, f"file://{tmp_path}/log", "a", span=100, deal=False)
+    found = log.read(spark, f"file://{tmp_path}/log", "a", 100, 299, span=100)
+    assert sorted(r.lsn for r in found.collect()) == list(range(100, 300)) and len(list(tmp_path.glob("log/tenant=a/*/*.parquet"))) == 15
+    for file in tmp_path.glob("log/tenant=a/*/*.parquet"):
+        own = [r.lsn for r in spark.read.parquet(f"file://{file}").collect()]
+        assert own == sorted(own)
+
+
 def test_offset_store(spark, tmp_path, monkeypatch):
     from tidelog.errors import OffsetRegression
 

@@ -28,7 +28,7 @@ def to_log(events: DataFrame, path: str, checkpoint: str, tenant: str = "default
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        append(batch, f"{path}/batch={number}", tenant, span=span, mode="overwrite", ingest=number)
+        append(batch, f"{path}/batch={number}", tenant, span=span, mode="overwrite", ingest=number, deal=False)
 
     query = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     if timeout is None:
