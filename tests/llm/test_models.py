@@ -443,3 +443,15 @@ def test_pieces_of_a_very_long_unit():
     assert len(ways) == 4 and all(known.decode(i) == text for _, i in ways)
     assert sorted((w for w, _ in ways), reverse=True) == [w for w, _ in ways]
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000 and time.process_time() - began < 30
+
+
+def test_lowest_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tidelog.llm.shared import lowest
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.xxhash64("id")).otherwise(-7).alias("h"), "id").repartition(4)
+    every = sorted((r.h, r.id) for r in rows.collect())
+    for limit in (1, 100, 1600, 5000):
+        assert [(r.h, r.id) for r in lowest(rows, "h", limit, "id").collect()] == every[:limit]
+    assert lowest(rows.where("false"), "h", 5).count() == 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import crc_mod, give_back, slices, small_batches, stored, whole_rows, word_bounds, word_hashes, work_dir
+from tidelog.llm.shared import crc_mod, give_back, lowest, slices, small_batches, stored, whole_rows, word_bounds, word_hashes, work_dir
 
 SAMPLE_ROWS = 20_000
 FOLDS, HELD_OUT = 4, 2
@@ -268,16 +268,16 @@ def labelled_sample(known: DataFrame, labels: DataFrame, label: str, folds: int,
     """(doc_id, x, y) of at most ``limit`` labelled rows outside the held-out fold, those of the lowest id hash."""
     y = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id_")).agg(F.max(F.col(label).cast("double")).alias("y"))
     joined = known.where(crc_mod(F.col("doc_id"), folds) != held_out).join(y, F.col("doc_id") == F.col("doc_id_")).drop("doc_id_")
-    return joined.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return lowest(joined.withColumn("hash", F.xxhash64("doc_id")), "hash", limit, "doc_id")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, text_hash (of the row, for joining back)."""
     folder = work_dir(docs.sparkSession, "quality")
     known = stored(with_features(docs), f"{folder}/features")
-    rows = labelled_sample(known, labels, "quality", FOLDS, HELD_OUT, SAMPLE_ROWS).select("x", "y").toPandas()
-    x = np.array(rows["x"].tolist(), np.float32).reshape(-1, len(FEATURES))
-    model = fit(x, (rows["y"].to_numpy(float) > 0).astype(float))
+    rows = labelled_sample(known, labels, "quality", FOLDS, HELD_OUT, SAMPLE_ROWS).select("x", "y").toArrow()
+    x = np.concatenate([np.zeros(0, np.float32), *(c.flatten().to_numpy() for c in rows["x"].chunks)]).reshape(-1, len(FEATURES))
+    model = fit(x, (rows["y"].to_numpy() > 0).astype(float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

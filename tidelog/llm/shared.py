@@ -26,6 +26,8 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 #: Bytes of text that a numpy kernel looks at in one go.
 KERNEL_BYTES = 2 << 20
+#: Upper bits of a hash by which rows are counted before the lowest are taken.
+LOWEST_BITS = 13
 #: A word, as every operator counts words; the same pattern in Java's and in Python's syntax.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -93,6 +95,23 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
+def lowest(rows: DataFrame, key: str, limit: int, *then: str) -> DataFrame:
+    """The ``limit`` rows of the lowest ``key`` (a 64-bit hash), and of the lowest ``then`` among equals, in that order.
+
+    Rows are first counted by the upper bits of the key, so that of all rows only about as many as are wanted are sorted
+    and reach the driver, not so many for every partition.
+    """
+    part = F.shiftright(F.col(key), 64 - LOWEST_BITS)
+    counts = sorted((r["part"], r["n"]) for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    last, so_far = None, 0
+    for last, n in counts:
+        so_far += n
+        if so_far >= limit:
+            break
+    some = rows if last is None else rows.where(part <= last)
+    return some.orderBy(key, *then).limit(limit)
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of an id as text, modulo n: the held-out folds."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import LOWER, crc_mod, slices, small_batches, word_bounds, word_hashes
+from tidelog.llm.shared import LOWER, crc_mod, lowest, slices, small_batches, word_bounds, word_hashes
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
@@ -341,7 +341,8 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> pa.Table:
     y = y.where(crc_mod(F.col("doc_id_"), FOLDS) != HELD_OUT)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     y = y.join(texts.select("doc_id"), F.col("doc_id") == F.col("doc_id_"), "left_semi")
-    few = [y.where(F.col("y") == k).orderBy(F.xxhash64("doc_id_"), "doc_id_").limit(SAMPLE_DOCS) for k in (0, 1)]
+    y = y.withColumn("hash", F.xxhash64("doc_id_"))
+    few = [lowest(y.where(F.col("y") == k), "hash", SAMPLE_DOCS, "doc_id_").drop("hash") for k in (0, 1)]
     joined = texts.join(F.broadcast(few[0].union(few[1])), F.col("doc_id") == F.col("doc_id_"))
     most = SAMPLE_BYTES
 
