@@ -291,3 +291,17 @@ def test_service(spark, tmp_path):
     for k, state in enumerate(own.watch(wait=lambda s: own.drain() if not seen[1:] and own.lifecycle.state == "running" else own.stop())):
         seen.append(state)
     assert seen == ["serving", "not serving"] and own.health() == "not serving"
+
+
+def test_lsn_format_where_the_halves_overflow(spark, tmp_path):
+    import duckdb
+
+    from tidelog import queries
+
+    overflow = [k for k in range(65_000, 400_000) if k * 1_000_003 % 65536 * 65536 + k >= 1 << 32]
+    ids = [None, 0, 1, 65_535, 65_536, *overflow[:5], 1 << 28, 9_007_199_255, 9_000_000_000_001, -1, -65_537]
+    spark.createDataFrame([(k,) for k in ids], "event_id long").coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["lsn_format"]).fetchall()
+    assert overflow and dict(map(tuple, queries.queries()["lsn_format"](spark, f"file://{tmp_path}").collect())) == dict(want)

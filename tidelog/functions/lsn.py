@@ -24,7 +24,12 @@ def parse_strict(text: Column) -> Column:
 
 def format(lsn: Column) -> Column:  # noqa: A001
     """Upper-case, unpadded ``X/Y``."""
-    return F.concat(F.hex(F.shiftrightunsigned(lsn, 32)), F.lit("/"), F.hex(lsn.bitwiseAND(F.lit(0xFFFFFFFF))))
+    return format_halves(F.shiftrightunsigned(lsn, 32), lsn.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def format_halves(high: Column, low: Column) -> Column:
+    """Two numbers as ``X/Y``, also where the second is beyond 32 bits; nothing is carried, so ``parse`` rejects such a text."""
+    return F.concat(F.hex(high), F.lit("/"), F.hex(low))
 
 
 def add(lsn: Column, n: Column | int) -> Column:
