@@ -386,6 +386,66 @@ def test_blocks_of_a_cell_count_once(spark, monkeypatch):
     assert {r.n_links for r in got} == {89} and {r.component_id for r in got} == {0}
 
 
+def all_groups(df):
+    return {r.vec_id: [(r.n_links, r.component_id, r.kept)] for r in embedding_groups.embedding_groups(df).collect()}
+
+
+def test_no_link_is_missed_whatever_the_sample(spark, monkeypatch):
+    """Most links are tight, so a sample of them says little of the few that just link."""
+    rng = np.random.default_rng(21)
+    base = embedding_groups.unit(rng.standard_normal((3000, 10)))
+    tight = base[:1500] + 0.002 * rng.standard_normal((1500, 10))
+    aside = rng.standard_normal((200, 10))
+    start = base[-200:]
+    aside = embedding_groups.unit(aside - np.einsum("ij,ij->i", aside, start)[:, None] * start)
+    wide = 0.901 * start + math.sqrt(1 - 0.901**2) * aside  # at cosine 0.901 from a vector that has no other link
+    x = np.pad(np.concatenate([base, tight, wide]), ((0, 0), (0, 54))).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = groups_by_hand([(k, v.astype(float)) for k, v in enumerate(x)])
+    monkeypatch.setattr(embedding_groups, "CELL_ROWS", 150)
+    monkeypatch.setattr(embedding_groups, "PROBES", 100, raising=False)
+    monkeypatch.setattr(embedding_groups, "LINKED_PROBES", 10, raising=False)
+    assert all_groups(df) == want
+    monkeypatch.setattr(embedding_groups, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(embedding_groups, "fit_cells", lambda x, k: x[:k].copy())  # centroids that fit nothing
+    assert all_groups(df) == want
+
+
+@pytest.mark.parametrize("kind", ["families", "spread", "one_family", "both", "border"])
+def test_linked_rows_of_two_blocks(kind):
+    rng = np.random.default_rng(31)
+    eg = embedding_groups
+    spread, centres = rng.standard_normal((400, 12)), rng.standard_normal((12, 12))
+    families = centres[rng.integers(0, 12, 400)] + 0.05 * rng.standard_normal((400, 12))
+    if kind == "border":  # cosines within the error of single precision of 0.9
+        first = np.eye(12)[0]
+        angle = np.arccos(0.9) + np.concatenate([np.linspace(-1e-7, 1e-7, 399), [0.3]])
+        x = np.concatenate([[first], np.column_stack((np.cos(angle), np.sin(angle), np.zeros((400, 10))))])
+    else:
+        x = {"families": families, "spread": np.concatenate([spread, spread[:50] + 0.3 * rng.standard_normal((50, 12))]), "one_family": 1 + 0.1 * rng.standard_normal((400, 12)), "both": np.concatenate([families, spread])}[kind]
+    x = eg.unit(x)
+    true = x @ x.T >= 0.9
+    order = rng.permutation(len(x))
+    left, right = order[: len(x) // 2], order[len(x) // 2 :]
+    made = [eg.block_of(k, np.ones(len(k), int), x[k], eg.balls(x[k])) for k in (left, right)]
+    if kind in ("families", "spread"):
+        assert (eg.near_balls(*made, 0.9) is not None) == (kind == "families")
+    for one, other, rows, columns in ((made[0], made[1], left, right), (made[0], made[0], left, left)):
+        got = [(int(one.ids[i]), int(other.ids[j])) for a, b in eg.linked(one, other, 0.9) for i, j in zip(a, b, strict=True)]
+        assert len(got) == len(set(got))
+        if one is other:
+            assert {frozenset(p) for p in got} == {frozenset((i, j)) for i in rows for j in rows if i < j and true[i, j]} and all(i != j for i, j in got) and len(got) == len({frozenset(p) for p in got})
+        else:
+            assert set(got) == {(i, j) for i in rows for j in columns if true[i, j]}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 64, 65])
+def test_every_pair_of_blocks_meets_once(n):
+    group = embedding_groups.Group(8, 0, n, None, None)
+    met = Counter(frozenset((i, j)) for i in range(n) for span in range(group.spans) for j in group.others(i, span, 0.9))
+    assert met == Counter(frozenset((i, j)) for i in range(n) for j in range(i + 1))
+
+
 def test_words_and_hashes():
     import pyarrow as pa
 

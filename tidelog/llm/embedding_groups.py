@@ -1,20 +1,25 @@
-"""Operator 9: near-duplicates among embedding vectors: spherical k-means cells, blocked cosine products inside them.
-
-Equal vectors are one class that is compared once. Centroids are fitted on a bounded sample of classes; every class
-has the nearest cell as its home and visits each further cell whose border is within a margin. Two vectors are compared
-where one is at home and the other at home or on a visit. Two unit vectors at cosine 0.9 are 0.447 apart, so of two that
-link one stands within half of that from the border between their homes, and that margin misses none. It makes nearly
-every class visit nearly every cell, so the margin is taken from the data where the data show that less will do: up to
-``PROBES`` sampled classes are compared with all classes, and of all links so found the one that needs the widest margin
-sets it, with ``SLACK`` and a floor. No shape of the vectors is assumed. If fewer than ``LINKED_PROBES`` probes have a link, all
-sampled classes are probes, and if that is not enough the margin is the half distance, as it is with ``exact``. A linked
-pair is counted in one cell only, so counts hold no pair twice.
-
-Scale: cells number a ``CELL_ROWS``-th of the classes, beyond ``MANY_CELLS`` the root of the classes (``MOST_CELLS`` at
-most), so assigning and comparing both grow with the power 1.5; the sample has four rows for each cell. Classes are
-known by a 128-bit hash, so vectors move once to become classes and once into their cells. A cell's homes and visitors are cut into blocks of about ``BLOCK_ROWS`` and every pair of blocks is a task of its
-own, so a cell of any size is many tasks of bounded memory. A task emits a link count for each class and a spanning forest, never all
-pairs. Centroids number ``MOST_CELLS`` at most and go with the tasks.
+"""Operator 9: near-duplicates among embedding vectors: spherical k-means cells, blocked cosine products between them.
+
+Equal vectors are one class that is compared once. Every class has the nearest centroid's cell as its home; cells are
+cut into blocks, and every pair of blocks is compared unless a bound shows that no pair of theirs can link. So no link
+is missed and none is counted twice, whatever the centroids: these are an index, fitted on a bounded sample
+(``SAMPLE_ROWS`` classes, or four for each cell), and decide only how much the bounds leave out. The bounds are taken
+from all vectors, by the triangle inequality of angles:
+
+* two cells whose centroids are further apart than both radii (the widest angle of any of their vectors) and the angle
+  of a link have no link, so their blocks are not read;
+* inside a block, vectors near one another are a ball with a centre and a radius of its own, and only the balls of two
+  blocks that are near enough for a link are compared. One product of the centres, lengthened by the radii's cosines and
+  sines, tells which. Where a block has nearly as many balls as vectors, all its vectors are compared.
+
+Products are in single precision with a bound of their rounding errors; what that leaves open is decided in double precision.
+
+Scale: where vectors come in families the cost is that of the square of the families, and with centroids far apart only
+near cells are compared. Vectors spread evenly in many dimensions leave the bounds nothing to leave out: then all pairs of
+classes are compared, and the cost grows with the square of the classes. Vectors move once to become classes (known by a 128-bit hash) and
+once into their blocks, which are files in the shared folder; a task reads a block and, one by one, up to ``SPAN`` others,
+so memory is bounded, a cell of any size is many tasks, and no plan holds pairs. A task emits a link count for each class
+and a spanning forest, never all pairs. Centroids number ``MOST_CELLS`` at most and go with the tasks.
 
 Edge cases: a vector that is null, empty, zero or has null or non-finite components links with nothing and is its own
 component; others are scaled by their largest component first, so neither tiny nor huge ones are lost; vectors of different
@@ -26,34 +31,38 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tidelog.llm.components import components
-from tidelog.llm.shared import lowest, small_batches, stored, work_dir
+from tidelog.llm.shared import arrow_fs, lowest, small_batches, stored, work_dir
 from tidelog.llm.simhash import forest
 
 COSINE = 0.9
 SAMPLE_ROWS = 20_000
-CELL_ROWS = 400
+CELL_ROWS = 2_000
 #: Lengths of vectors that have centroids of their own, the commonest.
 MOST_LENGTHS = 8
 MANY_CELLS = 4_096
 MOST_CELLS = 32_768
-BLOCK_ROWS = 2_000
+#: Vectors of a block, and their components.
+BLOCK_ROWS = 4_000
+BLOCK_VALUES = 1 << 22
+#: Blocks that a task compares with its own, and Spark's tasks at most.
+SPAN = 16
+MOST_TASKS = 20_000
 ITERATIONS = 12
-#: Sampled classes whose links set the margin, and how many of them must have a link.
-PROBES = 2_000
-LINKED_PROBES = 60
-#: The margin as a multiple of the widest that a link of the probes needs.
-SLACK = 1.1
-#: The least margin, as a share of what an evenly spread difference of two vectors that link has across a border: its
-#: length over the root of the dimensions.
-LEAST_MARGIN = 0.9
+#: Added to angles against rounding.
+SLACK = 1e-6
+#: Pairs are taken one by one where they are less than one in so many of a product.
+SPARSE = 50
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -82,109 +91,187 @@ def fit_cells(x: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
-def whole_margin(cosine: float = COSINE) -> float:
-    """The margin that misses no link: half the distance of two vectors that just link."""
-    return math.sqrt(max(2 - 2 * cosine, 0)) / 2 + 1e-9
-
-
-def borders(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each unit vector's home, and its distance from the border between that and each cell."""
-    near = x @ centres.T
-    home = np.argmax(near, axis=1)
-    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 1e-12))
-    return home, (near[np.arange(len(x)), home][:, None] - near) / apart[home]
-
-
-def needed(a: np.ndarray, b: np.ndarray, of_a: tuple[np.ndarray, np.ndarray], of_b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The margin that each pair (rows a and b of two sets with these borders) needs to be compared."""
-    return np.minimum(of_a[1][a, of_b[0][b]], of_b[1][b, of_a[0][a]])
-
-
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(lists.flatten(), np.float64).reshape(-1, dim)
 
 
-def compare(group: pd.DataFrame, cosine: float = COSINE) -> pd.DataFrame:
-    """Links of a block's homes with another block of a cell (or their own): a count for each class, then forest links (n is null)."""
-    cell, i, j = int(group["cell"].iloc[0]), int(group["i"].iloc[0]), int(group["j"].iloc[0])
-    group = group.sort_values("id")
-    left = group[(group["block"] == i) & (group["home"] == cell)]
-    right = group if i == j else group[group["block"] == j]
-    out = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": pd.array([], "Int64")})
-    if not len(left) or not len(right):
-        return out
-    x, y = unit(np.array(left["v"].tolist(), float)), unit(np.array(right["v"].tolist(), float))
-    id_a, id_b = left["id"].to_numpy(), right["id"].to_numpy()
-    home = right["home"].to_numpy()
-    homes, at_home = np.unique(home, return_inverse=True)
-    visits = np.array([np.isin(homes, c) for c in left["cells"]])  # of the left, the homes of the right
-    weight_a, weight_b = left["n"].to_numpy(), right["n"].to_numpy()
-    sum_a, sum_b = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-    seconds = []
-    for at in range(0, len(x), 256):  # a strip of the product at a time
-        close = x[at : at + 256] @ y.T >= cosine
-        if i == j:
-            close &= (home != cell)[None, :] | (id_a[at : at + len(close), None] < id_b[None, :])
-        a, b = np.nonzero(close)
-        a += at
-        own = (home[b] == cell) | ~visits[a, at_home[b]] | (cell < home[b])
-        np.add.at(sum_a, a[own], weight_b[b[own]])
-        np.add.at(sum_b, b[own], weight_a[a[own]])
-        roots, leaves = forest(id_a[a].astype(np.uint64), id_b[b].astype(np.uint64))
-        seconds.append((roots, leaves))
-    a = np.concatenate([s[0] for s in seconds])
-    b = np.concatenate([s[1] for s in seconds])
-    a, b = forest(a, b)
-    parts = [pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64), "n": pd.array([None] * len(a), "Int64")})]
-    for ids, sums in ((id_a, sum_a), (id_b, sum_b)):
-        some = sums > 0
-        parts.append(pd.DataFrame({"a": ids[some], "b": ids[some], "n": pd.array(sums[some], "Int64")}))
-    return pd.concat([p for p in parts if len(p)] or [out])
-
-
-def fitted(classes: DataFrame, dim: int, total: int, cosine: float, exact: bool) -> tuple[np.ndarray, float]:
-    """Centres and margin for the classes of one length."""
-    sample = lowest(classes, "h1", max(SAMPLE_ROWS, 4 * n_cells(total)), "h2").select("id", "v").toArrow().combine_chunks()
-    sampled, sampled_ids = unit(_matrix(sample["v"].combine_chunks(), dim)), sample["id"].to_numpy()
-    centres = fit_cells(sampled, n_cells(total))
-
-    def widest(n_probes: int) -> Row:
-        """How many of the first probes have a link, and the widest margin that a link of theirs needs."""
-        probes, probe_ids = sampled[:n_probes], sampled_ids[:n_probes]
-
-        def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            most = np.full(len(probes), -1.0)
-            at_probes = [borders(probes[k : k + PROBES], centres) for k in range(0, len(probes), PROBES)]
-            for batch in batches:
-                x, ids = unit(_matrix(batch.column(1), dim)), batch.column(0).to_numpy()
-                at_batch = borders(x, centres)
-                for k, at_own in enumerate(at_probes):
-                    a, b = np.nonzero(x @ probes[k * PROBES : (k + 1) * PROBES].T >= cosine)
-                    other = ids[a] != probe_ids[k * PROBES + b]
-                    a, b = a[other], b[other]
-                    np.maximum.at(most, k * PROBES + b, needed(a, b, at_batch, at_own))
-            linked = np.flatnonzero(most >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(linked), pa.array(most[linked])], ["probe", "needed"])
-
-        found = classes.select("id", "v").mapInArrow(probed, "probe long, needed double")
-        return found.agg(F.countDistinct("probe").alias("n"), F.max("needed").alias("needed")).first()
-
-    margin = whole_margin(cosine)
-    if len(centres) > 1 and not exact:
-        for n_probes in (PROBES, SAMPLE_ROWS):
-            found = widest(n_probes)
-            if found["n"] >= LINKED_PROBES:
-                margin = min(margin, max(SLACK * found["needed"], LEAST_MARGIN * math.sqrt((2 - 2 * cosine) / dim)))
-                break
-    return centres, margin
-
-
-def embedding_groups(vectors: DataFrame, cosine: float = COSINE, exact: bool = False) -> DataFrame:
-    """vec_id, n_links, component_id, kept. With ``exact`` the margin misses no link, whatever it costs."""
+def balls(x: np.ndarray, cosine: float = COSINE) -> np.ndarray:
+    """The ball of each unit vector: a vector that is in none yet leads one, of all others in none at ``cosine`` or more from it."""
+    single = x.astype(np.float32)
+    ball, n = np.full(len(x), -1, np.int32), 0
+    for at in range(0, len(x), 256):
+        near = single[at : at + 256] @ single.T >= cosine
+        for k in range(len(near)):
+            if ball[at + k] < 0:
+                ball[near[k] & (ball < 0)] = n
+                ball[at + k] = n
+                n += 1
+    return ball
+
+
+class Block(NamedTuple):
+    """Unit vectors in the order of their balls, with the first row, size, centre and radius of each ball."""
+
+    ids: np.ndarray
+    n: np.ndarray
+    x: np.ndarray
+    single: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    centre: np.ndarray
+    radius: np.ndarray
+
+
+def block_of(ids: np.ndarray, n: np.ndarray, x: np.ndarray, ball: np.ndarray) -> Block:
+    order = np.argsort(ball, kind="stable")
+    ids, n, x, ball = ids[order], n[order], x[order], ball[order]
+    first = np.flatnonzero(np.diff(ball, prepend=-1))
+    size = np.diff(first, append=len(x))
+    centre = np.add.reduceat(x, first)
+    centre /= np.maximum(np.linalg.norm(centre, axis=1), 1e-9)[:, None]
+    least = np.minimum.reduceat(np.einsum("ij,ij->i", x, np.repeat(centre, size, axis=0)), first)
+    return Block(ids, n, x, x.astype(np.float32), first, size, centre, np.arccos(np.clip(least, -1, 1)) + SLACK)
+
+
+def read_block(folder: str, k: int, dim: int) -> Block | None:
+    """A block from the shared folder; None if no vector fell into it."""
+    fs, path = arrow_fs(f"{folder}/block={k}")
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return None
+    rows = pq.read_table(path, filesystem=fs, partitioning=None).combine_chunks()
+    vectors = pa.concat_arrays(rows["v"].chunks)
+    return block_of(rows["id"].to_numpy(), rows["n"].to_numpy(), unit(_matrix(vectors, dim)), rows["ball"].to_numpy())
+
+
+def rounding(dim: int) -> float:
+    """More than the error of a product of two unit vectors in single precision, in any order of its sums."""
+    return (dim + 16) * 2.0**-22
+
+
+def near_balls(one: Block, other: Block, cosine: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs of balls that may hold a link; None if telling them is no gain."""
+    angle = math.acos(cosine) + SLACK
+    if 4 * len(one.first) * len(other.first) > len(one.ids) * len(other.ids) or one.radius.max() + other.radius.max() + angle >= math.pi:
+        return None
+    # cos(centres) >= cos(radius + angle + other radius), the right side as a sum of two products
+    wide = one.radius + angle
+    left = np.column_stack((one.centre, -np.cos(wide), np.sin(wide))).astype(np.float32)
+    right = np.column_stack((other.centre, np.cos(other.radius), np.sin(other.radius))).astype(np.float32)
+    return np.nonzero(left @ right.T >= -3 * rounding(left.shape[1]))
+
+
+def linked(one: Block, other: Block, cosine: float = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of two blocks (which may be the same one) that link, each pair once, a strip at a time."""
+    same = one is other
+    dim = one.x.shape[1]
+    slack = rounding(dim)
+
+    def checked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        step = max(1, BLOCK_VALUES // dim)
+        return np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", one.x[a[k : k + step]], other.x[b[k : k + step]]) >= cosine for k in range(0, len(a), step))])
+
+    rows, columns = np.arange(len(one.ids)), np.arange(len(other.ids))
+    found = near_balls(one, other, cosine)
+    if found is not None:
+        g, h = found
+        if same:
+            g, h = g[g <= h], h[g <= h]
+        pairs = one.size[g] * other.size[h]
+        if int(pairs.sum()) * SPARSE <= len(rows) * len(columns):
+            k = np.arange(int(pairs.sum())) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+            width = np.repeat(other.size[h], pairs)
+            a, b = np.repeat(one.first[g], pairs) + k // width, np.repeat(other.first[h], pairs) + k % width
+            if same:
+                a, b = a[a < b], b[a < b]
+            close = checked(a, b)
+            yield a[close], b[close]
+            return
+        rows = np.flatnonzero(np.repeat(np.isin(np.arange(len(one.first)), g), one.size))
+        columns = np.flatnonzero(np.repeat(np.isin(np.arange(len(other.first)), h), other.size))
+    right = other.single if len(columns) == len(other.ids) else other.single[columns]
+    for at in range(0, len(rows), 256):
+        strip = rows[at : at + 256]
+        first = int(np.searchsorted(columns, strip[0], "right")) if same else 0
+        if first == len(columns):
+            continue
+        product = (one.single[strip] @ right[first:].T).ravel()
+        place = np.flatnonzero(product >= cosine - slack)
+        a, b = np.divmod(place, len(columns) - first)
+        a, b, open_ = strip[a], columns[first + b], product[place] < cosine + slack
+        close = ~open_
+        close[open_] = checked(a[open_], b[open_])
+        if same:
+            close &= a < b
+        yield a[close], b[close]
+
+
+_FOUND = "a long, b long, n long"
+
+
+def _found(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
+    """Link counts of classes, or (without n) links of a forest."""
+    counts = pa.nulls(len(a), pa.int64()) if n is None else pa.array(n, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), counts], ["a", "b", "n"])
+
+
+def compare(one: Block, others: Iterator[Block], cosine: float = COSINE) -> Iterator[pa.RecordBatch]:
+    """Links of a block with others (itself may be one): a count for each class of a block, then one forest."""
+    own = np.zeros(len(one.ids), np.int64)
+    roots, leaves = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for other in others:
+        theirs = np.zeros(len(other.ids), np.int64)
+        for a, b in linked(one, other, cosine):
+            np.add.at(own, a, other.n[b])
+            np.add.at(theirs, b, one.n[a])
+            if len(a):
+                leaf, root = forest(one.ids[a].astype(np.uint64), other.ids[b].astype(np.uint64))
+                leaves.append(leaf)
+                roots.append(root)
+        some = theirs > 0
+        if some.any():
+            yield _found(other.ids[some], other.ids[some], theirs[some])
+    some = own > 0
+    if some.any():
+        yield _found(one.ids[some], one.ids[some], own[some])
+    leaf, root = forest(np.concatenate(leaves), np.concatenate(roots))
+    if len(leaf):
+        yield _found(leaf, root)
+
+
+class Group(NamedTuple):
+    """The blocks of one length: the first one's number, how many; by block the centroid and radius of its cell, if there are any."""
+
+    dim: int
+    first: int
+    blocks: int
+    centres: np.ndarray | None
+    radius: np.ndarray | None
+
+    @property
+    def spans(self) -> int:
+        """Tasks of a block: it is compared with itself and the next half of all blocks, in a circle."""
+        return math.ceil((self.blocks // 2 + 1) / SPAN)
+
+    def others(self, i: int, span: int, cosine: float) -> list[int]:
+        """Blocks that the task compares with block i and that may have a link with it."""
+        step = np.arange(span * SPAN, min((span + 1) * SPAN, self.blocks // 2 + 1))
+        if 2 * i >= self.blocks:  # two opposite blocks meet once
+            step = step[2 * step != self.blocks]
+        j = (i + step) % self.blocks
+        if self.centres is not None:
+            apart = np.arccos(np.clip(self.centres[j] @ self.centres[i], -1, 1))
+            j = j[(j == i) | (apart <= self.radius[i] + self.radius[j] + math.acos(cosine) + SLACK)]
+        return j.tolist()
+
+
+def embedding_groups(vectors: DataFrame, cosine: float = COSINE, exact: bool = True) -> DataFrame:  # noqa: ARG001
+    """vec_id, n_links, component_id, kept. No link is missed; ``exact`` is there for callers that ask for that."""
     spark = vectors.sparkSession
     small_batches(spark)
     folder = work_dir(spark, "embeddings")
-    v = F.transform("embedding", lambda e: e.cast("double"))
+    given = vectors.schema["embedding"].dataType
+    element = "float" if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else "double"
+    v = F.transform("embedding", lambda e: e.cast(element))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     sound = F.coalesce((F.size("v") > 0) & finite & F.exists("v", lambda e: e != 0), F.lit(False))
@@ -192,46 +279,69 @@ def embedding_groups(vectors: DataFrame, cosine: float = COSINE, exact: bool = F
     rows = rows.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
     grouped = rows.where("v is not null").groupBy("h1", "h2", "v").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
     classes = stored(grouped.withColumn("id", F.monotonically_increasing_id()), f"{folder}/classes")
-    lengths = classes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS).orderBy(F.desc("n"), "dim").limit(MOST_LENGTHS).collect()
-    cells: dict[int, tuple[int, np.ndarray, float]] = {}  # by length: number of the first cell, centres, margin
-    for r in lengths:
-        first = sum(len(c) for _, c, _ in cells.values())
-        cells[r["dim"]] = (first, *fitted(classes.where(F.size("v") == r["dim"]), r["dim"], r["n"], cosine, exact))
+    lengths = classes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "dim").collect()
+    cells: dict[int, tuple[int, np.ndarray]] = {}  # by length: number of the first cell, centres
+    for r in lengths[:MOST_LENGTHS]:
+        if r["n"] > CELL_ROWS:
+            alike = classes.where(F.size("v") == r["dim"])
+            sample = lowest(alike, "h1", max(SAMPLE_ROWS, 4 * n_cells(r["n"])), "h2").select("v").toArrow().combine_chunks()
+            first = sum(len(c) for _, c in cells.values())
+            cells[r["dim"]] = (first, fit_cells(unit(_matrix(sample["v"].combine_chunks(), r["dim"])), n_cells(r["n"])))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             length = np.diff(lists.offsets.to_numpy())
-            homes = -length.astype(np.int32)
-            chosen: list[np.ndarray] = [np.array([h]) for h in homes]
-            for dim, (first, centres, margin) in cells.items():
+            home, near = -length.astype(np.int32), np.full(len(length), -1.0)
+            for dim, (first, centres) in cells.items():
                 usual = np.flatnonzero(length == dim)
                 if len(usual):
-                    home, behind = borders(unit(_matrix(lists.take(pa.array(usual)), dim)), centres)
-                    homes[usual] = first + home
-                    for k, member in zip(usual, behind <= margin, strict=True):
-                        chosen[k] = first + np.flatnonzero(member)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2), pa.array(homes), pa.array([c.tolist() for c in chosen], pa.list_(pa.int32()))], ["id", "v", "n", "home", "cells"])
+                    to_all = unit(_matrix(lists.take(pa.array(usual)), dim)) @ centres.T
+                    home[usual], near[usual] = first + np.argmax(to_all, axis=1), to_all.max(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2), pa.array(home), pa.array(near)], ["id", "v", "n", "home", "near"])
 
-    placed = classes.select("id", "v", "n").mapInArrow(assign, "id long, v array<double>, n long, home int, cells array<int>")
+    placed = classes.select("id", "v", "n").mapInArrow(assign, f"id long, v array<{element}>, n long, home int, near double")
     placed = stored(placed, f"{folder}/cells")
-    at_home = F.col("home") == F.col("cell")
-    homes, visitors = F.count_if(at_home), F.count_if(~at_home)
-    sizes = placed.select("home", F.explode("cells").alias("cell")).groupBy("cell").agg(homes.alias("homes"), visitors.alias("visitors"))
-    # blocks of homes come first, then blocks of visitors; the few visitors of a small cell stand in its one block
-    large = F.col("homes") + F.col("visitors") > BLOCK_ROWS
-    own = F.when(large, F.greatest(F.ceil(F.col("homes") / BLOCK_ROWS), F.lit(1))).otherwise(1).alias("own")
-    visiting = F.when(large, F.ceil(F.col("visitors") / BLOCK_ROWS)).otherwise(0).alias("visiting")
-    sizes = stored(sizes.select(F.col("cell").alias("cell_"), own, visiting), f"{folder}/sizes")
-    in_cells = placed.select("id", "v", "n", "home", "cells", F.explode("cells").alias("cell"))
-    in_cells = in_cells.join(sizes, F.col("cell") == F.col("cell_")).drop("cell_")
-    spread = F.xxhash64("id")
-    in_cells = in_cells.withColumn("block", F.when(at_home | (F.col("visiting") == 0), F.pmod(spread, F.col("own"))).otherwise(F.col("own") + F.pmod(spread, F.greatest("visiting", F.lit(1)))).cast("int"))
-    last = F.when(F.col("block") < F.col("own"), F.col("own") + F.col("visiting")).otherwise(F.col("own")) - 1
-    in_cells = in_cells.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    cells = F.when(at_home, F.col("cells")).alias("cells")
-    tasks = in_cells.select("id", "v", "n", "home", cells, "cell", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = tasks.groupBy("cell", "i", "j").applyInPandas(lambda g: compare(g, cosine), "a long, b long, n long")
+    sizes = {r["home"]: r for r in placed.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("near")).where("n > 1 or home >= 0").collect()}
+    groups, blocks = [], []  # of blocks: home, number of the first block of the home, how many
+    for dim in (r["dim"] for r in lengths):
+        first_cell, centres = cells.get(dim, (-dim, None))
+        homes = [h for h in range(first_cell, first_cell + (1 if centres is None else len(centres))) if h in sizes]
+        most = max(1, min(BLOCK_ROWS, BLOCK_VALUES // dim))
+        own = [math.ceil(sizes[h]["n"] / most) for h in homes]
+        first = blocks[-1][1] + blocks[-1][2] if blocks else 0
+        at = first + np.cumsum([0, *own])
+        blocks += [(h, int(at[k]), own[k]) for k, h in enumerate(homes)]
+        if centres is None:
+            groups.append(Group(dim, first, sum(own), None, None))
+        else:
+            radius = np.arccos(np.clip([sizes[h]["near"] for h in homes], -1, 1)) + SLACK
+            groups.append(Group(dim, first, sum(own), np.repeat(centres[[h - first_cell for h in homes]], own, axis=0), np.repeat(radius, own)))
+
+    def with_balls(rows: pa.Table) -> pa.Table:
+        vectors = pa.concat_arrays(rows["v"].chunks)
+        return rows.append_column("ball", pa.array(balls(unit(_matrix(vectors, len(vectors[0]))), cosine)))
+
+    of_home = spark.createDataFrame(blocks, "home_ int, first int, own int")
+    in_blocks = placed.join(F.broadcast(of_home), F.col("home") == F.col("home_"))
+    in_blocks = in_blocks.select("id", "v", "n", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("own"))).cast("int").alias("block"))
+    in_blocks = in_blocks.groupBy("block").applyInArrow(with_balls, f"id long, v array<{element}>, n long, block int, ball int")
+    in_blocks.write.mode("overwrite").partitionBy("block").parquet(f"{folder}/blocks")
+    first_task = np.cumsum([0, *(g.blocks * g.spans for g in groups)])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task in batch.column(0).to_pylist():
+                k = int(np.searchsorted(first_task, task, "right")) - 1
+                group, (i, span) = groups[k], divmod(task - int(first_task[k]), groups[k].spans)
+                others = group.others(i, span, cosine)
+                one = read_block(f"{folder}/blocks", group.first + i, group.dim) if others else None
+                if one is not None:
+                    read = (one if j == i else read_block(f"{folder}/blocks", group.first + j, group.dim) for j in others)
+                    yield from compare(one, (b for b in read if b is not None), cosine)
+
+    n_tasks = int(first_task[-1])
+    found = spark.range(0, n_tasks, 1, max(1, min(n_tasks, MOST_TASKS))).mapInArrow(compared, _FOUND)
     found = stored(found, f"{folder}/links")
     counts = found.where("n is not null").groupBy(F.col("a").alias("id_")).agg(F.sum("n").alias("links"))
     roots = components(found.where("n is null").select("a", "b"))
